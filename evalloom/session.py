@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,11 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
         "spark.driver.memory": "8g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.master(master).appName("evalloom").config(map=settings).getOrCreate()
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it; on a cluster ship it with ``--py-files``."""
+    here, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH")) if x)
+    return spark
