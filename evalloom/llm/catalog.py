@@ -5,9 +5,15 @@ from __future__ import annotations
 import importlib
 
 OPS = {
+    "op1_ngram_jaccard_join": "op1_ngram_join",
     "op2_media_sniff": "op2_media",
     "op3_sstable": "op3_sstable",
     "op4_vector_packing": "op4_packing",
+    "op6_license_digest": "op6_licenses",
+    "op7_language_zstd": "op7_language",
+    "op8_decontamination": "op8_decontam",
+    "op9_url_vocabulary": "op9_urls",
+    "op10_tag_path_ratios": "op10_html",
 }
 
 
