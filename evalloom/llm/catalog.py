@@ -9,6 +9,7 @@ OPS = {
     "op2_media_sniff": "op2_media",
     "op3_sstable": "op3_sstable",
     "op4_vector_packing": "op4_packing",
+    "op5_suffix_dedup": "op5_suffix_dedup",
     "op6_license_digest": "op6_licenses",
     "op7_language_zstd": "op7_language",
     "op8_decontamination": "op8_decontam",
