@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from evalloom.plans import panel, profile, texts
+from evalloom.plans.registry import QUERIES, SQL
+
+MODULES = (profile, panel, texts)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1,0 +1 @@
+"""No streaming operators: the inventory has none.  Batch operators run unchanged inside ``foreachBatch``."""
