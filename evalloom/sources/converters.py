@@ -80,7 +80,7 @@ def math(df: DataFrame) -> DataFrame:
 def bilingual(df: DataFrame, pairs: dict[str, dict[str, str]]) -> DataFrame:
     """Wide rows to one row a language: ``pairs`` names each language's columns (story, question, options A to D, answer)."""
     def side(lang: str, c: dict[str, str]) -> Column:
-        opt = lambda k: F.when(~F.isnan(F.try_to_number(F.col(f"`{c[k]}`"), F.lit("9")).cast("double")) | (F.lower(f"`{c[k]}`") != "nan"), F.col(f"`{c[k]}`"))
+        opt = lambda k: F.when(F.lower(F.col(f"`{c[k]}`").cast("string")) != "nan", F.col(f"`{c[k]}`").cast("string"))
         return F.struct(F.lit(lang).alias("language"), F.col(f"`{c['story']}`").alias("story"), F.col(f"`{c['question']}`").alias("question"), _lettered([opt(k) for k in "ABCD"]).alias("options"), letters(F.col(f"`{c['answer']}`")).alias("answer"))
 
     rows = df.select("id", F.explode(F.array(*(side(lang, c) for lang, c in pairs.items()))).alias("x"))

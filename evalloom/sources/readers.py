@@ -27,8 +27,10 @@ def json_any(spark: SparkSession, path: str, schema: StructType | str | None = N
 def quarantined(spark: SparkSession, paths: str | list[str], schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines with their file): a bad line is kept, not lost."""
     full = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths).select("*", F.col("_metadata.file_path").alias("_file"))
-    return rows.where("_corrupt_record is null").drop("_corrupt_record", "_file"), rows.where("_corrupt_record is not null").select("_corrupt_record", "_file")
+    raw = spark.read.text(paths).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_file"))
+    parsed = raw.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("r._corrupt_record").isNotNull() | F.col("r").isNull()
+    return parsed.where(~bad).select(*(F.col(f"r.`{f.name}`") for f in schema.fields)), parsed.where(bad).select(F.col("value").alias("_corrupt_record"), "_file")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
