@@ -252,7 +252,7 @@ def sniff(df: DataFrame, media_col: str = "media", declared_col: str = "declared
             rows = []
             for m, declared in zip(b.column("_media").to_pylist(), b.column("_declared").to_pylist(), strict=True):
                 if m is None:
-                    rows.append((None, None, None, None, [], None, None, None, None))
+                    rows.append((None, None, None, None, []) + (None,) * (4 * payload))
                     continue
                 spans = sniffer.spans(m)
                 whole = spans[0] if spans and spans[0][1] == 0 else None

@@ -35,6 +35,7 @@ SPELLINGS = [
 #: A line that only states who holds the copyright.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]*)?((\(c\)|©)[^\n]*|copyright[ \t]+[<\[{]?(year|yyyy|[0-9]{4})[^\n]*|all rights reserved[ \t.]*)"
 NOTICE = "licen[cs]e"
+BLANKS = r"[ \t\n\r\f]+"
 
 # Known licence texts.
 _PERMIT = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -82,6 +83,7 @@ def normalise(text: Column) -> Column:
     low = F.lower(text)
     marked = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights")
     out = F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
+    out = F.regexp_replace(out, BLANKS, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -128,6 +130,7 @@ def _sql() -> str:
 
     def norm(x: str) -> str:
         out = f"regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
+        out = f"regexp_replace({out}, {quote(BLANKS)}, ' ', 'g')"
         for old, new in SPELLINGS:
             out = f"replace({out}, {quote(old)}, {quote(new)})"
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
