@@ -2,17 +2,21 @@
 
 Sets of word shingles link when their Jaccard similarity is at least a threshold.  Sizes fall into
 overlapping bands such that any two linked sets share one; within a band the similarity bounds the
-Hamming distance by ``k``.  PartEnum then splits the hashed feature domain into ``(k + 1) / 2`` parts,
-each into three sub-parts; two sets within distance ``k`` agree in all but one element of some part,
-so they agree on two of its three sub-parts, and every choice of two gives one signature.  No link is
-missed.  A signature over no element at all would be shared by chance; it is replaced by the
-signatures of an independent second partitioning under its name, which keeps the guarantee.
-
-Copies share one set and are joined by its digest alone.  Within a signature the sets are compared
-with the smallest one only (a star), streamed in sorted order, so nothing grows with the square of a
-group.  Jaccard distance is a metric: two sets of one star can link only if their distances to its
-centre differ by at most the threshold's distance; those pairs that are not yet in one component are
-compared in a second round.  Every candidate is verified on the full sets.
+Hamming distance by ``k``.  PartEnum then splits the hashed feature domain into more than ``k / 2`` parts,
+each into two sub-parts; two sets within distance ``k`` differ in at most one element of some part, so
+they agree on one of its sub-parts, and every choice of a sub-part gives one signature.  No link is
+missed.  A signature over no element at all would be shared by chance.  There are ``spare`` parts more
+than the bound needs, so a set may leave out its empty signatures as long as no more than ``spare``
+parts have one; otherwise they are replaced by the signatures of an independent second partitioning
+under their name.  Either way the guarantee holds.
+
+Copies share one set and are joined by its digest alone.  Sets that share a signature meet at the
+smallest of them, their centre (a star), streamed in sorted order, so no pairs within a signature are
+made.  At a centre every member is reduced to its difference from the centre.  Members close to the
+centre are linked through it; for each other one, the overlaps of its difference with those of all
+members follow from an inverted index over the differences, which are short, and give the exact
+similarity to each.  Only links that join different groups are emitted, so the result of a star is no
+larger than the star.
 
 Defined results: null and empty texts, and texts without words, have the empty set and link with
 nothing; texts shorter than a shingle form one shingle.  Rows with equal identifiers stay separate
@@ -35,8 +39,8 @@ from evalloom.llm.common import id_text, materialise, parts, slices, table
 from evalloom.llm.components import components
 
 WORDS, NUM, DEN = 4, 85, 100
-SUB = 3
-WIDTH = 1.5  # of a band of smallest sizes
+SUB = 2
+WIDTH = 1.3  # of a band of smallest sizes
 
 
 def set_id(got: np.ndarray) -> int:
@@ -72,34 +76,36 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def _part_enum(got: np.ndarray, k: int, tag: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set for distance ``k``, and which of them cover no element."""
+def spare(n: int) -> int:
+    """Parts beyond the bound, about two times as many as are expected to have an empty sub-part."""
+    return 0 if n < 8 else 1 + n * SUB * 3 // 100
+
+
+def _part_enum(got: np.ndarray, k: int, tag: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a set for distance ``k``, which of them cover no element, and how many parts may have such."""
     with np.errstate(over="ignore"):
         base = shingles.mix(np.array([tag * 1_000_003 + seed], np.uint64))[0]
         if k == 0:
-            return shingles.mix(np.array([got.sum(dtype=np.uint64) + base], np.uint64)), np.zeros(1, bool)
-        n = (k + 2) // 2
+            return shingles.mix(np.array([got.sum(dtype=np.uint64) + base], np.uint64)), np.zeros(1, bool), 0
+        extra = spare(k // 2 + 1)
+        n = k // 2 + 1 + extra
         mixed = shingles.mix(got + np.uint64(seed * 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
         cell = ((mixed >> np.uint64(32)) % np.uint64(n * SUB)).astype(np.int64)
         total = np.zeros(n * SUB, np.uint64)
         np.add.at(total, cell, mixed)
-        count = np.bincount(cell, minlength=n * SUB).reshape(n, SUB)
-        total = total.reshape(n, SUB)
-        # Leaving out one of three sub-parts: all choices of two.
-        sums = total.sum(1, keepdims=True, dtype=np.uint64) - total
-        empty = (count.sum(1, keepdims=True) - count) == 0
-        names = np.arange(n * SUB, dtype=np.uint64).reshape(n, SUB) + np.uint64(1)
-        return shingles.mix(sums + shingles.mix(names + base)).ravel(), empty.ravel()
+        empty = np.bincount(cell, minlength=n * SUB) == 0
+        names = np.arange(1, n * SUB + 1, dtype=np.uint64)
+        return shingles.mix(total + shingles.mix(names + base)), empty, extra
 
 
 def signatures(got: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """PartEnum signatures of a sorted distinct set of shingle hashes."""
     out = []
     for band, k in bands(len(got), num, den):
-        sig, empty = _part_enum(got, k, band, 0)
+        sig, empty, extra = _part_enum(got, k, band, 0)
         out.append(sig[~empty])
-        for name in np.flatnonzero(empty).tolist():
-            out.append(_part_enum(got, k, (band << 32) + name + 1, 1)[0])
+        if np.count_nonzero(empty.reshape(-1, SUB).any(1) if k else empty) > extra:
+            out += [_part_enum(got, k, (band << 32) + name + 1, 1)[0] for name in np.flatnonzero(empty).tolist()]
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -180,66 +186,84 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("sid", "text").mapInArrow(run, "sid long, hashes binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, common: sizes and intersection of every pair, on the full sets."""
-    one = pairs.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = one.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024, "hb", 4 << 20):
-            na, nb, common = [], [], []
-            for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                na.append(len(x))
-                nb.append(len(y))
-                common.append(int(np.count_nonzero(y[at] == x)) if len(y) else 0)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
-
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long, na long, nb long, common long")
-
-
-def _linked(num: int, den: int):
-    return F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num
-
-
-def _distance():
-    return 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-
-
-def cross_pairs(checked: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of one star that the metric does not rule out and that are in different components.
-
-    Only stars with a member that failed its own test near enough to matter are looked at.
-    """
-    far = 1 - num / den
-    d = checked.select("a", "b", _distance().alias("d"), _linked(num, den).alias("ok"))
-    root = comp.select(F.col("node").alias("b"), "root")
-    members = d.join(root, "b", "left").select("a", "b", "d", F.coalesce("root", "b").alias("root"))
-    mixed = members.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    rows = members.join(mixed, "a")
+class Star:
+    """A centre and the members that came so far, as differences from it."""
+
+    def __init__(self, sid: int, got: np.ndarray, num: int, den: int):
+        self.sid, self.got, self.num, self.den = sid, got, num, den
+        self.ids: list[int] = []
+        self.sizes: list[int] = []
+        self.diffs: list[np.ndarray] = []
+
+    def add(self, sid: int, got: np.ndarray) -> None:
+        self.ids.append(sid)
+        self.sizes.append(len(got))
+        self.diffs.append(np.setxor1d(self.got, got, assume_unique=True))
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that span the groups of the star, each verified exactly."""
+        if not self.ids:
+            return []
+        size = np.array(self.sizes, np.int64)
+        apart = np.array([len(d) for d in self.diffs], np.int64)
+        linked = self._ok(size, len(self.got), apart)
+        out = [(self.sid, self.ids[i]) for i in np.flatnonzero(linked).tolist()]
+        far = np.flatnonzero(~linked)
+        if not len(far) or len(size) == 1:
+            return out
+        # group[i]: the members known to be connected; all that are linked to the centre are.
+        group = np.arange(len(size))
+        if linked.any():
+            group[linked] = np.flatnonzero(linked)[0]
+        value, where = np.unique(np.concatenate(self.diffs), return_inverse=True)
+        member = np.repeat(np.arange(len(size)), apart)
+        by = np.argsort(where, kind="stable")
+        lists, begin = member[by], np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(value)))])
+        ends = np.cumsum(apart)
+        for u in far.tolist():
+            own = where[ends[u] - apart[u] : ends[u]]
+            held = [lists[begin[v] : begin[v + 1]] for v in own.tolist()]
+            overlap = np.bincount(np.concatenate(held), minlength=len(size)) if held else np.zeros(len(size), np.int64)
+            near = self._ok(size, size[u], apart + apart[u] - 2 * overlap) & (group != group[u])
+            for g in np.unique(group[near]).tolist():
+                v = int(np.flatnonzero(near & (group == g))[0])
+                out.append((min(self.ids[u], self.ids[v]), max(self.ids[u], self.ids[v])))
+                group[group == g] = group[u]
+        return out
+
+    def _ok(self, n: np.ndarray, m: int, apart: np.ndarray) -> np.ndarray:
+        """|x & y| * den >= |x | y| * num, from sizes and the symmetric difference."""
+        common = (n + m - apart) // 2
+        return common * self.den >= (n + m - common) * self.num
+
+
+def solve(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: verified links that connect what the stars ``pairs`` connect.  The centre's own row comes first."""
+    own = pairs.select("a").distinct().select("a", F.col("a").alias("b"))
+    rows = pairs.unionByName(own).join(sets.withColumnRenamed("sid", "b"), "b").select("a", "b", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, window = None, []  # (distance, set, component) of the star's members within reach
+        star: Star | None = None
         out: list[tuple[int, int]] = []
-        for batch in batches:
-            for a, b, dist, comp_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != centre:
-                    centre, window = a, []
-                window = [w for w in window if dist - w[0] <= far + 1e-9]
-                out += [(min(b, w[1]), max(b, w[1])) for w in window if w[2] != comp_]
-                window.append((dist, b, comp_))
-                if len(out) > 50_000:
-                    yield _pairs(out)
-                    out = []
+        for batch in slices(batches, 1024, "hashes", 4 << 20):
+            for a, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = np.frombuffer(raw, np.uint64)
+                if star is None or a != star.sid:
+                    if star is not None:
+                        out += star.links()
+                    star = Star(a, got, num, den)
+                if b != star.sid:
+                    star.add(b, got)
+            if len(out) > 20_000:
+                yield _pairs(out)
+                out = []
+        if star is not None:
+            out += star.links()
         if out:
             yield _pairs(out)
 
-    n = parts(checked.sparkSession)
-    return rows.select("a", "b", "d", "root").repartition(n, "a").sortWithinPartitions("a", "d", "b").mapInArrow(run, "a long, b long").distinct()
+    n = parts(pairs.sparkSession)
+    return rows.repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -248,7 +272,7 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_links (links of the row's set with other sets that were needed to join components)."""
+    """doc_id, n_shingles, component_id, set_links (verified links of the row's set with other sets that span its component)."""
     spark: SparkSession = df.sparkSession
     docs = id_text(df, id_col, text_col)
     rows = materialise(describe(docs, k), "sets")
@@ -258,14 +282,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     wanted = materialise(first.join(nodes, "sid", "left_semi"), "wanted")
     texts = docs.join(wanted, "doc_id").select("doc_id", "sid", "text")
     sets = full_sets(texts, k)
-    checked = materialise(verify(pairs, sets), "checked")
-    links = checked.where(_linked(num, den)).select("a", "b")
+    links = materialise(solve(pairs, sets, num, den), "set-links")
     comp = materialise(components(links), "components")
-    more = materialise(cross_pairs(checked, comp, num, den).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    if more.limit(1).count():
-        again = verify(more, sets).where(_linked(num, den)).select("a", "b")
-        links = materialise(links.unionByName(again), "all-links")
-        comp = materialise(components(links), "components")
     ends = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("set_links"))
     # The name of a component is its smallest document: of each set, then of each component.
     named = first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "doc_id")
