@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +37,24 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends; its result must be written, not cached."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with released(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

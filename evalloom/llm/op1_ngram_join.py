@@ -12,7 +12,8 @@ under their name.  Either way the guarantee holds.
 
 Copies share one set and are joined by its digest alone.  Sets that share a signature meet at the
 smallest of them, their centre (a star), streamed in sorted order, so no pairs within a signature are
-made.  At a centre every member is reduced to its difference from the centre.  Members close to the
+made.  Short histograms of the sets bound distances from below and drop from each star what cannot link
+there.  At a centre every member is reduced to its difference from the centre.  Members close to the
 centre are linked through it; for each other one, the overlaps of its difference with those of all
 members follow from an inverted index over the differences, which are short, and give the exact
 similarity to each.  Only links that join different groups are emitted, so the result of a star is no
@@ -26,6 +27,7 @@ rows; a null identifier never names a component unless no other does.  Extra col
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,8 +60,8 @@ def band_starts() -> list[int]:
 
 
 @lru_cache(100_000)
-def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(band, Hamming bound) of each band that a set of this size belongs to.
+def bands(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(band, Hamming bound, smallest size) of each band that a set of this size belongs to.
 
     Band i serves pairs whose smaller set has a size from s[i] to s[i+1] - 1; the larger has at most
     den/num times that.  With |x & y| >= t / (1 + t) (|x| + |y|) the distance is at most
@@ -72,22 +74,31 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
         small = starts[i + 1] - 1
         large = small * den // num
         if size <= large:
-            out.append((i, (den - num) * (small + large) // (den + num)))
+            out.append((i, (den - num) * (small + large) // (den + num), lo))
     return out
 
 
-def spare(n: int) -> int:
-    """Parts beyond the bound, about two times as many as are expected to have an empty sub-part."""
-    return 0 if n < 8 else 1 + n * SUB * 3 // 100
+@lru_cache(10_000)
+def spare(n: int, least: int) -> int:
+    """Parts beyond the ``n`` that the bound needs: as many as will have an empty sub-part in sets of
+    the band's smallest size, and two standard deviations more."""
+    if n < 4:
+        return 0
+    for extra in range(n):
+        total = n + extra
+        expected = total * (1 - (1 - math.exp(-least / (total * SUB))) ** SUB)
+        if extra >= expected + 2 * math.sqrt(expected):
+            return extra
+    return n
 
 
-def _part_enum(got: np.ndarray, k: int, tag: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _part_enum(got: np.ndarray, k: int, least: int, tag: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures of a set for distance ``k``, which of them cover no element, and how many parts may have such."""
     with np.errstate(over="ignore"):
         base = shingles.mix(np.array([tag * 1_000_003 + seed], np.uint64))[0]
         if k == 0:
             return shingles.mix(np.array([got.sum(dtype=np.uint64) + base], np.uint64)), np.zeros(1, bool), 0
-        extra = spare(k // 2 + 1)
+        extra = spare(k // 2 + 1, least)
         n = k // 2 + 1 + extra
         mixed = shingles.mix(got + np.uint64(seed * 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
         cell = ((mixed >> np.uint64(32)) % np.uint64(n * SUB)).astype(np.int64)
@@ -101,11 +112,11 @@ def _part_enum(got: np.ndarray, k: int, tag: int, seed: int) -> tuple[np.ndarray
 def signatures(got: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """PartEnum signatures of a sorted distinct set of shingle hashes."""
     out = []
-    for band, k in bands(len(got), num, den):
-        sig, empty, extra = _part_enum(got, k, band, 0)
+    for band, k, least in bands(len(got), num, den):
+        sig, empty, extra = _part_enum(got, k, least, band, 0)
         out.append(sig[~empty])
         if np.count_nonzero(empty.reshape(-1, SUB).any(1) if k else empty) > extra:
-            out += [_part_enum(got, k, (band << 32) + name + 1, 1)[0] for name in np.flatnonzero(empty).tolist()]
+            out += [_part_enum(got, k, least, (band << 32) + name + 1, 1)[0] for name in np.flatnonzero(empty).tolist()]
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -113,15 +124,24 @@ def _raws(b: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in b.column("text").to_pylist()]
 
 
+def histogram(got: np.ndarray) -> bytes:
+    """Counts of a set's hashes in a power of two of cells, about eight to a cell.
+
+    The sum of absolute differences of two histograms is never more than the sets' symmetric difference.
+    """
+    cells = 1 << min(16, max(5, (len(got) // 8).bit_length()))
+    return np.minimum(np.bincount((got >> np.uint64(40)).astype(np.int64) & (cells - 1), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, sid (digest of the set) of every row."""
+    """doc_id, n_shingles, sid (digest of the set), hist (its histogram) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024, most=2 << 20):
             got = shingles.sets(_raws(b), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(g) for g in got], pa.int64()), pa.array([set_id(g) for g in got], pa.int64())], ["doc_id", "n_shingles", "sid"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(g) for g in got], pa.int64()), pa.array([set_id(g) for g in got], pa.int64()), pa.array(map(histogram, got), pa.binary())], ["doc_id", "n_shingles", "sid", "hist"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long, hist binary")
 
 
 def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -186,6 +206,77 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("sid", "text").mapInArrow(run, "sid long, hashes binary")
 
 
+def possible(hists: list[bytes], sizes: list[int], num: int, den: int) -> np.ndarray:
+    """Which sets of a star may link with another one of it, by their histograms."""
+    cells = min(map(len, hists))
+    count = np.stack([np.frombuffer(h, np.uint8).astype(np.int32).reshape(-1, cells).sum(0) for h in hists])
+    size = np.array(sizes, np.int64)
+    out = np.zeros(len(size), bool)
+    for i in range(len(size) - 1):
+        near = np.abs(count[i + 1 :] - count[i]).sum(1) * (den + num) <= (size[i + 1 :] + size[i]) * (den - num)
+        out[i + 1 :] |= near
+        out[i] |= near.any()
+    return out
+
+
+#: Larger stars are not thinned out: comparing all their histograms would take longer than the exact step.
+THIN = 2000
+
+
+def thinned(pairs: DataFrame, hists: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the stars' rows, the centre's own (a, a) among them, without sets that can't link within the star.
+
+    The test is a lower bound on the distance, so no link is lost; a star in which nothing can link goes.
+    """
+    own = pairs.select("a").distinct().select("a", F.col("a").alias("b"))
+    rows = pairs.unionByName(own).join(hists.withColumnRenamed("sid", "b"), "b").select("a", "b", "n_shingles", "hist")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre: int | None = None
+        ids: list[int] = []
+        sizes: list[int] = []
+        held: list[bytes] = []
+        large = False
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(ids) > 1:
+                keep = possible(held, sizes, num, den)
+                if keep.any():
+                    keep[0] = True
+                    out.extend((ids[0], ids[i]) for i in np.flatnonzero(keep).tolist())
+            ids.clear()
+            sizes.clear()
+            held.clear()
+
+        for batch in batches:
+            for a, b, n, hist in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if a != centre:
+                    close()
+                    centre, large = a, False
+                if large:
+                    out.append((a, b))
+                    continue
+                ids.append(b)
+                sizes.append(n)
+                held.append(hist)
+                if len(ids) > THIN:
+                    out.extend((a, x) for x in ids)
+                    ids.clear()
+                    sizes.clear()
+                    held.clear()
+                    large = True
+            if len(out) > 20_000:
+                yield _pairs(out)
+                out = []
+        close()
+        if out:
+            yield _pairs(out)
+
+    n = parts(pairs.sparkSession)
+    return rows.repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
+
+
 class Star:
     """A centre and the members that came so far, as differences from it."""
 
@@ -238,9 +329,8 @@ class Star:
 
 
 def solve(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: verified links that connect what the stars ``pairs`` connect.  The centre's own row comes first."""
-    own = pairs.select("a").distinct().select("a", F.col("a").alias("b"))
-    rows = pairs.unionByName(own).join(sets.withColumnRenamed("sid", "b"), "b").select("a", "b", "hashes")
+    """a, b: verified links that connect what the stars ``pairs`` connect.  The centre's own row, (a, a), comes first."""
+    rows = pairs.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "b", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star: Star | None = None
@@ -277,10 +367,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     docs = id_text(df, id_col, text_col)
     rows = materialise(describe(docs, k), "sets")
     first = rows.where("sid <> 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    pairs = materialise(stars(signed(docs, k, num, den)), "stars")
-    nodes = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    met = materialise(stars(signed(docs, k, num, den)), "met")
+    hists = rows.where("sid <> 0").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("hist").alias("hist"))
+    pairs = materialise(thinned(met, hists, num, den), "stars")
+    nodes = pairs.select(F.col("b").alias("sid")).distinct()
     wanted = materialise(first.join(nodes, "sid", "left_semi"), "wanted")
-    texts = docs.join(wanted, "doc_id").select("doc_id", "sid", "text")
+    # The same plan at every size: texts are dealt by identifier and stream past the hashed list of wanted ones.
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "sid", "text")
     sets = full_sets(texts, k)
     links = materialise(solve(pairs, sets, num, den), "set-links")
     comp = materialise(components(links), "components")
@@ -289,10 +382,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     named = first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "doc_id")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(smallest, "root").select("sid", "component_id").join(ends, "sid", "left")
-    result = rows.join(by_set, "sid", "left").select(
+    return rows.join(by_set, "sid", "left").select(
         "doc_id", "n_shingles", F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("set_links", F.lit(0)).alias("set_links")
     )
-    return result
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
