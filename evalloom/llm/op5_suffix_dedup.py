@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import materialise, parts, slices, table
+from evalloom.llm.common import materialise, parts, released, slices, table
 from evalloom.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
@@ -100,9 +100,10 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = key * 257 + padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(n, bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    key = key[order]
+    new[1:] = key[1:] != key[:-1]
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -115,12 +116,12 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(where):
             break
         pos = order[where]
-        nxt = rank[np.minimum(pos + h, n)]
-        again = np.lexsort((nxt, head[where]))
+        both = head[where] * (n + 2) + rank[np.minimum(pos + h, n)]
+        again = np.argsort(both)
         order[where] = pos[again]
-        nxt, heads = nxt[again], head[where]
+        both = both[again]
         split = np.ones(len(where), bool)
-        split[1:] = (nxt[1:] != nxt[:-1]) | (heads[1:] != heads[:-1])
+        split[1:] = both[1:] != both[:-1]
         new[where] = split
         head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank[order[where]] = head[where]
@@ -144,17 +145,22 @@ def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     bound[1:] = text[order][1:] != text[order][:-1]
     open_ = np.flatnonzero(~bound)
     before, here = psi[open_ - 1], psi[open_]
-    level = np.cumsum(bound)
+    level = np.cumsum(bound, dtype=np.int32)
     for _ in range(1, length):
         if not len(open_):
             break
-        hit = level[before] != level[here]
-        if not hit.any():
-            # No interval splits at this level, so none will later: all that is left shares ``length`` symbols or more.
+        if level is not None:
+            hit = level[before] != level[here]
+        else:  # what is still open can only be split by the boundaries of the level just before
+            low, high = np.minimum(before, here), np.maximum(before, here)
+            hit = np.searchsorted(found, low, "right") != np.searchsorted(found, high, "right")
+        found = open_[hit]
+        if not len(found):
+            # No interval split at this level, so none will later: all that is left shares ``length`` symbols or more.
             break
-        bound[open_[hit]] = True
+        bound[found] = True
         open_, before, here = open_[~hit], before[~hit], here[~hit]
-        level = np.cumsum(bound)
+        level = np.cumsum(bound, dtype=np.int32) if len(open_) > n // 16 else None
     return bound
 
 
@@ -165,7 +171,10 @@ def repeats(segments: list[bytes], docs: list[int], starts: list[int], length: i
     begin = np.cumsum(lens + 1) - (lens + 1)
     text[begin + lens] = 0
     order = suffix_order(text, length)
-    group = np.cumsum(expand(text, order, length))
+    bound = expand(text, order, length)
+    shared = ~bound
+    shared[:-1] |= ~bound[1:]
+    group, order = np.cumsum(bound)[shared], order[shared]  # only windows that some other window equals
     seg = np.searchsorted(begin, order, "right") - 1
     offset = order - begin[seg]
     ok = offset + length <= lens[seg]
@@ -359,7 +368,8 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     left = docs.select("doc", "text", "sha").where(F.octet_length("text") >= length).repartition(n, "doc")
     keep = first.select("doc", F.col("sha").alias("first_sha")).repartition(n, "doc")
     once = left.join(keep.hint("shuffle_hash"), (left.doc == keep.doc) & (F.instr(left.sha, F.col("first_sha")) == 1), "left_semi")
-    once.write.option("compression", "zstd").bucketBy(n, "doc").saveAsTable(name)
+    with released(spark):
+        once.write.option("compression", "zstd").bucketBy(n, "doc").saveAsTable(name)
     try:
         texts = spark.table(name)
         again = _repeated(_keys(texts.select("doc", "text"), length))
