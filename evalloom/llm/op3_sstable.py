@@ -278,10 +278,37 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"doc_id": pa.array(a, pa.int64()), "start": pa.array(b, pa.int64()), "n_tokens": pa.array(c, pa.int64()), "ids": pa.array(d, pa.binary())})
 
 
-def lookup(manifest: DataFrame, idents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The ids of the wanted identifiers: each shard whose key range holds some is opened once; Bloom filter and binary search do the rest."""
+def _route(wanted: DataFrame, shards: list[tuple[int, int, str, int]]) -> DataFrame:
+    """want, path, size of every shard of a bounded list whose key range holds the identifier."""
+    shared = wanted.sparkSession.sparkContext.broadcast(sorted(shards))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = shared.value
+        firsts = [r[0] for r in ranges]
+        for b in batches:
+            rows = []
+            for want in b.column("want").to_pylist():
+                k = bisect_right(firsts, want) - 1
+                while k >= 0 and ranges[k][1] >= want:  # ranges are in order and meet at equal identifiers only
+                    rows.append((want, ranges[k][2], ranges[k][3]))
+                    k -= 1
+            if rows:
+                x, y, z = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_pydict({"want": pa.array(x, pa.int64()), "path": pa.array(y), "size": pa.array(z, pa.int64())})
+
+    return wanted.mapInArrow(run, "want long, path string, size long")
+
+
+def lookup(manifest: DataFrame, idents: DataFrame, id_col: str = "doc_id", block: int = 100_000) -> DataFrame:
+    """The ids of the wanted identifiers: each shard whose key range holds some is opened once; Bloom filter
+    and binary search do the rest.  The manifest is sent to the tasks ``block`` shards at a time."""
     wanted = idents.select(F.col(id_col).cast("long").alias("want")).where("want is not null").distinct()
-    ranged = wanted.join(manifest.select("path", "size", "first_id", "last_id"), F.col("want").between(F.col("first_id"), F.col("last_id")))
+    blocks = max(1, -(-manifest.count() // block))
+    ranged = None
+    for k in range(blocks):
+        mine = manifest.where(F.pmod(F.xxhash64("path"), F.lit(blocks)) == k).select("first_id", "last_id", "path", "size").collect()
+        part = _route(wanted, [tuple(r) for r in mine])
+        ranged = part if ranged is None else ranged.unionByName(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at, out = None, None, []
