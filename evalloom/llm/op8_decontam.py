@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The frequency in the corpus of every n-gram of the test items is counted over all documents.
-2. In each run of ``window`` consecutive n-grams of an item the rarest is a seed, so any copy of
-   ``window + n - 1`` unbroken words of an item holds a seed, however frequent the passage is.
-3. Documents are searched for seeds; around the hits, on their diagonals, the item is aligned with the
-   document by Smith-Waterman over words.  A pair is contaminated if the equal words of the alignment
-   make up ``coverage`` of the item.
+1. Every n-gram of an item is a seed, so any copy that keeps ``n`` unbroken words of an item holds a seed,
+   whatever other copies the corpus has and however frequent the passage is.
+2. Documents are searched for seeds; around the hits, on their diagonals, the item is aligned with the
+   document by Smith-Waterman over words, unless too few of the item's words stand there at all.
+   A pair is contaminated if the equal words of the alignment make up ``coverage`` of the item.
 
 Test items go in blocks of bounded size (``block_bytes``), each sent to all executors; however large
 the benchmark, no more than one block is held.  Documents are never shuffled.
@@ -17,7 +16,6 @@ identifiers merged to the best alignment of each document row.  Extra columns ar
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 from evalloom.llm import shingles
 from evalloom.llm.common import id_text, slices, table
 
-N, WINDOW, COVERAGE = 5, 4, 0.5
+N, COVERAGE = 5, 0.5
 BLOCK_BYTES = 8 << 20
 _MASK = np.uint64((1 << 20) - 1)
 _PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -79,19 +77,16 @@ class Items:
     def grams(self, w: np.ndarray) -> np.ndarray:
         return shingles.grams(w, min(self.n, len(w))) if len(w) else np.zeros(0, np.uint64)
 
-    def all(self) -> np.ndarray:
-        return np.unique(np.concatenate([self.grams(w) for w in self.words] or [np.zeros(0, np.uint64)]))
-
-    def seeds(self, frequency: dict[int, int], window: int) -> dict[int, list[tuple[int, int]]]:
-        """n-gram to (item, position) of the rarest of each window."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, w in enumerate(self.words):
-            g = self.grams(w).tolist()
-            ranks = [(frequency.get(h, 0), h) for h in g]
-            picked = {min(range(s, min(s + window, len(g))), key=lambda p: (ranks[p], p)) for s in range(max(1, len(g) - window + 1))} if g else set()
-            for p in sorted(picked):
-                out[g[p]].append((i, p))
-        return out
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct n-grams, where each one's places begin, and the item and position of each place."""
+        grams = [self.grams(w) for w in self.words]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        every = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        keys, begins = np.unique(every[order], return_index=True)
+        item = np.repeat(np.arange(len(grams)), sizes)
+        position = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return keys, np.append(begins, len(every)), item[order], position[order]
 
 
 class Finder:
@@ -116,57 +111,29 @@ class Finder:
         return np.concatenate(where), np.concatenate(which)
 
 
-def _frequencies(docs: DataFrame, grams: np.ndarray, sizes: list[int]) -> dict[int, int]:
-    """In how many places of the corpus each wanted n-gram stands; one row a partition and n-gram is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast((grams, sizes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, sizes_ = shared.value
-        find, count = Finder(wanted, sizes_), np.zeros(len(wanted), np.int64)
-        for b in slices(batches, 512, most=2 << 20):
-            word, at = shingles.words([plain(t) for t in b.column("text").to_pylist()])
-            word = np.insert(word, at[1:-1], np.uint64(0))  # no n-gram crosses documents
-            count += np.bincount(find(word)[1], minlength=len(wanted))
-        k = np.flatnonzero(count)
-        if len(k):
-            yield pa.RecordBatch.from_pydict({"g": pa.array(k, pa.int64()), "n": pa.array(count[k], pa.int64())})
-
-    rows = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    return {int(grams[r.g]): r.n for r in rows}
-
-
-def _block(docs: DataFrame, rows: list[tuple[int, str]], n: int, window: int, coverage: float) -> DataFrame | None:
-    items = Items(rows, n)
-    grams = items.all()
-    if not len(grams):
+def _block(docs: DataFrame, rows: list[tuple[int, str]], n: int, coverage: float) -> DataFrame | None:
+    if not Items(rows, n).sizes:
         return None
-    seeds = items.seeds(_frequencies(docs, grams, items.sizes), window)
-    shared = docs.sparkSession.sparkContext.broadcast((rows, dict(seeds)))
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_, seeds_ = shared.value
-        items_ = Items(rows_, n)
-        keys = np.array(sorted(seeds_), np.uint64)
-        places = [seeds_[k] for k in keys.tolist()]
+        items_ = Items(shared.value, n)
+        keys, starts, of, at_word = items_.seeds()
         find = Finder(keys, items_.sizes)
         for b in slices(batches, 512, most=2 << 20):
             word, at = shingles.words([plain(t) for t in b.column("text").to_pylist()])
-            marked = np.insert(word, at[1:-1], np.uint64(0))
+            marked = np.insert(word, at[1:-1], np.uint64(0))  # no n-gram crosses documents
             begins = at[:-1] + np.arange(len(at) - 1)
             where, which = find(marked)
             if not len(where):
                 continue
             owner = np.searchsorted(begins, where, "right") - 1
-            hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-            for d, p, k in zip(owner.tolist(), (where - begins[owner]).tolist(), which.tolist(), strict=True):
-                for item, q in places[k]:
-                    hits[d, item].add(p - q)
             out = []
             ids = b.column("doc_id")
-            for (d, item), diagonals in sorted(hits.items()):
+            for d, item, diagonals in _pairs(owner, where - begins[owner], which, starts, of, at_word):
                 doc, target = word[at[d] : at[d + 1]], items_.words[item]
-                best = max(_aligned(target, doc, sorted(diagonals)), key=lambda x: (x[1], x[0], -x[2]))
-                if best[1] >= coverage * len(target):
+                best = max(_aligned(target, doc, diagonals, coverage * len(target)), key=lambda x: (x[1], x[0], -x[2]), default=None)
+                if best and best[1] >= coverage * len(target):
                     out.append((ids[d].as_py(), items_.ids[item], best[1] / len(target), best[0], best[1], best[2], best[3]))
             if out:
                 cols = zip(*out, strict=True)
@@ -176,8 +143,29 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], n: int, window: int, co
     return docs.mapInArrow(run, SCHEMA)
 
 
-def _aligned(item: np.ndarray, doc: np.ndarray, diagonals: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Alignments of an item with each stretch of the document that its diagonals point at."""
+def _pairs(owner: np.ndarray, place: np.ndarray, which: np.ndarray, starts: np.ndarray, of: np.ndarray, at_word: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+    """Document, item and sorted diagonals of the hits, one pair at a time; a piece holds about a million hits of whole documents."""
+    order = np.argsort(owner, kind="stable")
+    owner, place, which = owner[order], place[order], which[order]
+    many = starts[which + 1] - starts[which]
+    total = np.cumsum(many)
+    begin = 0
+    while begin < len(owner):
+        end = max(int(np.searchsorted(total, (total[begin - 1] if begin else 0) + (1 << 20), "right")), begin + 1)
+        end = int(np.searchsorted(owner, owner[end - 1], "right"))
+        m = many[begin:end]
+        k = np.repeat(starts[which[begin:end]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        doc, item, diagonal = np.repeat(owner[begin:end], m), of[k], np.repeat(place[begin:end], m) - at_word[k]
+        by = np.lexsort((diagonal, item, doc))
+        doc, item, diagonal = doc[by], item[by], diagonal[by]
+        edges = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
+        for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)], strict=True):
+            yield int(doc[x]), int(item[x]), np.unique(diagonal[x:y]).tolist()
+        begin = end
+
+
+def _aligned(item: np.ndarray, doc: np.ndarray, diagonals: list[int], least: float) -> Iterator[tuple[int, int, int, int]]:
+    """Alignments of an item with each stretch of the document that its diagonals point at and that holds ``least`` of its words."""
     pad = len(item) // 2 + 4
     spans: list[list[int]] = []
     for d in diagonals:
@@ -187,6 +175,8 @@ def _aligned(item: np.ndarray, doc: np.ndarray, diagonals: list[int]) -> Iterato
         else:
             spans.append([a, b])
     for a, b in spans:
+        if np.isin(item, doc[a:b]).sum() < least:  # each word of the item is equal to one of the stretch at most
+            continue
         step = 64 * len(item) + 4096
         while a < b:  # long stretches go in overlapping pieces, so the table stays small
             end = min(b, a + step)
@@ -200,7 +190,7 @@ def _aligned(item: np.ndarray, doc: np.ndarray, diagonals: list[int]) -> Iterato
 SCHEMA = "doc_id long, item_id long, coverage double, score long, matched long, word_start long, word_end long"
 
 
-def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, window: int = WINDOW, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each contaminated pair of a document and a test item, with its best alignment."""
     docs = id_text(df, id_col, text_col)
     tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
@@ -209,7 +199,7 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     found = []
     for k in range(blocks):
         rows = [(r.item_id, r.text) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        if (part := _block(docs, sorted(rows), n, window, coverage)) is not None:
+        if (part := _block(docs, sorted(rows), n, coverage)) is not None:
             found.append(part)
     return reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], SCHEMA)
 

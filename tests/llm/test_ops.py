@@ -427,6 +427,19 @@ def test_decontamination(spark):
     assert op8_decontam.find(odd(spark), bench.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    """A word changed in every 6 to 8, whether or not the item stands elsewhere as it is."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(40)] for _ in range(6)]
+    edit = lambda item, every: " ".join("changed" if i % every == every - 1 else w for i, w in enumerate(item))
+    docs = [(k, " ".join(word() for _ in range(30)) + " " + edit(items[k], 6 + k % 3)) for k in range(6)]
+    docs += [(10 + k, " ".join(items[k])) for k in range(3, 6)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op8_decontam.find(documents(spark, docs), bench).collect()}
+    assert got == {(k, k) for k in range(6)} | {(10 + k, k) for k in range(3, 6)}
+
+
 # ---- 9 and 10
 
 
