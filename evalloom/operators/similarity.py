@@ -46,6 +46,14 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
     return full.select("a", "b", F.round(score, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def token_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, representative: one row a text, with the smallest id of the texts of equal token sets; texts without tokens represent themselves."""
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(token_set(F.col(text_col))).alias("_t"))
+    rows = rows.select("id", F.when(F.size("_t") > 0, F.sha2(F.array_join("_t", " "), 256)).alias("_k"))
+    first = rows.where("_k is not null").groupBy("_k").agg(F.min("id").alias("representative"))
+    return rows.join(first, "_k", "left").select("id", F.coalesce("representative", "id").alias("representative"))
+
+
 def greedy_leaders(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
     """id, leader: in order of id each row joins the first leader that it has an edge to, or leads.
 
@@ -77,6 +85,15 @@ def greedy_leaders(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> Da
     return nodes.select(F.col(id_col).alias("id")).join(grouped, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
+def greedy_drop(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, leader of every row: edges join representatives, and a representative's leader holds for all rows of its class.
+
+    A copy has the edges of its representative and comes later, so the first leader near to it is the same.
+    """
+    leaders = greedy_leaders(edges, classes.select(F.col("representative").alias("id")).distinct())
+    return classes.join(leaders.withColumnRenamed("id", "representative"), "representative").select("id", "leader")
+
+
 def top_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most: int = 100_000) -> DataFrame:
     """query, neighbour, similarity of the k nearest by cosine, for a stated set of queries against all rows.
 

@@ -77,7 +77,7 @@ def near_dup_stems(spark, sf):
 @query("greedy_near_dup_drop")
 def greedy_near_dup_drop(spark, sf):
     docs = read(spark, sf, "documents")
-    return similarity.greedy_leaders(similarity.jaccard_pairs(docs, "doc_id", "text", 0.8), docs, "doc_id")
+    return similarity.greedy_drop(similarity.jaccard_pairs(docs, "doc_id", "text", 0.8), similarity.token_classes(docs, "doc_id", "text"))
 
 
 @query("exact_dup_clusters", "select md5(text) digest, count(*) n, min(doc_id) first_id, max(doc_id) last_id from documents where text is not null group by text having count(*) > 1")

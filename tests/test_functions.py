@@ -163,6 +163,22 @@ def test_greedy_leaders(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}  # 3 is near 2 only, and 2 does not lead
 
 
+def test_greedy_drop_of_copies(spark, tmp_path):
+    """The query against the sequential pass over all documents; copies of leaders and of dropped rows go too."""
+    from evalloom import catalog
+
+    w = [f"w{i}" for i in range(20)]
+    texts = {1: w, 2: w[::-1], 3: w[:18], 4: ["other"], 5: w[2:18], 6: w[:18] * 2, 7: [], 8: None, 9: ["other"] * 3, 10: w[2:18], 11: []}
+    spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, leaders = {}, []
+    for i, t in texts.items():
+        x = set(t or [])
+        want[i] = next((h for h in leaders if x and len(x & set(texts[h] or [])) >= 0.8 * len(x | set(texts[h] or []))), i)
+        leaders += [i] if want[i] == i else []
+    got = {r.id: r.leader for r in catalog.queries()["greedy_near_dup_drop"](spark, str(tmp_path)).collect()}
+    assert got == want and got[2] == 1 and got[6] == 1 and got[9] == 4
+
+
 def test_question_rules(spark):
     from evalloom.schemas import QUESTION
 
