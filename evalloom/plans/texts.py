@@ -65,7 +65,7 @@ PAIRS = """k as (select id, list_sort(list_distinct(regexp_extract_all(lower(coa
 
 @query("near_dup_pairs", f"with src as (select doc_id id, text txt from documents), {PAIRS} select * from j where jaccard >= 0.8")
 def near_dup_pairs(spark, sf):
-    """Pairs of distinct token sets; rows with equal sets are represented by the first."""
+    """Pairs of distinct token sets; rows with equal sets are represented by the first (see near_dup_members)."""
     return similarity.jaccard_pairs(read(spark, sf, "documents"), "doc_id", "text", 0.8)
 
 
@@ -74,6 +74,21 @@ def near_dup_stems(spark, sf):
     return similarity.jaccard_pairs(views.questions(spark, sf), "question_id", "stem", 0.8)
 
 
+MEMBERS = """k as (select id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(txt, '')), '[a-z0-9]+'))) tk from src)
+ select id, case when len(tk) > 0 then min(id) over (partition by tk) else id end representative from k"""
+
+
+@query("near_dup_members", f"with src as (select doc_id id, text txt from documents), {MEMBERS}")
+def near_dup_members(spark, sf):
+    """Every document with the first one of its token set, which stands for it in near_dup_pairs."""
+    return similarity.token_classes(read(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("near_dup_stem_members", f"with {QUESTIONS}, src as (select question_id id, stem txt from v_questions), {MEMBERS}")
+def near_dup_stem_members(spark, sf):
+    return similarity.token_classes(views.questions(spark, sf), "question_id", "stem")
+
+
 @query("greedy_near_dup_drop")
 def greedy_near_dup_drop(spark, sf):
     docs = read(spark, sf, "documents")

@@ -179,6 +179,21 @@ def test_greedy_drop_of_copies(spark, tmp_path):
     assert got == want and got[2] == 1 and got[6] == 1 and got[9] == 4
 
 
+def test_pairs_and_members_reach_all_copies(spark, tmp_path):
+    """Pairs and membership together give every pair of near texts; a class without a near neighbour is there too."""
+    from evalloom import catalog
+
+    w = [f"w{i}" for i in range(10)]
+    texts = {1: w, 2: w[:9], 3: w[::-1], 4: w[:9] * 2, 5: ["lone"], 6: ["lone", "lone"], 7: [], 8: []}
+    spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    first = {r.id: r.representative for r in run("near_dup_members")}
+    near = {(r.a, r.b) for r in run("near_dup_pairs")}
+    got = {(a, b) for a in first for b in first if a < b and texts[a] and (first[a] == first[b] or tuple(sorted((first[a], first[b]))) in near)}
+    assert got == {(a, b) for a in texts for b in texts if a < b and texts[a] and len(set(texts[a]) & set(texts[b])) >= 0.8 * len(set(texts[a]) | set(texts[b]))}
+    assert first == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, 6: 5, 7: 7, 8: 8}
+
+
 def test_question_rules(spark):
     from evalloom.schemas import QUESTION
 
