@@ -158,26 +158,79 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
+def _hits(edges: list[tuple[int, int, float]]) -> int:
+    """Pairs of the optimal assignment over edges alone; groups that no edge links are assigned on their own."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(x: tuple[int, int]) -> tuple[int, int]:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j, _ in edges:
+        root[top((0, i))] = top((1, j))
+    groups: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for e in edges:
+        groups.setdefault(top((0, e[0])), []).append(e)
+    hits = 0
+    for group in groups.values():
+        if len(group) == 1:
+            hits += 1
+            continue
+        left, right = ({x: k for k, x in enumerate(sorted({e[side] for e in group}))} for side in (0, 1))
+        kept = np.zeros((len(left), len(right)))
+        for i, j, s in group:
+            kept[left[i], right[j]] = s
+        hits += sum(kept[i, j] > 0 for i, j in assign(-kept))
+    return hits
+
+
 def soft_jaccard_value(sim: np.ndarray, threshold: float = 0.8) -> float:
     """Matched pairs at or above the threshold, over the union; any empty side is 0."""
     n, m = sim.shape
     if not n or not m:
         return 0.0
-    kept = np.where(sim >= threshold, sim, 0.0)
-    hits = sum(kept[i, j] >= threshold for i, j in assign(-kept))
+    i, j = np.nonzero(sim >= threshold)
+    hits = _hits(list(zip(i.tolist(), j.tolist(), sim[i, j].tolist(), strict=True)))
     return hits / (n + m - hits)
 
 
 def bigram_matrix(a: list[str], b: list[str]) -> np.ndarray:
     grams = lambda s: {s[i : i + 2] for i in range(len(s) - 1)}
     x, y = [grams(s) for s in a], [grams(s) for s in b]
-    return np.array([[1.0 if s == t else len(p & q) / len(p | q) if p | q else 0.0 for t, q in zip(b, y, strict=True)] for s, p in zip(a, x, strict=True)]).reshape(len(a), len(b))
+    at = {g: k for k, g in enumerate(sorted(set().union(*x, *y)))}
+
+    def marks(sets: list[set[str]]) -> np.ndarray:
+        out = np.zeros((len(sets), len(at)), np.float32)
+        out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), [at[g] for s in sets for g in s]] = 1
+        return out
+
+    both = (marks(x) @ marks(y).T).astype(np.float64)
+    union = np.array([len(s) for s in x], np.float64)[:, None] + np.array([len(s) for s in y], np.float64) - both
+    sim = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+    where: dict[str, list[int]] = {}
+    for j, t in enumerate(b):
+        where.setdefault(t, []).append(j)
+    for i, s in enumerate(a):
+        sim[i, where.get(s, [])] = 1.0
+    return sim
+
+
+def _soft(a: list[str], b: list[str], threshold: float = 0.8, step: int = 1024) -> float:
+    """Soft Jaccard of two lists; the matrix is made ``step`` rows at a time and only its edges are kept."""
+    edges = []
+    for k in range(0, len(a) if b else 0, step):
+        sim = bigram_matrix(a[k : k + step], b)
+        i, j = np.nonzero(sim >= threshold)
+        edges += zip((i + k).tolist(), j.tolist(), sim[i, j].tolist(), strict=True)
+    hits = _hits(edges)
+    return hits / (len(a) + len(b) - hits) if a and b else 0.0
 
 
 @F.pandas_udf(DoubleType())
 def soft_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     """Soft Jaccard of two lists of terms, by bigram similarity."""
-    return pd.Series([soft_jaccard_value(bigram_matrix(list(x if x is not None else []), list(y if y is not None else []))) for x, y in zip(a, b, strict=True)])
+    return pd.Series([_soft(list(x if x is not None else []), list(y if y is not None else [])) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def leader_clusters(df: DataFrame, group: str, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:

@@ -158,7 +158,7 @@ def leader_clusters(spark, sf):
 @query("soft_jaccard")
 def soft_jaccard(spark, sf):
     r = _runs(spark, sf)
-    return r.select("id", F.round(similarity.soft_jaccard(F.slice("a", 1, 12), F.slice("b", 1, 12)), 6).alias("soft_jaccard"))
+    return r.select("id", F.round(similarity.soft_jaccard("a", "b"), 6).alias("soft_jaccard"))
 
 
 def _contains(col: str, keys: list[str]) -> str:

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 
 import numpy as np
 import pytest
@@ -156,6 +157,25 @@ def test_soft_jaccard_bounds(a, b):
     assert 0 <= x <= 1 and x == pytest.approx(similarity.soft_jaccard_value(similarity.bigram_matrix(b, a)))
 
 
+def test_soft_jaccard_uses_whole_lists(spark, tmp_path):
+    """Every distinct word of both halves, against the assignment over the whole matrix."""
+    from evalloom import catalog
+
+    rng = random.Random(3)
+    texts = {1: [f"abcdefgh{chr(97 + i)}x" for i in range(20)] + [f"abcdefgh{chr(97 + i)}" for i in range(20)], 2: ["x"], 3: []}
+    texts |= {4 + k: ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(60)] for k in range(4)}
+    spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.soft_jaccard for r in catalog.queries()["soft_jaccard"](spark, str(tmp_path)).collect()}
+    for i, t in texts.items():
+        d = list(dict.fromkeys(t))
+        a, b = sorted(d[: -(-len(d) // 2)]), sorted(d[-(-len(d) // 2) :])
+        grams = lambda s: {s[k : k + 2] for k in range(len(s) - 1)}
+        sim = np.array([[1.0 if s == u else len(grams(s) & grams(u)) / max(1, len(grams(s) | grams(u))) for u in b] for s in a]).reshape(len(a), len(b))
+        kept = np.where(sim >= 0.8, sim, 0.0)
+        hits = sum(kept[x, y] > 0 for x, y in similarity.assign(-kept)) if a and b else 0
+        assert got[i] == pytest.approx(hits / (len(a) + len(b) - hits) if a and b else 0.0, abs=1e-6)
+
+
 def test_greedy_leaders(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
