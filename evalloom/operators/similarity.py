@@ -54,18 +54,42 @@ def token_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(first, "_k", "left").select("id", F.coalesce("representative", "id").alias("representative"))
 
 
+def term_classes(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", term: str = "term") -> DataFrame:
+    """id, representative: one row a document, with the smallest id of those that hold the same terms equally often; documents without terms represent themselves."""
+    tf = terms.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
+    keys = tf.groupBy(doc).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(term, "tf")))), 256).alias("_k"))
+    first = keys.groupBy("_k").agg(F.min(doc).alias("representative"))
+    named = keys.join(first, "_k").select(F.col(doc).alias("id"), "representative")
+    return docs.select(F.col(doc).alias("id")).join(named, "id", "left").select("id", F.coalesce("representative", "id").alias("representative"))
+
+
+def cosine_pairs(weights: DataFrame, threshold: float, doc: str = "doc_id", term: str = "term") -> DataFrame:
+    """a, b, cosine of pairs of unit vectors at or above the threshold.
+
+    With terms in order of rising frequency, what two vectors share from their first shared term on is at
+    most the product of their norms from there on, so that term lies where both norms reach the threshold.
+    """
+    rest = Window.partitionBy(doc).orderBy(F.desc("df"), F.desc(term)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = weights.withColumn("_s", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).where(F.col("_s") >= threshold - 1e-6)
+    x, y = prefix.select(term, F.col(doc).alias("a")), prefix.select(term, F.col(doc).alias("b"))
+    near = x.join(y, term).where("a < b").select("a", "b").distinct()
+    left, right = weights.select(F.col(doc).alias("a"), term, F.col("weight").alias("wa")), weights.select(F.col(doc).alias("b"), term, F.col("weight").alias("wb"))
+    dot = near.join(left, "a").join(right, ["b", term]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
+    return dot.where(F.col("cosine") >= threshold)
+
+
 def greedy_leaders(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
     """id, leader: in order of id each row joins the first leader that it has an edge to, or leads.
 
     Rows without edges lead themselves without any work; the sequential pass runs over each connected
     component's edges alone, so it is as large as one group of near copies.
     """
-    sym = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u < v").distinct()
+    sym = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u < v").distinct().localCheckpoint()  # read in every round; the plan must not grow with the rounds
     comp = sym.select(F.col("u").alias("n"), F.col("u").alias("c")).unionByName(sym.select(F.col("v").alias("n"), F.col("v").alias("c"))).groupBy("n").agg(F.min("c").alias("c"))
     while True:  # labels spread by minimum until nothing changes; components of near copies are shallow
         at = sym.join(comp.select(F.col("n").alias("u"), F.col("c").alias("cu")), "u").join(comp.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v")
         low = F.least("cu", "cv")
-        nxt = at.select(F.col("u").alias("n"), low.alias("c")).unionByName(at.select(F.col("v").alias("n"), low.alias("c"))).groupBy("n").agg(F.min("c").alias("c")).persist()
+        nxt = at.select(F.col("u").alias("n"), low.alias("c")).unionByName(at.select(F.col("v").alias("n"), low.alias("c"))).groupBy("n").agg(F.min("c").alias("c")).localCheckpoint()
         moved = nxt.join(comp.withColumnRenamed("c", "old"), "n").where("c <> old").limit(1).count()
         comp = nxt
         if not moved:

@@ -59,6 +59,47 @@ def tfidf_weights(spark, sf):
     return rows.select("doc_id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
 
+VECTORS = f"{TERMS}, c as (select count(*) n from documents), v as (select doc_id, list(term || ' ' || n order by term) k from p group by 1)"
+
+
+def _vectors(spark, sf):
+    docs = read(spark, sf, "documents")
+    terms = vocab.terms(docs, "doc_id", "text")
+    return docs, terms, similarity.term_classes(docs, terms)
+
+
+def _tfidf_pairs(spark, sf):
+    docs, terms, classes = _vectors(spark, sf)
+    first = classes.select(F.col("representative").alias("doc_id")).distinct()
+    return similarity.cosine_pairs(similarity.tfidf(terms, n_docs=docs.count()).join(first, "doc_id", "left_semi"), 0.955)
+
+
+@query("tfidf_pairs", f"""with {VECTORS}, w as (select doc_id, p.term, p.n * (ln((1.0::double + c.n) / (1.0::double + df)) + 1.0::double) w from p join f on f.term = p.term, c),
+ m as (select doc_id, sqrt(sum(w * w)) norm from w group by 1), r as (select min(doc_id) doc_id from v group by k), u as (select w.doc_id, term, w / norm w from w join m on m.doc_id = w.doc_id join r on r.doc_id = w.doc_id)
+ select x.doc_id a, y.doc_id b, round(sum(x.w * y.w), 6) cosine from u x join u y on x.term = y.term and x.doc_id < y.doc_id group by 1, 2 having round(sum(x.w * y.w), 6) >= 0.955::double""")
+def tfidf_pairs(spark, sf):
+    """Pairs of distinct vectors by TF-IDF cosine; documents with equal vectors are represented by the first (see tfidf_members)."""
+    return _tfidf_pairs(spark, sf)
+
+
+@query("tfidf_members", f"with {VECTORS} select d.doc_id id, case when k is null then d.doc_id else min(d.doc_id) over (partition by k) end representative from documents d left join v on v.doc_id = d.doc_id")
+def tfidf_members(spark, sf):
+    return _vectors(spark, sf)[2]
+
+
+@query("tfidf_near_dup_drop")
+def tfidf_near_dup_drop(spark, sf):
+    return similarity.greedy_drop(_tfidf_pairs(spark, sf), _vectors(spark, sf)[2])
+
+
+@query("deduplication_rate")
+def deduplication_rate(spark, sf):
+    """Share of the documents that the greedy pass over TF-IDF cosines drops."""
+    drop = F.coalesce(F.sum((F.col("leader") != F.col("id")).cast("long")), F.lit(0))
+    rows = tfidf_near_dup_drop(spark, sf).agg(F.count(F.lit(1)).alias("items"), drop.alias("dropped"))
+    return rows.withColumn("rate", F.when(F.col("items") > 0, F.round(F.col("dropped") / F.col("items"), 6)).otherwise(0.0))
+
+
 PAIRS = """k as (select id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(txt, '')), '[a-z0-9]+'))) tk from src), s as (select tk, min(id) id from k where len(tk) > 0 group by 1),
  j as (select x.id a, y.id b, round(len(list_intersect(x.tk, y.tk)) / len(list_distinct(list_concat(x.tk, y.tk))), 6) jaccard from s x, s y where x.id < y.id and least(len(x.tk), len(y.tk)) >= greatest(len(x.tk), len(y.tk)) * 0.8)"""
 

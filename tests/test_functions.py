@@ -214,6 +214,31 @@ def test_pairs_and_members_reach_all_copies(spark, tmp_path):
     assert first == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, 6: 5, 7: 7, 8: 8}
 
 
+def test_tfidf_pairs_drop_and_rate(spark, tmp_path):
+    """Cosine join, greedy pass and rate against the sequential pass over the whole matrix."""
+    from evalloom import catalog
+
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghijklmnop") for _ in range(40)] for _ in range(5)]
+    texts = [b[: len(b) - cut] for b in base for cut in (0, 0, 1, 2, 4, 9)] + [[], []]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    words = sorted({w for t in texts for w in t})
+    tf = np.array([[t.count(w) for w in words] for t in texts], float)
+    x = tf * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    near = np.round(x @ x.T, 6) >= 0.955
+    leader = {}
+    for i in range(len(texts)):
+        leader[i] = next((h for h in range(i) if leader[h] == h and near[h, i]), i)
+    first = [min(j for j in range(len(texts)) if i == j or texts[i] and (tf[i] == tf[j]).all()) for i in range(len(texts))]
+    assert {r.id: r.representative for r in run("tfidf_members")} == dict(enumerate(first))
+    assert {(r.a, r.b) for r in run("tfidf_pairs")} == {(a, b) for a in set(first) for b in set(first) if a < b and near[a, b]}
+    assert {r.id: r.leader for r in run("tfidf_near_dup_drop")} == leader
+    dropped = sum(k != v for k, v in leader.items())
+    assert [tuple(r) for r in run("deduplication_rate")] == [(len(texts), dropped, round(dropped / len(texts), 6))] and dropped > 5
+
+
 def test_question_rules(spark):
     from evalloom.schemas import QUESTION
 
