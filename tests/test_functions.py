@@ -239,6 +239,17 @@ def test_tfidf_pairs_drop_and_rate(spark, tmp_path):
     assert [tuple(r) for r in run("deduplication_rate")] == [(len(texts), dropped, round(dropped / len(texts), 6))] and dropped > 5
 
 
+def test_anchored_terms_reach_the_whole_enum(spark, tmp_path):
+    """Terms of rank 41 and more count."""
+    from evalloom import catalog
+
+    names = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    docs = [(1, " ".join(names)), (2, " ".join(names)), (3, names[59]), (4, "nothing"), (5, "void"), (6, "empty")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.anchored for r in catalog.queries()["anchored_terms_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 60, 2: 60, 3: 1, 4: 0, 5: 0, 6: 0}
+
+
 def test_question_rules(spark):
     from evalloom.schemas import QUESTION
 
