@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -121,12 +122,17 @@ def greedy_drop(edges: DataFrame, classes: DataFrame) -> DataFrame:
 def top_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most: int = 100_000) -> DataFrame:
     """query, neighbour, similarity of the k nearest by cosine, for a stated set of queries against all rows.
 
-    The queries (at most ``most``, checked) are sent to all tasks; each keeps its k best, so only
-    k rows a query and task are shuffled.
+    The queries go in blocks by hash of about ``most`` rows, each sent to all tasks; a task keeps a query's k
+    best, so only k rows a query and task are shuffled.
     """
-    got = queries.select(id_col, vector).limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"more than {most} queries")
+    blocks = max(1, -(-queries.count() // most))
+    found = [_block_neighbours(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), base, k, id_col, vector) for b in range(blocks)]
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 6)), "neighbour")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _block_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
+    got = queries.select(id_col, vector).collect()
     ids = np.array([r[0] for r in got], np.int64)
     mat = np.array([r[1] for r in got], np.float64)
     mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300) if len(got) else mat
@@ -148,9 +154,7 @@ def top_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "v
             out = pd.DataFrame({"query": np.repeat(q_ids, m), "neighbour": n[top].ravel(), "similarity": value})
             yield out[out.similarity > -2]
 
-    found = base.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(run, "query long, neighbour long, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 6)), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+    return base.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(run, "query long, neighbour long, similarity double")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

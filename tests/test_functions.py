@@ -250,6 +250,14 @@ def test_anchored_terms_reach_the_whole_enum(spark, tmp_path):
     assert got == {1: 60, 2: 60, 3: 1, 4: 0, 5: 0, 6: 0}
 
 
+def test_neighbours_in_blocks(spark):
+    """More queries than a block holds give the same rows as one block."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    got = [sorted(tuple(r) for r in similarity.top_neighbours(df, df, 3, most=m).collect()) for m in (7, 100)]
+    assert got[0] == got[1] and len(got[0]) == 120
+
+
 def test_question_rules(spark):
     from evalloom.schemas import QUESTION
 
