@@ -1,14 +1,20 @@
 """HTML extraction: tag-path ratios.
 
-The page is read as a sequence of text blocks, each with its root-to-leaf tag path (inline elements
+The page is read once, as a sequence of text blocks, each with its root-to-leaf tag path (inline elements
 leave no mark; class and id do).  Per path the text length outside links and the punctuation are
 summed and divided by the number of its blocks.  The ratios are smoothed over the blocks in page
 order with a Gaussian, fused with those of related paths by the share of their common prefix, and
-paths above a share of the best are content.  Blocks below elements that never hold an article's
-text (menus, forms, adverts, comments and so on, by element or by class and id) are left out before.
+paths above a share of the best are content.
+
+Elements that never show text (scripts, menus, buttons and so on) are left out before.  Words of class, id
+and role, and elements such as ``form``, only weigh: what they mark is left out as long as the sentences
+outside make up an article; where they do not, the mark that holds most of them is a wrapper and is lifted,
+until an article appears.  Lists of like records that each begin with a byline are readers' comments,
+whatever their name, unless nothing like an article is left without them.  If all text is links, links count as text.
 
 Null or empty html gives the empty text.  Unclosed elements, comments and tags are read as browsers
-do.  Every row stands alone; nothing is cut short, and extra columns are ignored.
+do, quotes count only where an attribute's value begins; time and memory are linear in the page.  Every row
+stands alone, so repeated rows give equal results; nothing is cut short, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import html as html_
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +34,21 @@ from evalloom.llm.common import slices, table
 # Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NEVER = {"head", "nav", "menu", "footer", "aside", "form", "button", "select", "noscript", "template", "svg", "canvas", "object", "dialog", "audio", "video", "label", "fieldset", "option", "datalist", *RAW}
+NEVER = {"head", "nav", "menu", "footer", "aside", "button", "select", "noscript", "template", "svg", "canvas", "object", "dialog", "audio", "video", "option", "datalist", *RAW}
+SOFT = {"form", "label", "fieldset"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span",
     "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "img", "wbr",
 }
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}
-# Words of class and id that mark what is not the article.
+# Words of class and id that mark what is not the article, words before them that make them harmless, and a wrapper's.
 NOT_TEXT = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus",
-    "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo", "promoted", "related",
-    "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tagcloud", "toolbar", "widget", "alert", "disclaimer", "topbar", "feedback", "reader",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "discussion",
+    "discussions", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo",
+    "promoted", "related", "replies", "respond", "responses", "reviews", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tagcloud", "talkback", "toolbar",
+    "widget", "alert", "disclaimer", "topbar", "feedback", "reader",
 }
+HARMLESS = {"has", "no", "with", "without"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "alertdialog"}
 # Which open elements a start tag closes.
 CLOSES = {
@@ -48,33 +58,116 @@ CLOSES = {
 SCOPE = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "div", "body", "html", "nav", "aside", "footer", "form", "blockquote"}
 SHARE, RADIUS = 0.15, 2
 
-_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|(/)(?![a-zA-Z]))")
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+RECORD = {"div", "li", "article", "section", "dd", "tr", "details"}
+#: Characters of sentences outside marked elements, or their share of all, that make up an article.
+ARTICLE, ARTICLE_SHARE = 140, 0.05
+#: Longest byline.
+BYLINE = 60
+
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+)|(/))")
+_SHORT = re.compile(r"[^>=\"']*+>")
+_ATTR = re.compile(r"""[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)("|\Z)|'([^']*+)('|\Z)|([^\s>"'][^\s>]*+|(?=>))))?+""")
 _WORD = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")
+_END = re.compile(r"[.!?…。！？][\"'”’)\]]*$")
+
+
+def _attributes(page: str, at: int) -> tuple[int, dict[str, str], bool]:
+    """Where the tag ends (-1: never), its class, id and role, and whether it closes itself."""
+    if m := _SHORT.match(page, at):
+        return m.end(), {}, page.endswith("/", at, m.end() - 1)
+    found: dict[str, str] = {}
+    size, begin = len(page), at
+    while True:
+        m = _ATTR.match(page, at)
+        at = m.end()
+        name = m[1].lower()
+        if name in ("class", "id", "role") and name not in found:
+            found[name] = (m[2] or m[4] or m[6] or "").lower()
+        if at >= size:
+            return -1, found, False
+        if page[at] == ">":
+            return at + 1, found, at > begin and page[at - 1] == "/" and not m[6]
 
 
-def _marks(attrs: str) -> tuple[str, bool, bool]:
+def _marks(found: dict[str, str]) -> tuple[str, bool, bool]:
     """Label for the path, whether the element is marked as not the article's, and whether as a header."""
-    if "=" not in attrs:
-        return "", False, False
-    label, bad, head = "", False, False
-    for name, value in _NAMES.findall(attrs):
-        value = value.strip("\"'").lower()
-        if name.lower() == "role":
-            bad |= value in ROLES
-        else:
+    label, bad, head = "", found.get("role") in ROLES, False
+    for name in ("class", "id"):
+        if value := found.get(name):
             label += "." + value
             words = _WORD.findall(value)
-            bad |= bool(NOT_TEXT.intersection(words))
             head |= "header" in words
+            bad |= any(w in NOT_TEXT and not (i and words[i - 1] in HARMLESS) for i, w in enumerate(words))
     return label, bad, head
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of every block that may be content, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, label, may not be content
+@dataclass
+class Page:
+    """Blocks of a page, the tree of its paths and the elements that hold the blocks.
+
+    A path is a node: ``parent``, ``depth``, a ``jump`` further up (for common prefixes in logarithmic
+    time) and the element's name.  The path begins below the body.
+    """
+
+    texts: list[str] = field(default_factory=list)
+    nodes: list[int] = field(default_factory=list)
+    links: list[int] = field(default_factory=list)
+    holders: list[int] = field(default_factory=list)  # element of each block
+    parent: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    jump: list[int] = field(default_factory=lambda: [0])
+    name: list[str] = field(default_factory=lambda: [""])
+    up: list[int] = field(default_factory=lambda: [0])  # an element's parent, node and mark
+    node_of: list[int] = field(default_factory=lambda: [0])
+    mark: list[str | None] = field(default_factory=lambda: [None])
+    _known: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def node(self, parent: int, label: str, name: str) -> int:
+        got = self._known.get((parent, label))
+        if got is None:
+            got = self._known[parent, label] = len(self.parent)
+            j = self.jump[parent]
+            even = self.depth[parent] - self.depth[j] == self.depth[j] - self.depth[self.jump[j]]
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1)
+            self.jump.append(self.jump[j] if even else parent)
+            self.name.append(name)
+        return got
+
+    def common(self, a: int, b: int) -> int:
+        """The deepest node above both."""
+        if self.depth[a] < self.depth[b]:
+            a, b = b, a
+        while self.depth[a] > self.depth[b]:
+            a = self.jump[a] if self.depth[self.jump[a]] >= self.depth[b] else self.parent[a]
+        while a != b:
+            a, b = (self.jump[a], self.jump[b]) if self.jump[a] != self.jump[b] else (self.parent[a], self.parent[b])
+        return a
+
+    def child(self, top: int, node: int) -> int:
+        """The node below ``top`` on the way to ``node``."""
+        while self.depth[node] > self.depth[top] + 1:
+            node = self.jump[node] if self.depth[self.jump[node]] > self.depth[top] else self.parent[node]
+        return node
+
+    def related(self, a: int, b: int) -> float:
+        """Share of two paths that is their common prefix; siblings that hold text count half at least."""
+        if a == b:
+            return 1.0
+        k = self.depth[self.common(a, b)]
+        sim = k / max(self.depth[a], self.depth[b], 1)
+        if self.depth[a] == self.depth[b] == k + 1 and self.name[a] in LEAVES:
+            sim = max(sim, 0.5)
+        return sim
+
+
+def read(page: str) -> Page:
+    """One pass over the page."""
+    out = Page()
+    stack: list[tuple[str, int, bool]] = []  # element's name and number, and whether text in it is never shown
+    where: dict[str, list[int]] = {}  # places in the stack by name
     buf: list[str] = []
     state = {"link": 0, "links": 0}
 
@@ -83,17 +176,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text = " ".join("".join(buf).split())
             buf.clear()
             if text:
-                out.append((tuple(label for _, label, _ in stack), text, state["links"]))
+                number = stack[-1][1] if stack else 0
+                out.texts.append(text)
+                out.nodes.append(out.node_of[number])
+                out.links.append(state["links"])
+                out.holders.append(number)
         state["links"] = 0
 
+    def last(names: set[str]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
     def close(names: set[str], scope: set[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in scope:
-                return
+        i = last(names)
+        if i >= 0 and i >= last(scope):
+            flush()
+            while len(stack) > i:
+                where[stack.pop()[0]].pop()
 
     def say(raw: str) -> None:
         if raw and not (stack and stack[-1][2]):
@@ -104,110 +202,158 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     at, size = 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
         if m[1]:
-            end = page.find("-->", m.end() - 2 if page.startswith(">", m.end()) else m.end())
+            end = page.find("-->", at - 2 if page.startswith(">", at) else at)
             at = size if end < 0 else end + 3
-        elif m[2] or m[7]:
-            end = page.find(">", m.end())
+            continue
+        if m[2] or m[5]:
+            end = page.find(">", at)
             at = size if end < 0 else end + 1
+            continue
+        name = m[4].lower()
+        at, found, alone = _attributes(page, at)
+        if at < 0:
+            break  # a tag that never ends
+        if name == "br":
+            say(" ")
+        elif name == "a":
+            state["link"] = 0 if m[3] else 1
+        elif name in INLINE:
+            pass
+        elif m[3]:
+            close({name}, NO_SCOPE if name in SCOPE else TOP - {name})
         else:
-            name = m[4].lower()
-            if not m[6]:
-                break  # a tag that never ends
-            if name == "br":
-                say(" ")
-            elif name == "a":
-                state["link"] = 0 if m[3] else 1
-            elif name in INLINE:
-                pass
-            elif m[3]:
-                close({name}, set() if name in SCOPE else {"article", "main", "body"} - {name})
-            else:
-                if name not in VOID:
-                    if name not in RAW:
-                        close({"p"}, {"article", "main", "body", "td", "th", "li", "div", "section", "button"})
-                    if name in CLOSES:
-                        close(CLOSES[name], SCOPE)
-                flush()
-                if name in VOID:
-                    continue
-                label, bad, head = _marks(m[5])
-                inside = stack[-1][2] if stack else False
-                bad = bad and name not in ("html", "body", "article", "main")
-                header = (name == "header" or head) and not any(n in ("article", "main") for n, _, _ in stack)
-                if name in RAW:
-                    end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-                    at = size if end is None else end.start()
-                    if end is not None:
-                        close_at = page.find(">", at)
-                        at = size if close_at < 0 else close_at + 1
-                    continue
-                if not m[5].endswith("/") or name in ("p", "div"):
-                    stack.append((name, name + label, inside or bad or header or name in NEVER))
-                    state["link"] = 0
+            if name not in VOID:
+                if name not in RAW:
+                    close({"p"}, P_SCOPE)
+                if name in CLOSES:
+                    close(CLOSES[name], SCOPE)
+            flush()
+            if name in VOID:
+                continue
+            if name in RAW:
+                end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = size if end is None else page.find(">", end.end()) + 1 or size
+                continue
+            label, bad, head = _marks(found) if found else ("", False, False)
+            hidden = (bool(stack) and stack[-1][2]) or name in NEVER
+            bad = (bad and name not in ("html", "body", "article", "main")) or name in SOFT
+            bad |= (name == "header" or head) and not (where.get("article") or where.get("main"))
+            if not alone or name in ("p", "div"):
+                above = stack[-1][1] if stack else 0
+                node = 0 if name in ("html", "body") else out.node(out.node_of[above], name + label, name)
+                out.up.append(above)
+                out.node_of.append(node)
+                out.mark.append(name + label if bad else None)
+                where.setdefault(name, []).append(len(stack))
+                stack.append((name, len(out.up) - 1, hidden))
+                state["link"] = 0
     flush()
     return out
 
 
-def _tail(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path below the body."""
-    for i, label in enumerate(path):
-        if label.split(".")[0] == "body":
-            return path[i + 1 :]
-    return path[1:] if path and path[0].split(".")[0] == "html" else path
+NO_SCOPE: set[str] = set()
+TOP = {"article", "main", "body"}
+P_SCOPE = {"article", "main", "body", "td", "th", "li", "div", "section", "button"}
 
 
-def related(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Share of two paths that is their common prefix; siblings that hold text count half at least."""
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    sim = k / max(len(a), len(b), 1)
-    if len(a) == len(b) == k + 1 and a[-1].split(".")[0] in LEAVES:
-        sim = max(sim, 0.5)
-    return 1.0 if a == b else sim
+def unmarked(page: Page) -> list[int]:
+    """Numbers of the blocks outside marked elements, after lifting the marks of wrappers."""
+    lifted: set[str] = set()
+    plain = [max(0, len(t) - n) for t, n in zip(page.texts, page.links, strict=True)]
+    said = [n if _END.search(t) else 0 for t, n in zip(page.texts, plain, strict=True)]
+    said = next((x for x in (said, plain) if any(x)), list(map(len, page.texts)))
+    enough = min(ARTICLE, ARTICLE_SHARE * sum(said))
+    labels = {m for m in page.mark if m}
+    while True:
+        # The outermost mark over each element that is not lifted.
+        over: list[str | None] = [None] * len(page.up)
+        for i in range(1, len(page.up)):
+            mark = page.mark[i]
+            over[i] = over[page.up[i]] or (mark if mark not in lifted else None)
+        outside = [k for k, h in enumerate(page.holders) if over[h] is None]
+        if len(lifted) == len(labels) or sum(said[k] for k in outside) >= enough:
+            return outside
+        held = dict.fromkeys(labels - lifted, 0)
+        for k, h in enumerate(page.holders):
+            if over[h] is not None:
+                held[over[h]] += said[k]
+        lifted.add(max(held, key=lambda m: (held[m], m)))
 
 
-def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
+def records(page: Page, kept: list[int], best: int) -> set[int]:
+    """Blocks of lists of like records with bylines, if they lie apart from the best path or leave an article without them."""
+    record = [0] * len(page.up)  # the innermost element at or above each one that may be a record
+    for e in range(1, len(page.up)):
+        record[e] = e if page.name[page.node_of[e]] in RECORD else record[page.up[e]]
+    chains: dict[int, list[int]] = {}
+    for k in kept:
+        if e := record[page.holders[k]]:
+            chains.setdefault(e, []).append(k)
+    by: dict[tuple[int, int], list[list[int]]] = {}
+    for e, got in chains.items():
+        by.setdefault((page.up[e], page.node_of[e]), []).append(got)
+    ends = {k: bool(_END.search(page.texts[k])) for k in kept}
+    out: set[int] = set()
+    among = False
+    for (_, node), groups in by.items():
+        byline = all(len(g) > 1 and len(page.texts[g[0]]) <= BYLINE and not ends[g[0]] and page.name[page.nodes[g[0]]] not in HEADINGS and any(ends[k] for k in g[1:]) for g in groups)
+        if len(groups) > 1 and byline:
+            among |= page.common(node, best) == node
+            out.update(k for g in groups for k in g)
+    rest, whole = (sum(len(page.texts[k]) for k in kept if ends[k] and (k not in out or every)) for every in (False, True))
+    return out if not among or rest >= min(ARTICLE, ARTICLE_SHARE * whole) else set()
+
+
+def content(page: Page) -> list[str]:
     """Texts of the blocks whose path passes the threshold."""
-    if not found:
+    kept = unmarked(page)
+    return [page.texts[k] for k in _passing(page, kept, True)]
+
+
+def _passing(page: Page, kept: list[int], again: bool) -> list[int]:
+    if not kept:
         return []
-    paths = [_tail(p) for p, _, _ in found]
-    total: dict[tuple[str, ...], list[float]] = {}
-    for path, (_, text, links) in zip(paths, found, strict=True):
-        t = total.setdefault(path, [0, 0, 0, 0])
-        t[0] += max(0, len(text) - links)
+    linked = all(page.links[k] >= len(page.texts[k]) for k in kept)
+    total: dict[int, list[float]] = {}
+    for k in kept:
+        t = total.setdefault(page.nodes[k], [0, 0, 0, 0])
+        text = page.texts[k]
+        t[0] += len(text) if linked else max(0, len(text) - page.links[k])
         t[1] += len(_PUNCT.findall(text))
         t[2] += 1
         t[3] += len(text)
     ratio = {p: t[0] / t[2] * (1 + t[1] / t[2]) for p, t in total.items()}
     weights = [math.exp(-(d * d) / 2) for d in range(-RADIUS, RADIUS + 1)]
-    smooth: dict[tuple[str, ...], list[float]] = {}
+    paths = [page.nodes[k] for k in kept]
+    smooth: dict[int, list[float]] = {}
     for i, path in enumerate(paths):
-        near = [(w, ratio[paths[j]]) for j, w in zip(range(i - RADIUS, i + RADIUS + 1), weights, strict=True) if 0 <= j < len(paths) and related(path, paths[j]) > 0]
-        smooth.setdefault(path, []).append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        near = [(w, ratio[paths[j]]) for j, w in zip(range(i - RADIUS, i + RADIUS + 1), weights, strict=True) if 0 <= j < len(paths) and page.related(path, paths[j]) > 0]
+        smooth.setdefault(path, []).append(sum(w * r for w, r in near) / sum(w for w, _ in near) if near else ratio[path])
     score = {p: sum(v) / len(v) for p, v in smooth.items()}
-    top = max(score.values())
-    if top <= 0:
+    if max(score.values()) <= 0:
         return []
+    best = max(total, key=lambda p: (total[p][0] * (1 + total[p][1] / total[p][2]), -p))
+    if again and (apart := records(page, kept, best)):
+        return _passing(page, [k for k in kept if k not in apart], False)
     keep = set()
-    best = max(total, key=lambda p: (total[p][0] * (1 + total[p][1] / total[p][2]), p))
     for p in score:
-        fused = max(score[p] * (0.3 + 0.7 * related(p, best)), score[best] * related(p, best))
+        kin = page.related(p, best)
+        fused = max(score[p] * (0.3 + 0.7 * kin), score[best] * kin)
         only_links = total[p][0] < 0.2 * total[p][3] and total[p][1] < total[p][2]
         if fused >= SHARE * score[best] and not only_links:
             keep.add(p)
-    return [text for path, (_, text, _) in zip(paths, found, strict=True) if path in keep]
+    return [k for k, p in zip(kept, paths, strict=True) if p in keep]
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(content(blocks(page or "")))
+    return "\n".join(content(read(page or "")))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

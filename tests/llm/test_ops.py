@@ -476,6 +476,39 @@ def test_html():
     assert op10_html.main_text("<p>a" * 3000).count("\n") == 2999
 
 
+SENTENCES = "<p>One sentence, quite long enough to be read.</p><p>Another one, and it goes on.</p><p>We don't stop here.</p>"
+PLAIN = "One sentence, quite long enough to be read.\nAnother one, and it goes on.\nWe don't stop here."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div><p class=it's>First, here.</p>{SENTENCES}</div>", "First, here.\n" + PLAIN),
+        (f"<body><div class='elementor-widget-container'>{SENTENCES}</div><nav>Home, page.</nav>", PLAIN),
+        (f"<body><div class='site has-sidebar'>{SENTENCES}<div class=sidebar><p>Related, posts. Read, more.</p></div></div>", PLAIN),
+        (f"<body><div class='page widget'><div class=x>{SENTENCES}<div class=ad>Buy, now.</div></div></div>", PLAIN),
+        (f"<body><form id=f><div class=menu>Home, About.</div>{SENTENCES}<input><label>Your, name.</label></form>", PLAIN),
+        (f"<body><main><article>{SENTENCES}</article><div class=user-reviews><p>Great, product.</p></div></main>", PLAIN),
+        (f"<body><main><article>{SENTENCES}</article><div id=discussion><p>Great, post.</p></div></main>", PLAIN),
+        (f"<body><main><article>{SENTENCES}</article><div id=voices><div class=v><b>Ann</b><p>Great, I loved it.</p></div><div class=v><b>Bob</b><p>No, not for me.</p></div></div></main>", PLAIN),
+        ("<body><article><p><a href=x>All of it, a link.</a></p></article>", "All of it, a link."),
+        ('<body><p title="a>b" data-x=1 CLASS="lead">Text, of it.</p>', "Text, of it."),
+        (f"<body><section><h2>Part one</h2>{SENTENCES}</section><section><h2>Part two</h2>{SENTENCES}</section>", f"Part one\n{PLAIN}\nPart two\n{PLAIN}"),
+    ],
+)
+def test_html_keeps_articles_and_leaves_out_the_rest(page, want):
+    assert op10_html.main_text(page) == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a x="', "<x>a", "<!--", "<div class=ad>x y.", "<p>a", "<li><x>", "</x><y>", "<a x=y ", "&"])
+def test_html_time_is_linear(unit):
+    import time
+
+    begin = time.process_time()
+    op10_html.main_text(unit * (200_000 // len(unit)))
+    assert time.process_time() - begin < 4
+
+
 def test_pages_keep_the_article(spark, small):
     import html
     import re
