@@ -58,6 +58,7 @@ CLOSES = {
 SCOPE = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "div", "body", "html", "nav", "aside", "footer", "form", "blockquote"}
 SHARE, RADIUS = 0.15, 2
 
+PROSE = {"p", "blockquote", "pre"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 RECORD = {"div", "li", "article", "section", "dd", "tr", "details"}
 #: Characters of sentences outside marked elements, or their share of all, that make up an article.
@@ -267,7 +268,7 @@ def unmarked(page: Page) -> list[int]:
     """Numbers of the blocks outside marked elements, after lifting the marks of wrappers."""
     lifted: set[str] = set()
     plain = [max(0, len(t) - n) for t, n in zip(page.texts, page.links, strict=True)]
-    said = [n if _END.search(t) else 0 for t, n in zip(page.texts, plain, strict=True)]
+    said = [n if page.name[p] in PROSE or _END.search(t) else 0 for t, n, p in zip(page.texts, plain, page.nodes, strict=True)]
     said = next((x for x in (said, plain) if any(x)), list(map(len, page.texts)))
     enough = min(ARTICLE, ARTICLE_SHARE * sum(said))
     labels = {m for m in page.mark if m}
