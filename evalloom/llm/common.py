@@ -15,17 +15,20 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a temporary one only where the session names none (as in tests)."""
+    """The shared scratch folder; a temporary one only where a local session names none (as in tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="evalloom-")
@@ -34,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 @contextmanager
@@ -58,16 +63,51 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit name of a text; with the identifier it names a row whose identifier others share."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete materialised frames that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for df in frames:
-        parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for parent in parents:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/evalloom/" in parent:
-                path = jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(conf).delete(path, True)
+                remove(spark, parent)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes at its end every path that ``fresh`` named within, but for those put into the yielded set."""
+    before, keep = set(_MADE), set()
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _MADE if p not in before and p not in keep]:
+            remove(spark, path)
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have (names are compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its plain name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +120,7 @@ def parts(spark: SparkSession) -> int:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under private names, so extra columns never clash."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -1,6 +1,6 @@
 """Token-ID output as sorted-string-table shards.
 
-Rows are range-partitioned by identifier; each task writes one shard: blocks of prefix-compressed
+Rows are range-partitioned by identifier; each task writes a shard for every ``shard_bytes`` of its rows: blocks of prefix-compressed
 keys with their values, then a sparse block index (first key, place and row count of each block), a
 Bloom filter over the keys and a fixed footer.  A lookup reads the footer, the Bloom filter and the
 index, finds the block by binary search and scans that block alone.
@@ -14,7 +14,8 @@ File layout (little-endian)::
 
 A key is the identifier as 8 big-endian bytes with the sign bit flipped, so byte order is numeric
 order.  Equal identifiers keep all their rows, side by side, in order of their text's bytes.  A null
-identifier is left out of the table, for it cannot be looked up.  A null text holds the end id alone.
+identifier can't be looked up: it is stored after all others, under the largest key with a mark in its value,
+and read back as null.  A null text holds the end id alone.  Extra columns are ignored.
 Each task writes under a name of its own and only successful tasks reach the manifest, so retries
 and lost executors leave at most unreferenced files.
 """
@@ -40,6 +41,8 @@ FORMAT_MAGIC = b"EVLMSST1"
 FOOTER = struct.Struct("<QIQIIQQ8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+SHARD_BYTES = 1 << 30
+_LAST = (1 << 63) - 1
 
 
 def key_of(ident: int) -> bytes:
@@ -107,7 +110,8 @@ class ShardWriter:
         self.block.append(_varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value)
         self.size += len(value) + 12
         self.last, self.count = key, self.count + 1
-        self.keys.append(ident)
+        if not self.keys or self.keys[-1] != ident:
+            self.keys.append(ident)
         self.rows += 1
         self.ids += n_ids
         if self.size >= BLOCK_BYTES:
@@ -206,41 +210,53 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    """Ids in 2 bytes where all fit, else in 4; the first byte tells which."""
-    return b"\2" + ids.astype("<u2").tobytes() if ids.size == 0 or ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+def pack_ids(ids: np.ndarray, unnamed: bool = False) -> bytes:
+    """Ids in 2 bytes where all fit, else in 4; the first byte tells which, and whether the identifier is null."""
+    width = 2 if ids.size == 0 or ids.max() < 1 << 16 else 4
+    return bytes([width | 128 * unnamed]) + ids.astype(f"<u{width}").tobytes()
 
 
 def unpack_ids(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, "<u2" if value[0] == 2 else "<u4", offset=1)
+    return np.frombuffer(value, f"<u{value[0] & 127}", offset=1)
 
 
-def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def is_unnamed(value: bytes) -> bool:
+    return value[0] > 127
+
+
+def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, write the shards and return the manifest (path, size, first_id, last_id, rows, ids), itself stored."""
     spark = df.sparkSession
     n = shards or max(parts(spark), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, path, first, last = encoder(tokenizer), None, "", 0, 0
-        end = struct.pack("<I", end_id)
+        enc, end, writer = encoder(tokenizer), struct.pack("<I", end_id), None
+        system, where = _filesystem(folder)
+
+        def done() -> pa.RecordBatch:
+            rows, total = writer.rows, writer.ids
+            writer.close()
+            size = system.get_file_info(f"{where}/{path}").size
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "size": [size], "first_id": [first], "last_id": [last], "rows": [rows], "ids": [total]})
+
         for b in slices(batches, 512):
-            ids = b.column("doc_id").to_pylist()
-            if writer is None and ids:
-                system, where = _filesystem(folder)
-                system.create_dir(where, recursive=True)
-                path, first = f"shard-{uuid.uuid4().hex}.sst", ids[0]
-                writer = ShardWriter(system.open_output_stream(f"{where}/{path}"))
-            for ident, raw in zip(ids, enc.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            texts_ = enc.encode([t or "" for t in b.column("text").to_pylist()])
+            for ident, void, raw in zip(b.column("doc_id").to_pylist(), b.column("void").to_pylist(), texts_, strict=True):
+                if writer is not None and writer.at > shard_bytes:
+                    yield done()
+                    writer = None
+                if writer is None:
+                    system.create_dir(where, recursive=True)
+                    path, first = f"shard-{uuid.uuid4().hex}.sst", ident
+                    writer = ShardWriter(system.open_output_stream(f"{where}/{path}"))
                 seq = np.frombuffer(raw + end, "<u4")
-                writer.add(ident, pack_ids(seq), len(seq))
+                writer.add(ident, pack_ids(seq, void), len(seq))
                 last = ident
         if writer is not None:
-            rows, total = writer.rows, writer.ids
-            writer.close()
-            size = system.get_file_info(f"{where}/{path}").size
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "size": [size], "first_id": [first], "last_id": [last], "rows": [rows], "ids": [total]})
+            yield done()
 
-    ordered = id_text(df, id_col, text_col).where("doc_id is not null").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.encode("text", "utf-8"))
+    named = id_text(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("doc_id").isNull().alias("void"), "text")
+    ordered = named.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "void", F.encode("text", "utf-8"))
     manifest = ordered.mapInArrow(run, "path string, size long, first_id long, last_id long, rows long, ids long")
     return materialise(manifest, "sst-manifest")
 
@@ -260,7 +276,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     at, out, held = row["base"], [], 0
                     for ident, value in Shard(f, row["size"]).scan():
                         ids = unpack_ids(value)
-                        out.append((ident, at, len(ids), ids.astype("<u4").tobytes()))
+                        out.append((None if is_unnamed(value) else ident, at, len(ids), ids.astype("<u4").tobytes()))
                         at += len(ids)
                         held += 4 * len(ids)
                         if held > 4 << 20:
@@ -317,7 +333,7 @@ def lookup(manifest: DataFrame, idents: DataFrame, id_col: str = "doc_id", block
                 if at != row["path"]:
                     system, where = _filesystem(row["path"])
                     shard, at = Shard(system.open_input_file(where), row["size"]), row["path"]
-                out += [(row["want"], 0, len(unpack_ids(v)), unpack_ids(v).astype("<u4").tobytes()) for v in shard.get(row["want"])]
+                out += [(row["want"], 0, len(unpack_ids(v)), unpack_ids(v).astype("<u4").tobytes()) for v in shard.get(row["want"]) if not is_unnamed(v)]
             if out:
                 yield _batch(out)
                 out = []

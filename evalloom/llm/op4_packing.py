@@ -6,13 +6,17 @@ limits, the one whose size vector has the largest dot product with the room that
 shares of the limits).  Where nothing fits and cutting is allowed, a piece is cut to fill the tokens
 that are left.
 
+``pack_turns`` packs instruction data: only the tokens of the turns of some roles bear loss.  ``pack`` packs
+plain documents, all of whose tokens do.
+
 Every partition is packed alone, from a bounded window of waiting pieces, so no rows are shuffled
 and memory does not grow with the data; each partition leaves at most one sequence that is not
 full.  A sequence's id is the partition number times 2^33 plus its rank there.
 
 Nulls: a null text is empty and yields its end id alone; a null identifier is carried through.
 Texts longer than a sequence are cut into full sequences first.  Repeated rows are packed as often
-as they occur.  Empty tables give no rows.
+as they occur.  Of waiting pieces with equal products the one that came first goes in.  Empty tables give no
+rows.  Only the named columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalloom.llm.common import id_text, slices, table
+from evalloom.llm.common import column, id_text, parts, slices, table
 from evalloom.llm.tokens import encoder
 
 WINDOW = 256
@@ -116,6 +121,9 @@ class Packer:
         self._open()
 
 
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
 def pack(df: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segments: int = 64, loss: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset of every piece.
 
@@ -136,24 +144,99 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segment
                 ids = np.frombuffer(raw + end, "<u4")
                 packer.add((ident, len(ids)), 0, ids)
                 if held[0] > 4 << 20:
-                    yield _pieces(out)
+                    yield _batch(out, PIECES)
                     out.clear()
                     held[0] = 0
         packer.close()
         if out:
-            yield _pieces(out)
+            yield _batch(out, PIECES)
+
+    return id_text(df, id_col, text_col).mapInArrow(run, PIECES)
+
+
+TURNS = "conv_id long, turn long, start long, length long, ids binary, loss_tokens long, sequence_id long, offset long"
+
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+def pack_turns(
+    df: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    tokens: int = 2048,
+    segments: int = 64,
+    loss: int | None = None,
+    bearing: tuple[str, ...] = ("assistant",),
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+) -> DataFrame:
+    """Instruction data under limits on tokens, segments and loss-bearing tokens: conv_id, turn, start (the turn's ids
+    before the piece), length, ids, loss_tokens, sequence_id, offset of every piece of a turn.
 
+    Turns are ordered by conversation and turn; neighbouring turns of a conversation in a task make one
+    example of at most ``tokens`` ids, each turn ending with ``end_id``.  A conversation that holds most of the
+    table is spread over tasks by its turns.  Turns of other roles than ``bearing`` (null too) bear no loss.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 33
+        enc, end, out, held = encoder(tokenizer), np.array([end_id], "<u4"), [], [0]
+
+        def emit(owner, start, ids, sequence, offset):
+            stop = start + len(ids)
+            for conv, turn, begin, size, bears, skipped in owner:
+                a, b = max(start, begin), min(stop, begin + size)
+                if a < b:
+                    out.append((conv, turn, a - begin + skipped, b - a, ids[a - start : b - start].tobytes(), (b - a) * bears, base + sequence, offset + a - start))
+                    held[0] += 4 * (b - a)
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        packer = Packer(emit, tokens, segments, loss)
+        owner: list[tuple] = []
+        parts_: list[np.ndarray] = []
+        flags: list[np.ndarray] = []
+        size = 0
+
+        def example() -> None:
+            nonlocal owner, size
+            if size:
+                packer.add(owner, 0, np.concatenate(parts_), np.concatenate(flags))
+            owner, size = [], 0
+            parts_.clear()
+            flags.clear()
+
+        for b in slices(batches, 256):
+            raws = enc.encode([t or "" for t in b.column("text").to_pylist()])
+            for conv, turn, role, raw in zip(b.column("conv").to_pylist(), b.column("turn").to_pylist(), b.column("role").to_pylist(), raws, strict=True):
+                ids, bears, skipped = np.append(np.frombuffer(raw, "<u4"), end), role in bearing, 0
+                if owner and owner[-1][0] != conv:
+                    example()
+                while len(ids):
+                    n = min(len(ids), tokens - size)
+                    owner.append((conv, turn, size, n, bears, skipped))
+                    parts_.append(ids[:n])
+                    flags.append(np.full(n, bears))
+                    size, skipped, ids = size + n, skipped + n, ids[n:]
+                    if size == tokens:
+                        example()
+                if held[0] > 4 << 20:
+                    yield _batch(out, TURNS)
+                    out.clear()
+                    held[0] = 0
+        example()
+        packer.close()
+        if out:
+            yield _batch(out, TURNS)
+
+    src = df.select(column(conv_col).cast("long").alias("conv"), column(turn_col).cast("long").alias("turn"), column(role_col).alias("role"), column(text_col).alias("text"))
+    return src.repartitionByRange(parts(df.sparkSession), "conv", "turn").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(run, TURNS)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -161,4 +244,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1))
 
 
-__all__ = ["Packer", "digests", "pack", "query"]
+__all__ = ["Packer", "digests", "pack", "pack_turns", "query"]

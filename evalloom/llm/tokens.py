@@ -3,7 +3,8 @@
 A text is cut where no token can cross: at white space for vocabularies that drop it, and before
 each run of white space for byte-level vocabularies.  Chunks are encoded by the library and kept in
 a bounded memo, so the ids are those of encoding the whole text.  Texts with the separators
-U+001C to U+001F, on which Python and the library disagree, are encoded whole.
+U+001C to U+001F, on which Python and the library disagree, are encoded whole, and so are texts that
+spell one of the vocabulary's added tokens, which the library finds before anything else.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from array import array
 import numpy as np
 
 _CHUNKS = re.compile(r"\s*\S+|\s+").findall
-_ODD = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@[-`{-~]*)").fullmatch
 # How byte-level vocabularies write the bytes 128 to 255; printable Latin-1 stays itself.
 _HIDDEN = [*range(0x7F, 0xA1), 0xAD]
@@ -35,7 +35,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, added)]), re.IGNORECASE).search
         self.lead = bool(self.tok.encode(" ", add_special_tokens=False).ids)
         self.fold = self.tok.encode("A", add_special_tokens=False).ids == self.tok.encode("a", add_special_tokens=False).ids
         self.model = self.tok.model
@@ -85,7 +86,7 @@ class ChunkEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         for text in texts:
-            if any(c in text for c in _ODD):
+            if self.whole(text):
                 out.append(self._raw([text])[0])
                 continue
             chunks = _CHUNKS(text) if self.lead else text.split()

@@ -183,7 +183,7 @@ def test_chunks_encode_as_whole_texts(spark, small, name):
     texts += ["", " ", "a\n", "\n\n a  b\t\tc ", "Ünï Éa. x's don't  'S  123abc ١٢", "a\x1cb !\x1c!", "<|endoftext|> x", "éa  ́x", "Ωσς ΣΑΣ İ ǅ", "中文 字，。", "x y\r\nz", "ÀÝÿß ªº µ þ Þ.&&&", "a b  c"]
     enc = tokens.ChunkEncoder(public_tokenizers.path(name), most=50)
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
+    texts += ["x <|endoftext|> y", "<|startoftext|>a b", "a<|endoftext|>", "<|EndOfText|> z", "<|endoftext|>" * 3]
     assert enc.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -206,7 +206,13 @@ def test_sstable(spark, small):
 def test_sstable_odd_input(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = op3_sstable.digests(op3_sstable.read_shards(op3_sstable.write_shards(odd(spark), fresh(spark, "t"), path, 2))).collect()
-    assert len(got) == 10 and sorted(r.doc_id for r in got).count(5) == 2  # the row without identifier can't be looked up
+    assert len(got) == 11 and [r.doc_id for r in got].count(5) == 2
+    last = max(got, key=lambda r: r.start)  # the row without identifier comes last
+    assert last.doc_id is None and last.start == sum(r.n_tokens for r in got) - last.n_tokens
+    several = op3_sstable.write_shards(odd(spark), fresh(spark, "t"), path, 2, shards=2, shard_bytes=1)
+    assert several.count() > 2 and op3_sstable.digests(op3_sstable.read_shards(several)).select("doc_id", "n_tokens").collect().__len__() == 11
+    edge = spark.createDataFrame([((1 << 63) - 1,)], "doc_id long")
+    assert op3_sstable.lookup(several, edge).count() == 0 and op3_sstable.lookup(several, spark.createDataFrame([(5,)], "doc_id long")).count() == 2
     assert next(r for r in got if r.doc_id == 1).n_tokens == 1
     assert op3_sstable.read_shards(op3_sstable.write_shards(empty(spark), fresh(spark, "t"), path, 2)).count() == 0
 
@@ -282,6 +288,39 @@ def test_packing(spark, small):
     assert op4_packing.pack(odd(spark), public_tokenizers.path("byte_bpe_50k.json"), 1).where("doc_id is null").agg(F.sum("length")).first()[0] > 1
 
 
+def test_packing_turns(spark, small):
+    """Limits on tokens, segments and loss-bearing tokens at once, and every id in one piece."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    turns = spark.read.parquet(f"{small}/conversations.parquet")
+    odd_turns = spark.createDataFrame([(-1, i, "assistant" if i % 2 else "user", "a b c d e " * (40 * i)) for i in range(30)] + [(None, None, None, None), (-2, 1, "assistant", ""), (-2, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    data = turns.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text").unionByName(odd_turns)
+    got = op4_packing.pack_turns(data, path, 1, tokens=256, segments=8, loss=100).collect()
+    by_seq, by_turn = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        by_seq[r.sequence_id].append(r)
+        by_turn[r.conv_id, r.turn].append(r)
+    for rows_ in by_seq.values():
+        at = 0
+        for r in sorted(rows_, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 256 and sum(r.loss_tokens for r in rows_) <= 100
+        assert 1 + sum(a.conv_id != b.conv_id for a, b in zip(rows_, rows_[1:], strict=False)) <= 8
+    want = collections.defaultdict(list)
+    for r in data.collect():
+        want[r.conv_id, r.turn].append(([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], r.role == "assistant"))
+    assert set(want) == set(by_turn)
+    for key, rows_ in by_turn.items():
+        assert sum(r.length for r in rows_) == sum(len(ids) for ids, _ in want[key])
+        assert sum(r.loss_tokens for r in rows_) == sum(len(ids) for ids, bears in want[key] if bears)
+        if len(want[key]) == 1:
+            rows_ = sorted(rows_, key=lambda r: r.start)
+            assert [r.start for r in rows_] == [sum(x.length for x in rows_[:k]) for k in range(len(rows_))]
+            assert b"".join(bytes(r.ids) for r in rows_) == np.array(want[key][0][0], "<u4").tobytes()
+    assert op4_packing.pack_turns(data.limit(0), path, 1).count() == 0
+
+
 # ---- 5
 
 
