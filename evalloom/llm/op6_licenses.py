@@ -2,7 +2,8 @@
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space) and its
 SHA-256 digest is hash-joined with the digests of known licence texts, normalised the same way.  All
-of it is built-in column functions.  The known table is fixed here, so broadcasting it is bounded.
+of it is built-in column functions.  The known table may have any size: both lookups are equi-joins on the
+digest, and the engine broadcasts a side only where its own size estimate allows it.
 
 Besides whole texts, a line that names a licence is looked up the same way among the usual notices.
 Null or empty texts, and texts without letters or digits, have no digest and no licence.  Repeated
@@ -11,8 +12,6 @@ rows and ties stand alone: every row gets its own result.  Extra columns are ign
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +44,6 @@ _BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
 _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. '
 LICENSES = {
     "MIT": _MIT + _PERMIT,
-    "MIT ": "MIT License\n" + _MIT + _PERMIT,
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY,
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_WARRANTY,
     "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
@@ -73,9 +71,28 @@ NAMES = {
 STARTS = ["Licensed under", "Licensed under the", "Released under", "Released under the", "This work is licensed under", "This work is licensed under the", "This software is licensed under the", "Distributed under the"]
 
 
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "0BSD": "BSD Zero Clause License", "Zlib": "zlib License"}
+# SHA-256 of the canonical form of whole licence texts too long to be quoted here, as their stewards publish them.
+DIGESTS = {
+    "Apache-2.0": "f92c423b6d6da66caa78abd6f49f73f5bc8715dca82e1a73f62d1e6eec41986c",
+    "Artistic-1.0-Perl": "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd",
+    "GFDL-1.3": "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd",
+    "GPL-1.0": "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f",
+    "GPL-2.0": "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6",
+    "GPL-3.0": "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8",
+    "LGPL-2.0": "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e",
+    "LGPL-2.1": "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+}
+
+
 def known_texts() -> list[tuple[str, str]]:
     notices = [(i, f"{start} {name}") for i, names in NAMES.items() for name in names for start in STARTS]
-    return [(i.strip(), t) for i, t in LICENSES.items()] + notices
+    return [*LICENSES.items(), *((i, f"{title}\n{LICENSES[i]}") for i, title in TITLES.items()), *notices]
 
 
 def normalise(text: Column) -> Column:
@@ -96,29 +113,30 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, license_id of known texts; of equal digests the first identifier by name."""
-    rows = spark.createDataFrame(texts or known_texts(), "license_id string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id")).where("digest is not null")
+    """digest, license_id of known texts (default: all of this module); of equal digests the first identifier by name."""
+    rows = spark.createDataFrame(known_texts() if texts is None else texts, "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
+    if texts is None:
+        rows = rows.unionByName(spark.createDataFrame(list(DIGESTS.items()), "license_id string, digest string"))
+    return rows.where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(df: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000) -> DataFrame:
+def scan(df: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_norm (length of the canonical form), digest, license_id, notices of every row.
 
-    ``licences`` holds at most ``most`` rows (checked), so it may be broadcast; larger tables raise
-    ValueError.  ``notices`` lists the licences that
-    lines of the text name, sorted and joined by a comma; empty if none.
+    ``licences``: digest, license_id, of any size.  ``notices`` lists the licences that lines of the text
+    name, sorted and joined by a comma; empty if none.  Lines are joined by digest, too; what they name is
+    brought back to the row by identifier and text.
     """
-    rows = licences.select("digest", "license_id").take(most + 1)
-    if len(rows) > most:
-        raise ValueError(f"more than {most} known licences")
-    norm = normalise(F.col("text"))
-    src = id_text(df, id_col, text_col).select("doc_id", "text", norm.alias("norm"))
-    src = src.select("doc_id", "text", F.coalesce(F.length("norm"), F.lit(0)).cast("long").alias("n_norm"), F.when(F.col("norm") != "", F.sha2("norm", 256)).alias("digest"))
-    whole = src.join(F.broadcast(licences), "digest", "left")
-    lines = F.when(F.lower("text").rlike(NOTICE), F.transform(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(NOTICE)), digest)).otherwise(F.array().cast("array<string>"))
-    by_digest = F.from_json(F.lit(json.dumps({r.digest: r.license_id for r in rows})), "map<string,string>")
-    named = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda d: F.try_element_at(by_digest, F.coalesce(d, F.lit("")))), lambda x: x.isNotNull())))
-    return whole.select("doc_id", "n_norm", "digest", "license_id", F.coalesce(F.array_join(named, ","), F.lit("")).alias("notices"))
+    src = id_text(df, id_col, text_col).withColumn("key", F.sha2("text", 256))
+    lines = src.where(F.lower("text").rlike(NOTICE)).select("doc_id", "key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    named = lines.where(F.lower("line").rlike(NOTICE)).select("doc_id", "key", digest(F.col("line")).alias("digest")).where("digest is not null")
+    named = named.join(licences.withColumnRenamed("license_id", "named"), "digest").groupBy("doc_id", "key").agg(F.array_join(F.array_sort(F.collect_set("named")), ",").alias("notices"))
+    named = named.select(F.col("doc_id").alias("n_doc"), F.col("key").alias("n_key"), "notices")
+    norm = src.select("doc_id", "key", normalise(F.col("text")).alias("norm"))
+    rows = norm.select("doc_id", "key", F.coalesce(F.length("norm"), F.lit(0)).cast("long").alias("n_norm"), F.when(F.col("norm") != "", F.sha2("norm", 256)).alias("digest"))
+    whole = rows.join(licences.select("digest", "license_id"), "digest", "left")
+    both = whole.join(named, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("key") == F.col("n_key")), "left")
+    return both.select("doc_id", "n_norm", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +154,11 @@ def _sql() -> str:
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
     rows = ",\n".join(f"({quote(i)}, {quote(t)})" for i, t in known_texts())
+    fixed = ",\n".join(f"({quote(i)}, {quote(d)})" for i, d in DIGESTS.items())
     return f"""
     with texts(license_id, text) as (values {rows}),
-    known as (select sha256({norm("text")}) digest, min(license_id) license_id from texts group by 1),
+    digests(license_id, digest) as (values {fixed}),
+    known as (select digest, min(license_id) license_id from (select license_id, sha256({norm("text")}) digest from texts union all select * from digests) k group by 1),
     d as (select doc_id, text, {norm("text")} norm from documents),
     lines as (select distinct doc_id, license_id from (select doc_id, unnest(string_split(text, chr(10))) line from d where regexp_matches(lower(text), '{NOTICE}')) l
       join known k on k.digest = sha256({norm("line")}) where regexp_matches(lower(line), '{NOTICE}')),

@@ -1,6 +1,7 @@
 """Language ID: compression classification.
 
-Per language a raw-content zstandard dictionary is built from a bounded sample of labelled texts.  A
+Per language a raw-content zstandard dictionary is built from a bounded sample of labelled texts, all of which
+share its bytes evenly; a text longer than its share gives pieces from all over it.  A
 text is lower-cased, everything that is not a letter becomes a space, and all of it is compressed
 block by block with each dictionary; the language with the smallest total wins, ties going to the
 language with more labelled documents.  The score is the margin, 1 - smallest / second smallest;
@@ -8,7 +9,8 @@ a narrow margin rejects.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; so is
 every text when there is nothing to learn from.  With a single learned language the score is 1.
-Rows stand alone; repeated rows get equal results and extra columns are ignored or passed on.
+Rows stand alone; repeated rows get equal results, are learned from once, and extra columns are ignored or passed on
+(``names`` keeps the results' names clear of them).
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import slices, table
+from evalloom.llm.common import column, slices, table
 
 BLOCK = 16384
 PAD = b" " * 64  # so that a short block is always stored compressed and lengths differ by content alone
 LEVEL = 6
 #: Narrower margins reject.
 MARGIN = 0.005
-#: The bounds of the sample: documents a language, characters a document, dictionary bytes a language and in all.
-SAMPLE, SAMPLE_CHARS, DICTIONARY, ALL_DICTIONARIES = 256, 20_000, 256 << 10, 64 << 20
+#: The bounds of the sample: documents a language, dictionary bytes a language and in all.
+SAMPLE, DICTIONARY, ALL_DICTIONARIES = 256, 256 << 10, 64 << 20
+PIECE = 256  # bytes of a piece of a text that is longer than its share
 
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -39,6 +42,29 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_KEEP).split())
 
 
+def spread(raw: bytes, size: int) -> bytes:
+    """At most ``size`` bytes of a text: all of it, or pieces at even distances from its begin to its end."""
+    if len(raw) <= size:
+        return raw
+    n = -(-size // PIECE)
+    width = size // n
+    starts = [(len(raw) - width) * i // max(1, n - 1) for i in range(n)]
+    return b"".join(raw[a : a + width] for a in starts)
+
+
+def even(raws: list[bytes], size: int) -> bytes:
+    """A dictionary of ``size`` bytes at most to which every text gives as much as any other, or all it has."""
+    room, share = size, 0
+    for i, n in enumerate(sorted(len(r) + 1 for r in raws)):
+        share = room // (len(raws) - i)
+        if n > share:
+            break
+        room -= n
+    else:
+        share = size
+    return b" ".join(spread(r, share - 1) for r in raws if share > 1)[:size] or b" "
+
+
 @dataclass
 class Model:
     """Languages by falling number of labelled documents, each with its dictionary."""
@@ -77,33 +103,43 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from rows with a label; per language at most ``sample`` texts, those with the smallest hash of their identifier.
+    """Learn from rows with a label; per language at most ``sample`` distinct texts, those with the smallest hash of identifier and text.
 
     Counting is an aggregation with map-side combining; then a hash threshold per language lets only
-    about twice the sample reach the driver, whatever the size of the table.
+    about twice the sample through, whatever the size of the table, and each text is thinned where it is read.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).where("lang is not null and text is not null")
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    rows = df.select(column(lang_col).alias("lang"), column(id_col).cast("string").alias("id"), column(text_col).alias("text")).where("lang is not null and text is not null")
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], [])
+    size = min(DICTIONARY, ALL_DICTIONARIES // len(counts))
+    most = max(PIECE, 16 * size // sample)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            raws = [spread(normal(t or ""), most) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(raws, pa.binary())], ["lang", "h", "raw"])
+
     cut = spark.createDataFrame([(lang, int((1 << 30) * min(1.0, (2 * sample + 50) / n))) for lang, n in counts.items()], "lang string, cut long")
     # One row for each language, each with a bounded expected number of documents.
-    picked = rows.join(F.broadcast(cut), "lang").where(share < F.col("cut")).select("lang", share.alias("h"), "id", "text").collect()
-    by: dict[str, list] = {}
-    for r in picked:
-        by.setdefault(r.lang, []).append((r.h, r.id, r.text))
-    size = min(DICTIONARY, ALL_DICTIONARIES // len(counts))
+    picked = rows.join(F.broadcast(cut), "lang").where(share < F.col("cut")).select("lang", share.alias("h"), "text").mapInArrow(thin, "lang string, h long, raw binary").distinct()
+    by: dict[str, list[tuple[int, bytes]]] = {}
+    for r in picked.collect():
+        by.setdefault(r.lang, []).append((r.h, bytes(r.raw)))
     order = sorted(by, key=lambda lang: (-counts[lang], lang))
-    return Model(order, [b" ".join(normal(t) for _, _, t in sorted(by[lang])[:sample])[:size] or b" " for lang in order])
+    return Model(order, [even([raw for _, raw in sorted(by[lang])[:sample]], size) for lang in order])
+
+
+RESULT = ("lang_pred", "score", "rejected")
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, margin: float = MARGIN) -> DataFrame:
-    """``keep`` (default: all columns but the text), then lang_pred, score and rejected."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, margin: float = MARGIN, names: tuple[str, ...] | list[str] = RESULT) -> DataFrame:
+    """``keep`` (default: all columns but the text), then the prediction, its score and whether it is rejected, under ``names``."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     shared = df.sparkSession.sparkContext.broadcast(model)
-    src = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    src = df.select(*(column(c).alias(f"k{i}") for i, c in enumerate(keep)), column(text_col).alias("text"))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "lang_pred string, score double, rejected boolean"])
     n = len(keep)
 
@@ -113,9 +149,9 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             got = [classify(t) for t in b.column(n).to_pylist()]
             langs, scores = [g[0] for g in got], [g[1] for g in got]
             bad = [lang == "und" or s < margin for lang, s in got]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], [*(f"k{i}" for i in range(n)), "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], [*(f"k{i}" for i in range(n)), *RESULT])
 
-    return src.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score", "rejected")
+    return src.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

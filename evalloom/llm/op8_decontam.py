@@ -7,11 +7,18 @@
    A pair is contaminated if the equal words of the alignment make up ``coverage`` of the item.
 
 Test items go in blocks of bounded size (``block_bytes``), each sent to all executors; however large
-the benchmark, no more than one block is held.  Documents are never shuffled.
+the benchmark, no more than one block is held.  With several blocks the corpus is still read once: a bit
+table of the seeds of all blocks, of bounded size, leaves the documents that may hold a seed, and only these
+are stored and searched block by block.  Documents are never shuffled.
+
+Every n-gram of an item is a seed, not its rarest ones alone: a rare one may be the very one that an edit
+removed.  What is rare decides the cost instead: a seed's hits are only aligned where enough of the item's
+words stand around them.
 
 Defined results: items without words match nothing; items shorter than an n-gram match as a whole
-sequence of words; null texts have no words.  Repeated documents or items yield a row each, equal
-identifiers merged to the best alignment of each document row.  Extra columns are ignored.
+sequence of words, those of one or two words only a document that has no others; null texts have no words.
+Repeated documents or items yield a row each, with the best alignment of each row of documents.  Ties go to the
+higher score, then to the earlier place.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import shingles
-from evalloom.llm.common import id_text, slices, table
+from evalloom.llm.common import column, id_text, materialise, slices, table, text_key
 
 N, COVERAGE = 5, 0.5
 BLOCK_BYTES = 8 << 20
+#: Bits of the table of seeds, a seed and at most.
+SEED_BITS, MOST_BITS = 16, 1 << 31
 _MASK = np.uint64((1 << 20) - 1)
 _PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -129,16 +138,18 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], n: int, coverage: float
                 continue
             owner = np.searchsorted(begins, where, "right") - 1
             out = []
-            ids = b.column("doc_id")
+            ids, keys_of = b.column("doc_id"), b.column("text_key")
             for d, item, diagonals in _pairs(owner, where - begins[owner], which, starts, of, at_word):
                 doc, target = word[at[d] : at[d + 1]], items_.words[item]
+                if len(target) < 3 and len(doc) > len(target):
+                    continue
                 best = max(_aligned(target, doc, diagonals, coverage * len(target)), key=lambda x: (x[1], x[0], -x[2]), default=None)
                 if best and best[1] >= coverage * len(target):
-                    out.append((ids[d].as_py(), items_.ids[item], best[1] / len(target), best[0], best[1], best[2], best[3]))
+                    out.append((ids[d].as_py(), items_.ids[item], best[1] / len(target), best[0], best[1], best[2], best[3], keys_of[d].as_py()))
             if out:
                 cols = zip(*out, strict=True)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "coverage", "score", "matched", "word_start", "word_end"])
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "coverage", "score", "matched", "word_start", "word_end", "text_key"])
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -187,22 +198,55 @@ def _aligned(item: np.ndarray, doc: np.ndarray, diagonals: list[int], least: flo
             a = end - 3 * len(item)
 
 
-SCHEMA = "doc_id long, item_id long, coverage double, score long, matched long, word_start long, word_end long"
+SCHEMA = "doc_id long, item_id long, coverage double, score long, matched long, word_start long, word_end long, text_key long"
+
+
+def _may_hold(docs: DataFrame, blocks: list[list[tuple[int, str]]] | Iterator[list[tuple[int, str]]], n: int, total: int) -> DataFrame:
+    """The documents that may hold a seed of any block, by one bit table of about ``SEED_BITS`` a seed."""
+    size = 1 << min(MOST_BITS, max(1 << 10, SEED_BITS * total // 6)).bit_length() - 1
+    bits, sizes = np.zeros(size // 8 + 1, np.uint8), set()
+    for rows in blocks:
+        items = Items(rows, n)
+        keys = items.seeds()[0] & np.uint64(size - 1)
+        np.bitwise_or.at(bits, (keys >> np.uint64(3)).astype(np.int64), np.uint8(1) << (keys & np.uint64(7)).astype(np.uint8))
+        sizes.update(items.sizes)
+    shared, sizes = docs.sparkSession.sparkContext.broadcast(bits), sorted(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = shared.value
+        for b in slices(batches, 512, most=2 << 20):
+            word, at = shingles.words([plain(t) for t in b.column("text").to_pylist()])
+            marked = np.insert(word, at[1:-1], np.uint64(0))
+            begins = at[:-1] + np.arange(len(at) - 1)
+            hit = np.zeros(b.num_rows, bool)
+            for k in sizes:
+                g = shingles.grams(marked, k) & np.uint64(size - 1)
+                p = np.flatnonzero(table_[(g >> np.uint64(3)).astype(np.int64)] >> (g & np.uint64(7)).astype(np.uint8) & 1)
+                hit[np.searchsorted(begins, p, "right") - 1] = True
+            if hit.any():
+                yield b.filter(pa.array(hit))
+
+    return materialise(docs.mapInArrow(run, docs.schema), "may-hold")
 
 
 def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each contaminated pair of a document and a test item, with its best alignment."""
-    docs = id_text(df, id_col, text_col)
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
+    """One row for each contaminated pair of a document and a test item, with its best alignment.
+
+    ``text_key`` names the document's text, for rows whose identifiers others share.
+    """
+    docs = id_text(df, id_col, text_col).withColumn("text_key", text_key(F.col("text")))
+    tests = benchmark.select(column(item_col).cast("long").alias("item_id"), column(item_text).alias("text")).where("item_id is not null and text is not null")
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-total // block_bytes))
-    found = []
-    for k in range(blocks):
-        rows = [(r.item_id, r.text) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        if (part := _block(docs, sorted(rows), n, coverage)) is not None:
-            found.append(part)
+
+    def block(k: int) -> list[tuple[int, str]]:
+        return sorted((r.item_id, r.text) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
+
+    if blocks > 1:
+        docs = _may_hold(docs, map(block, range(blocks)), n, total)
+    found = [part for k in range(blocks) if (part := _block(docs, block(k), n, coverage)) is not None]
     return reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")

@@ -141,7 +141,9 @@ def test_media_round_trip(spark):
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         want.add((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got} == want
-    assert {r.media_type for r in got} == {"audio/wav"} and all(r.corrected for r in got)
+    said = {r.doc_id: r.declared for r in media.collect()}
+    assert {r.media_type for r in got} == {"audio/wav"} and {r.corrected for r in got} == {True, False}
+    assert all(r.corrected == (said[r.doc_id] != "audio/wav") for r in got)
 
 
 def png(data=b"x"):
@@ -149,6 +151,16 @@ def png(data=b"x"):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
 
 
+@pytest.mark.parametrize("unit", [b"%PDF-1.4 ", b"PK\x03\x04abc", b"PK\x03\x04PK\x05\x06", b"%PDF-1 startxref ", b"GIF89a;", b"RIFF    WAVE", b"\x1f\x8b\x08\0", b"\xff\xd8\xff\xda\0\x02", b"OggS\0\x02"])
+def test_sniffing_time_is_linear(unit):
+    import time
+
+    sniffer = op2_media.Sniffer()
+    begin = time.process_time()
+    sniffer.spans(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - begin < 4
+
+
 def test_sniffing_confirms_and_carves(spark):
     import gzip
     import io
@@ -160,8 +172,15 @@ def test_sniffing_confirms_and_carves(spark):
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0" * 6 + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\0;"
     jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x02\x01\xff\0\x02\xff\xd9"
     pdf = b"%PDF-1.4\nstartxref\n0\n%%EOF"
-    kinds = {"image/png": png(), "image/gif": gif, "image/jpeg": jpeg, "application/pdf": pdf, "application/zip": z.getvalue(), "application/gzip": gzip.compress(b"q"), "audio/wav": op2_media.store_samples(b"1234")}
+    chunk = lambda n, d: n + struct.pack("<I", len(d)) + d + b"\0" * (len(d) & 1)
+    webp = b"RIFF" + struct.pack("<I", 4 + len(chunk(b"VP8 ", b"abc"))) + b"WEBP" + chunk(b"VP8 ", b"abc")
+    page = lambda flags, number, body: b"OggS\0" + bytes([flags]) + struct.pack("<QIII", 0, 7, number, 0) + bytes([1, len(body)]) + body
+    kinds = {"image/webp": webp, "application/ogg": page(2, 0, b"one") + page(0, 1, b"") + page(4, 2, b"three"), "image/png": png(), "image/gif": gif, "image/jpeg": jpeg, "application/pdf": pdf, "application/zip": z.getvalue(), "application/gzip": gzip.compress(b"q"), "audio/wav": op2_media.store_samples(b"1234")}
     data = [(k, v, "text/plain") for k, v in kinds.items()] + [("broken", png()[:-3], "image/png"), ("null", None, None), ("empty", b"", "x"), ("text", b"GIF89a in a text, RIFF and PK\x03\x04 too", "x")]
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as f:
+        f.writestr("inner.zip", z.getvalue())
+    data += [("cut", page(2, 0, b"one"), "x"), ("nested", outer.getvalue(), "application/zip"), ("later", b"%PDF-1.4 no end, " + png() + z.getvalue(), "x")]
     data += [("two", b"junk" + png() + b"junk" + gif, "x"), ("inside", op2_media.store_samples(b"ab" + png() + b"cd" * 9), "audio/wav")]
     df = spark.createDataFrame(data, "name string, media binary, declared string")
     got = {r.name: r for r in op2_media.sniff(df, keep=("name", "media")).collect()}
@@ -169,6 +188,8 @@ def test_sniffing_confirms_and_carves(spark):
         assert got[k].media_type == k and got[k].corrected and got[k].carved == []
     assert got["broken"].media_type == "application/octet-stream" and got["null"].media_type is None and got["text"].carved == []
     assert [(c.type, c.start) for c in got["two"].carved] == [("image/png", 4), ("image/gif", 8 + len(png()))]
+    assert got["cut"].media_type == "application/octet-stream" and got["nested"].media_type == "application/zip" and not got["nested"].corrected
+    assert [(c.type, c.start) for c in got["later"].carved] == [("image/png", 17), ("application/zip", 17 + len(png()))]
     assert not got["inside"].corrected
     carved = op2_media.carve(op2_media.sniff(df, keep=("name", "media")).where("name = 'inside'")).first()
     assert bytes(carved.carved_bytes) == png()
@@ -406,9 +427,29 @@ def test_licences(spark):
         by[r.doc_id].append(r)
     assert by[1][0].license_id == "MIT" and by[2][0].license_id is None and by[6][0].license_id == "BSD-2-Clause"
     assert sorted(r.notices for r in by[5]) == ["", "CC-BY-NC-4.0,MIT"] and by[3][0].digest is None and by[4][0].digest is None
+    many = spark.createDataFrame([(f"x{i}", f"some licence text {i}") for i in range(300)], "license_id string, text string")
+    more = known.unionByName(many.select("license_id", op6_licenses.digest(F.col("text")).alias("digest")))
+    assert op6_licenses.scan(documents(spark, [(1, "Some license TEXT 299."), (None, mit), (None, "a\nMIT License")]), more).select("license_id").orderBy("license_id").collect() == [(None,), ("MIT",), ("x299",)]
     assert op6_licenses.scan(odd(spark), known).count() == 11 and op6_licenses.scan(empty(spark), known).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """The published files, as they are and restyled, are found whole and only whole."""
+    import pathlib
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not folder.exists():
+        pytest.skip("no licence files on this machine")
+    data, want = [], []
+    for k, (name, ident) in enumerate(names.items()):
+        text = (folder / name).read_text()
+        data += [(3 * k, text), (3 * k + 1, "  " + text.upper().replace("\n", " \r\n") + "!"), (3 * k + 2, text + " and more")]
+        want += [ident, ident, None]
+    got = op6_licenses.scan(documents(spark, data), op6_licenses.known(spark)).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == want
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_oracle(spark, small, name):
     got, want = catalog.queries()[name](spark, small).toPandas(), connect(small).sql(catalog.oracle_sql()[name]).df()
@@ -423,7 +464,49 @@ def test_language_held_out(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_dictionaries_share_evenly():
+    raws = [b"a" * 10, b"b" * 5000, bytes(range(256)) * 40, b"c"]
+    got = op7_language.even(raws, 1000)
+    assert len(got) <= 1000 and got.count(b"b") > 400 and b"a" * 10 in got and len(set(got)) > 200
+    assert op7_language.even([b"x"], 100) == b"x" and op7_language.even([], 100) == b" "
+    assert op7_language.spread(b"0" * 5000 + b"9" * 5000, 1024).count(b"9") == 512
+
+
+def test_language_matches_a_plain_version(spark, small):
+    """The same choice by dictionaries built and used without the operator's code."""
+    import re
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r.doc_id: r for r in op7_language.query(spark, small).collect()}
+    model = op7_language.fit(docs.where(~op7_language.held_out()))
+    learned = [r for r in docs.collect() if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    assert model.languages == [k for k, _ in sorted(collections.Counter(r.lang for r in learned).items(), key=lambda kv: (-kv[1], kv[0]))]
+    clean = lambda t: re.sub(rb"[^a-z\x80-\xff]+", b" ", t.lower().encode()).strip()
+    for lang, content in zip(model.languages, model.dictionaries, strict=True):
+        mine = sorted(clean(r.text) for r in learned if r.lang == lang)
+        if sum(map(len, mine)) + len(mine) <= op7_language.DICTIONARY and len(mine) <= op7_language.SAMPLE:
+            assert sorted(content.split()) == sorted(b" ".join(mine).split())
+        assert len(content) <= op7_language.DICTIONARY
+    for r in docs.collect():
+        raw = clean(r.text or "")
+        sizes = []
+        for content in model.dictionaries:
+            params = zstandard.ZstdCompressionParameters.from_level(6, write_content_size=0, write_dict_id=0, write_checksum=0, dict_size=len(content), source_size=4096, min_match=3)
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(b" " * 64 + raw[i : i + 16384])) for i in range(0, len(raw), 16384)))
+        letters = any(c.isalpha() for c in r.text or "")
+        want = model.languages[sizes.index(min(sizes))] if letters else "und"
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (want, zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if letters:
+            assert abs(got[r.doc_id].score - (1 - min(sizes) / sorted(sizes)[1])) < 1e-12
+
+
 def test_language_odd_input(spark):
+    clash = odd(spark).selectExpr("*", "1 as score", "3 as lang_pred")
+    named = op7_language.predict(clash, op7_language.fit(clash), keep=clash.columns, names=("p", "s", "r"))
+    assert named.columns == [*clash.columns, "p", "s", "r"] and named.count() == 11
     model = op7_language.fit(odd(spark))
     got = op7_language.predict(odd(spark), model, keep=["doc_id"]).collect()
     assert len(got) == 11 and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 9)} == {"und"}
@@ -466,6 +549,62 @@ def test_decontamination(spark):
     assert op8_decontam.find(odd(spark), bench.where("item_id < 0")).count() == 0
 
 
+def brute_find(docs, items, n, coverage):
+    """Every document against every item by full alignment of whole texts; pairs without a common n-gram are left out."""
+    out = set()
+    words_ = lambda t: op8_decontam.plain(t).decode().split()
+    for d, text in docs:
+        doc = words_(text)
+        for i, item in items:
+            want = words_(item)
+            k = min(n, len(want))
+            grams = {tuple(want[j : j + k]) for j in range(len(want) - k + 1)} if want else set()
+            if not grams & {tuple(doc[j : j + k]) for j in range(len(doc) - k + 1)} or (len(want) < 3 and len(doc) > len(want)):
+                continue
+            names = {w: j for j, w in enumerate(sorted({*doc, *want}))}
+            best = op8_decontam.align(np.array([names[w] for w in want]), np.array([names[w] for w in doc]))
+            if best[1] >= coverage * len(want):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(say(rng.choice([1, 2, 4, 12, 25, 40, 60])))) for k in range(40)]
+    docs = []
+    for d in range(150):
+        text = say(rng.randrange(60))
+        for _ in range(rng.randrange(3)):
+            piece = rng.choice(items)[1].split()
+            piece = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in piece if rng.random() > 0.05]
+            text += piece + say(rng.randrange(20))
+        docs.append((d, " ".join(text)))
+    docs += [(200, items[0][1]), (201, None), (202, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_find(docs, items, 5, 0.5)
+    for block_bytes in (8 << 20, 600):
+        got = [(r.doc_id, r.item_id) for r in op8_decontam.find(documents(spark, docs), bench, block_bytes=block_bytes).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+
+def test_recall_of_seeds_by_share_of_edits():
+    """Copies of 40 words with substituted words: full alignment against seeds; the README has the figures."""
+    rng = random.Random(11)
+    for share, least in ((0.1, 0.97), (0.2, 0.95), (0.3, 0.9)):
+        whole = seeded = 0
+        for _ in range(400):
+            item = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+            copy = [f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in item]
+            names = {w: j for j, w in enumerate({*item, *copy})}
+            a, b = np.array([names[w] for w in item]), np.array([names[w] for w in copy])
+            if op8_decontam.align(a, b)[1] >= 20:
+                whole += 1
+                seeded += any(item[j : j + 5] == copy[j : j + 5] for j in range(36))
+        assert seeded >= least * whole
+
+
 def test_decontamination_of_edited_copies(spark):
     """A word changed in every 6 to 8, whether or not the item stands elsewhere as it is."""
     rng = random.Random(8)
