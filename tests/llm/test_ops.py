@@ -83,6 +83,73 @@ def test_join_finds_every_component(spark, k, num, den):
     assert len({c for _, c in want.values()}) < len(want) - 40
 
 
+def test_split_stars_lose_no_link(spark, monkeypatch):
+    """Chunks of about two members, so that links between strays of different chunks matter."""
+    rng = random.Random(7)
+    texts = [t for words in (3, 12, 60, 200) for t in family(rng, 40, words, 39, 0.06 if words > 20 else 0.3)]
+    data = dict(enumerate(texts))
+    want = {i: c for i, (_, c) in brute_components(data, 4, 85, 100).items()}
+    for members in (2, 7):
+        monkeypatch.setattr(op1_ngram_join, "MEMBERS", members)
+        assert {r.doc_id: r.component_id for r in op1_ngram_join.link(documents(spark, list(data.items()))).collect()} == want
+
+
+def test_chunks_by_brute_force():
+    """Every chunk, alone and visited by strays of another, connects what all pairs connect."""
+    rng = np.random.default_rng(5)
+    ok = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+
+    def roots(ids, links):
+        root = {i: i for i in ids}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in links:
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+        return {i: find(i) for i in ids}
+
+    for _ in range(60):
+        base = rng.integers(0, 1 << 60, 40, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(40) > rng.uniform(0, 0.15)], rng.integers(0, 1 << 60, rng.integers(0, 5), dtype=np.uint64)])) for _ in range(14)]
+        links = []
+        chunks = [sets[1:8], sets[8:]]
+        stars = []
+        for first, chunk in zip((1, 8), chunks, strict=True):
+            star = op1_ngram_join.Star(0, sets[0], 85, 100)
+            for k, got in enumerate(chunk):
+                star.add(first + k, got)
+            star.close()
+            links += star.links()
+            stars.append(star)
+        for host, guest in ((stars[0], stars[1]), (stars[1], stars[0])):
+            for u in guest.strays():
+                links += host.join(guest.ids[u], host.near(guest.sizes[u], guest.diffs[u]))
+        assert all(ok(sets[x], sets[y]) for x, y in links)
+        assert roots(range(14), links) == roots(range(14), [(x, y) for x in range(14) for y in range(x) if ok(sets[x], sets[y])])
+
+
+def test_join_repeated_and_null_identifiers(spark):
+    """Against brute force over rows: identifiers shared by different texts, null ones, and repeated rows."""
+    rng = random.Random(9)
+    texts = [t for words in (20, 80) for t in family(rng, 25, words, 24, 0.03)]
+    data = [(rng.choice([None, *range(12)]), t) for t in texts]
+    data += [data[3], data[3], (None, texts[3]), (None, "alone in all of this text here"), (3, None), (None, ""), (None, "alone in all of this text here")]
+    want = brute_components({n: t for n, (_, t) in enumerate(data)}, 4, 85, 100)
+    groups = collections.defaultdict(list)
+    for n, (_, c) in want.items():
+        groups[c].append(data[n][0])
+    smallest = {c: min((i for i in ids if i is not None), default=None) for c, ids in groups.items()}
+    expected = collections.Counter((data[n][0], size, smallest[c]) for n, (size, c) in want.items())
+    clash = documents(spark, data).selectExpr("*", "1 as sid", "2 as text_key", "3 as ident", "4 as hist", "5 as component_id")
+    got = op1_ngram_join.link(clash).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+    assert {r.component_id for r in op1_ngram_join.link(documents(spark, [(1, texts[0]), (1, texts[-1]), (2, texts[0]), (3, texts[-1]), (None, texts[0])])).collect()} == {1}
+
+
 def test_signatures_keep_every_link():
     rng = np.random.default_rng(2)
     for n in (2, 7, 20, 90, 700):
