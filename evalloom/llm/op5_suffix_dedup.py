@@ -7,18 +7,21 @@ The corpus is cut so that equal strings always meet: a window of ``length`` byte
 smallest hash of its ``GRAM``-byte grams (a minimizer), so equal windows have equal keys and the windows
 of a key form short segments.  Keys that occur once are dropped; the segments of the others go to
 the key's task.  There, segments with equal bytes need no comparison: all but the earliest are repeats.
-The distinct ones are concatenated and sorted into a suffix array, and common prefixes are derived
-from its Burrows-Wheeler neighbourhood by increasing value: intervals of level ``l`` are extended
-backward by one symbol, all at once, which gives the boundaries of level ``l + 1``; the expansion stops
-at ``length``, when positions without a boundary share ``length`` bytes at least.
+The distinct ones are concatenated and sorted into a suffix array as deep as ``length``, from which the
+Burrows-Wheeler transform follows.  Common prefixes are derived from the transform by increasing value: the
+intervals of all strings of ``l`` symbols are extended backward by each symbol before them, breadth first;
+where an extended interval ends and no shorter string has set a boundary, the suffixes on both sides share
+``l`` symbols, and only such intervals are extended further.  The expansion stops at ``length``: what has no
+boundary by then shares ``length`` bytes at least.
 
 Copies of whole texts are settled first by digest.  Frequent keys and contents are settled inside the
 task that reads them, so a passage in a third of all documents sends a row a task, not a row a document.
-A task holds one block of segments; a key's distinct segments are held together.
+A task holds one block of segments.  A key of more than ``HOT`` runs is split: its segments are cut into
+single windows, each of which goes, as a 128-bit digest, to a task of its own choice.
 
 Defined results: null is the empty text; texts shorter than ``length`` never match; rows equal in
 identifier and text are one document; of equal identifiers with different texts the order is that of
-their digests; a null identifier comes last.  Extra columns are ignored.
+their digests; a null identifier comes last.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import materialise, parts, released, slices, table
+from evalloom.llm.common import column, discard, fresh, materialise, parts, private, released, remove, slices, table
 from evalloom.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
 BLOCK = 3 << 19
+#: Runs of a key from which on its windows are compared one by one.
+HOT = 10_000
 _LAST = (1 << 63) - 1
 _RNG = np.random.Generator(np.random.PCG64(5))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -129,39 +134,58 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def transform(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform (the symbol before each suffix) and where each place leads when it is extended by its symbol."""
+    before = text[order - 1].astype(np.int16)
+    leads = np.empty(len(order), np.int64)
+    leads[np.argsort(before, kind="stable")] = np.arange(len(order))
+    return before, leads
+
+
 def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """True where a suffix shares fewer than ``length`` symbols with the one before it in ``order``.
 
-    Level 0 has a boundary wherever the first symbol changes.  A pair of neighbours gets its boundary at
-    level l + 1 if the intervals of level l hold their continuations apart, which is the backward
-    extension of those intervals by the pair's common symbol.
+    Symbol 0 parts the segments and is never matched: strings that hold it are not extended, so a boundary
+    beside them may be missing, which only joins them with windows that end within their segment.
     """
     n = len(order)
-    inverse = np.empty(n + 1, np.int64)
-    inverse[order] = np.arange(n)
-    inverse[n] = 0
-    psi = inverse[order + 1]
-    bound = np.ones(n, bool)
-    bound[1:] = text[order][1:] != text[order][:-1]
-    open_ = np.flatnonzero(~bound)
-    before, here = psi[open_ - 1], psi[open_]
-    level = np.cumsum(bound, dtype=np.int32)
+    before, leads = transform(text, order)
+    new = np.ones(n, bool)
+    new[1:] = before[1:] != before[:-1]
+    run_begin = np.append(np.flatnonzero(new), n)  # runs of equal symbols in the transform move together
+    run_symbol = before[run_begin[:-1]]
+    run_of = np.cumsum(new, dtype=np.int32) - 1
+    bound = np.zeros(n + 1, bool)
+    bound[0] = bound[n] = True
+    ends = np.cumsum(np.bincount(text))
+    lo, hi = ends[:-1], ends[1:]  # the intervals of the single symbols but 0
+    some = hi > lo
+    lo, hi = lo[some], hi[some]
+    bound[hi] = True
     for _ in range(1, length):
-        if not len(open_):
+        if not len(lo):
             break
-        if level is not None:
-            hit = level[before] != level[here]
-        else:  # what is still open can only be split by the boundaries of the level just before
-            low, high = np.minimum(before, here), np.maximum(before, here)
-            hit = np.searchsorted(found, low, "right") != np.searchsorted(found, high, "right")
-        found = open_[hit]
-        if not len(found):
-            # No interval split at this level, so none will later: all that is left shares ``length`` symbols or more.
+        first, last = run_of[lo], run_of[hi - 1]
+        many = (last - first + 1).astype(np.int64)
+        owner = np.repeat(np.arange(len(lo)), many)
+        run = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+        run, owner = run[run_symbol[run] != 0], owner[run_symbol[run] != 0]
+        if not len(run):
             break
-        bound[found] = True
-        open_, before, here = open_[~hit], before[~hit], here[~hit]
-        level = np.cumsum(bound, dtype=np.int32) if len(open_) > n // 16 else None
-    return bound
+        by = np.argsort(run_symbol[run], kind="stable")
+        run, owner = run[by], owner[by]
+        a, b = np.maximum(run_begin[run], lo[owner]), np.minimum(run_begin[run + 1], hi[owner])
+        start = leads[a]
+        # Runs of one interval and one symbol lie side by side after the extension: together they are the new interval.
+        head = np.ones(len(run), bool)
+        head[1:] = (owner[1:] != owner[:-1]) | (run_symbol[run[1:]] != run_symbol[run[:-1]])
+        heads = np.flatnonzero(head)
+        tails = np.append(heads[1:], len(run)) - 1
+        lo, hi = start[heads], start[tails] + (b - a)[tails]
+        fresh = ~bound[hi]
+        lo, hi = lo[fresh], hi[fresh]
+        bound[hi] = True
+    return bound[:n]
 
 
 def repeats(segments: list[bytes], docs: list[int], starts: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -254,10 +278,29 @@ def _repeated(keys: DataFrame) -> DataFrame:
 
 
 def _segments(texts: DataFrame, length: int) -> DataFrame:
-    """route, doc, start, size, seg: segments to compare; ``seg`` is null for those known to repeat."""
+    """route, doc, start, size, inner, seg: segments to compare; ``seg`` is null for those known to repeat and a digest for single windows of hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, int]] = {}
+        windows: dict[bytes, tuple[int, int]] = {}
+
+        def cut(doc: int, start: int, size: int, seg: bytes) -> Iterator[tuple]:
+            """The windows of a segment; neighbours known to repeat make one row."""
+            since = -1
+            for k in range(size):
+                name = hashlib.blake2b(seg[k : k + length], digest_size=16).digest()
+                earliest = windows.get(name)
+                if earliest is not None and earliest < (doc, start + k):
+                    since = k if since < 0 else since
+                    continue
+                if since >= 0:
+                    yield ((doc * 31 + start) & _LAST, doc, start + since, k - since, False, None)
+                    since = -1
+                windows[name] = (doc, start + k)
+                yield (int.from_bytes(name[:8], "little", signed=True), doc, start + k, 1, False, name)
+            if since >= 0:
+                yield ((doc * 31 + start) & _LAST, doc, start + since, size - since, False, None)
+
         for b in slices(batches, 256, most=1 << 20):
             rows = []
             for doc, raw, found in zip(b.column("doc").to_pylist(), _bytes(b.column("text")), b.column("found").to_pylist(), strict=True):
@@ -267,11 +310,16 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
                     earliest = known.get(seg)
                     if earliest is not None and earliest < (doc, start):
                         rows.append(((doc * 31 + start) & _LAST, doc, start, size, False, None))
+                        continue
+                    known[seg] = (doc, start)
+                    if f["hot"]:
+                        rows += cut(doc, start, size, seg)
                     else:
-                        known[seg] = (doc, start)
                         rows.append((f["key"], doc, start, size, f["inner"], seg))
             if len(known) > 150_000:
                 known.clear()
+            if len(windows) > 300_000:
+                windows.clear()
             for i in range(0, len(rows), 20_000):
                 cols = zip(*rows[i : i + 20_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["route", "doc", "start", "size", "inner", "seg"])
@@ -305,8 +353,9 @@ def _marks(segments: DataFrame, length: int) -> DataFrame:
         def close() -> None:
             nonlocal size
             if len(group) > 1 or within:
-                block.extend((seg, d, s) for seg, (d, s) in group.items())
-                size += sum(map(len, group))
+                real = [(seg, d, s) for seg, (d, s) in group.items() if len(seg) >= length]  # digests are equal or have nothing in common
+                block.extend(real)
+                size += sum(len(x[0]) for x in real)
             group.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -338,7 +387,7 @@ def _marks(segments: DataFrame, length: int) -> DataFrame:
                 elif old != (doc, start):
                     group[seg] = min(old, (doc, start))
                     later = max(old, (doc, start))
-                    full.append((*later, later[1] + len(seg)))
+                    full.append((*later, later[1] + n + length - 1))
             if len(full) > 200_000:
                 yield from flush()
         close()
@@ -353,41 +402,51 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     copy; and the texts that lose a part, as doc, sha, spans and what is kept.  Both are stored."""
     spark: SparkSession = df.sparkSession
     n = parts(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).select(
+    docs = df.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text")).select(
         "doc_id", F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("doc"), "text", F.sha2("text", 256).alias("sha")
     )
     rows = materialise(docs.select("doc_id", "doc", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    if rows.groupBy("doc").agg((F.min("sha") != F.max("sha")).alias("two")).where("two").limit(1).count():
+    shared = rows.groupBy("doc").agg((F.min("sha") != F.max("sha")).alias("two"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    two, same = shared.where("two").limit(1).count(), shared.limit(1).count()
+    if two:
         # Identifiers that stand for different texts: documents are renumbered in order of identifier and digest.
         places = materialise(rows.select("doc", "sha").distinct().orderBy("doc", "sha").select("doc", "sha", F.monotonically_increasing_id().alias("place")), "places")
         rows = rows.join(places, ["doc", "sha"]).select("doc_id", F.col("place").alias("doc"), "sha", "n_bytes")
         docs = docs.join(places, ["doc", "sha"]).select("doc_id", F.col("place").alias("doc"), "text", "sha")
     first = materialise(rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc").alias("doc")), "first")
     # One shuffle of the texts: what is left is stored in buckets, so that later joins by document move no text.
-    name = f"evalloom_{uuid.uuid4().hex}"
-    left = docs.select("doc", "text", "sha").where(F.octet_length("text") >= length).repartition(n, "doc")
-    keep = first.select("doc", F.col("sha").alias("first_sha")).repartition(n, "doc")
-    once = left.join(keep.hint("shuffle_hash"), (left.doc == keep.doc) & (F.instr(left.sha, F.col("first_sha")) == 1), "left_semi")
+    name, path = f"evalloom_{uuid.uuid4().hex}", fresh(spark, "texts")
+    left = docs.select("doc", "text").where(F.octet_length("text") >= length).repartition(n, "doc")
+    # A document has one text by now, so that its number alone tells whether it is the first with its text.
+    once = left.join(first.select("doc").repartition(n, "doc").hint("shuffle_hash"), "doc", "left_semi")
+    if same:
+        once = once.dropDuplicates(["doc"])
     with released(spark):
-        once.write.option("compression", "zstd").bucketBy(n, "doc").saveAsTable(name)
+        once.write.option("compression", "zstd").option("path", path).bucketBy(n, "doc").saveAsTable(name)
     try:
         texts = spark.table(name)
-        again = _repeated(_keys(texts.select("doc", "text"), length))
-        found = again.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "size", "inner")).alias("found"))
+        again = materialise(_repeated(_keys(texts.select("doc", "text"), length)), "again")
+        hot = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+        marked = again.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        found = marked.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "size", "inner", "hot")).alias("found"))
         segments = _segments(texts.select("doc", "text").join(found, "doc"), length)
         spans = _marks(segments, length).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
         cut = materialise(_cut(texts.join(spans, "doc")), "cut")
+        discard(spark, again)
     finally:
         spark.sql(f"drop table if exists {name}")
-    whole = rows.join(first.withColumnRenamed("doc", "first_doc"), "sha", "left").select("doc_id", "doc", "sha", "n_bytes", (F.col("doc") > F.col("first_doc")).alias("copy"))
+        remove(spark, path)
+    whole = rows.join(first.select("sha", F.col("doc").alias("first_doc")), "sha", "left").select("doc_id", "doc", "sha", "n_bytes", (F.col("doc") > F.col("first_doc")).alias("copy"))
     return whole, cut
 
 
 def _cut(texts: DataFrame) -> DataFrame:
+    """doc, spans, n_removed, n_spans, kept_sha256, kept: of what is cut through in the middle of a character ``kept`` holds nothing, the digest all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256, most=1 << 20):
             rows = []
-            for doc, sha, raw, spans in zip(b.column("doc").to_pylist(), b.column("sha").to_pylist(), _bytes(b.column("text")), b.column("spans").to_pylist(), strict=True):
+            for doc, raw, spans in zip(b.column("doc").to_pylist(), _bytes(b.column("text")), b.column("spans").to_pylist(), strict=True):
                 merged: list[list[int]] = []
                 for s in sorted((x["a"], x["b"]) for x in spans):
                     if merged and s[0] <= merged[-1][1]:
@@ -400,17 +459,18 @@ def _cut(texts: DataFrame) -> DataFrame:
                     at = e
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                rows.append((doc, sha, [{"a": a, "b": e} for a, e in merged], len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left))
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["doc", "sha", "spans", "n_removed", "n_spans", "kept_sha256", "kept"]
+                whole = "".join(k.decode("utf-8", "ignore") for k in kept)
+                rows.append((doc, [{"a": a, "b": e} for a, e in merged], len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), whole))
+            kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["doc", "spans", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return texts.select("doc", "sha", "text", "spans").mapInArrow(run, "doc long, sha string, spans array<struct<a:long,b:long>>, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.select("doc", "text", "spans").mapInArrow(run, "doc long, spans array<struct<a:long,b:long>>, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def digests(whole: DataFrame, cut: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    got = whole.join(cut.select("doc", "sha", "n_removed", "n_spans", "kept_sha256"), ["doc", "sha"], "left")
+    got = whole.join(cut.select("doc", "n_removed", "n_spans", "kept_sha256"), "doc", "left")
     copy = F.coalesce("copy", F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
     return got.select(
@@ -423,16 +483,16 @@ def digests(whole: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows of ``df`` with their text cut; a multi-byte character that is cut through is dropped."""
+    """The rows of ``df`` with their text cut; a multi-byte character that is cut through is dropped, nothing else is."""
     whole, cut = mark(df, id_col, text_col, length)
-    change = whole.where("copy").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.lit("").alias("_new"))
-    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    partly = whole.select("doc_id", "doc", "sha").join(cut.select("doc", "sha", left.alias("_new")), ["doc", "sha"]).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "_new")
-    new = change.unionByName(partly).distinct()
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.withColumn("_sha2", F.sha2(text, 256))
-    joined = rows.join(new, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left")
-    return joined.withColumn(text_col, F.coalesce("_new", text_col)).select(*df.columns)
+    sha, name, its, new = private(df, "sha", "name", "its", "new")
+    gone = whole.where("copy").select(F.col("doc_id").alias(name), F.col("sha").alias(its), F.lit("").alias(new))
+    partly = whole.where("not coalesce(copy, false)").select("doc_id", "doc", "sha").join(cut.select("doc", "kept"), "doc").select(F.col("doc_id").alias(name), F.col("sha").alias(its), F.col("kept").alias(new))
+    changes = gone.unionByName(partly).dropDuplicates([name, its])
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = df.withColumn(sha, F.sha2(text, 256))
+    joined = rows.join(changes, column(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(sha) == F.col(its)), "left")
+    return joined.select(*(F.coalesce(F.col(new), column(c)).alias(c) if c == text_col else column(c) for c in df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

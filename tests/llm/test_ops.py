@@ -459,13 +459,64 @@ def test_dedup_matches_brute_force(spark):
 
 def test_suffix_order_and_expansion():
     rng = random.Random(2)
-    for alphabet in ("ab", "abcdefgh"):
-        raw = bytes(ord(rng.choice(alphabet)) for _ in range(600)) + b"a" * 150
-        text = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
-        order = op5_suffix_dedup.suffix_order(text, 20)
-        assert [raw[p : p + 20] for p in order] == sorted(raw[p : p + 20] for p in range(len(raw)))
-        bound = op5_suffix_dedup.expand(np.append(text, 0), np.append(op5_suffix_dedup.suffix_order(np.append(text, 0), 20), []).astype(np.int64), 20)
-        assert bound.sum() >= len({raw[p : p + 20] for p in range(len(raw) - 19)})
+    for alphabet in ("ab", "abcdefgh", "a"):
+        for _ in range(6):
+            segments = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 200))) for _ in range(6)]
+            segments += [segments[0][:15] + segments[1], segments[2] * 2, "a" * 90]
+            raw = "".join(s + "\0" for s in segments).encode()
+            text = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
+            text[np.frombuffer(raw, np.uint8) == 0] = 0
+            order = op5_suffix_dedup.suffix_order(text, 20)
+            assert [raw[p : p + 20] for p in order] == sorted(raw[p : p + 20] for p in range(len(raw)))
+            bound = op5_suffix_dedup.expand(text, order, 20)
+            valid = np.array([b"\0" not in raw[p : p + 20] and p + 20 <= len(raw) for p in order])
+            group = np.cumsum(bound)[valid]
+            windows = [raw[p : p + 20] for p in order[valid]]
+            assert [a == b for a, b in zip(group, group[1:], strict=False)] == [a == b for a, b in zip(windows, windows[1:], strict=False)]
+
+
+def test_transform_is_the_symbols_before():
+    raw = b"banana\0bandana\0"
+    text = np.frombuffer(raw, np.uint8).astype(np.int64)
+    order = op5_suffix_dedup.suffix_order(text, 16)
+    before, leads = op5_suffix_dedup.transform(text, order)
+    assert [chr(c) for c in before] == [chr(raw[p - 1]) for p in order]
+    for i, p in enumerate(order):  # extending a place leads to the suffix that begins one symbol earlier
+        if p:
+            assert order[leads[i]] == p - 1
+
+
+def test_dedup_splits_hot_keys(spark, monkeypatch):
+    """A passage in every document among unlike neighbours; every key is hot."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = {i: say(rng.randrange(200)) + passage[: rng.randrange(60, 151)] + say(rng.randrange(200)) for i in range(120)} | {200 + i: t for i, t in dedup_texts().items()}
+    monkeypatch.setattr(op5_suffix_dedup, "HOT", 2)
+    df = documents(spark, list(texts.items())).repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_suffix_dedup.digests(*op5_suffix_dedup.mark(df)).collect()}
+    assert got == brute_dedup(texts, 100)
+
+
+def test_dedup_of_odd_rows(spark):
+    """Rows of equal identifier and text, genuine replacement characters, cut characters and clashing names."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefé\ufffd ") for _ in range(400))
+    data = [(1, base), (1, base), (2, "x\ufffdy " + base[50:200] + " end\ufffd"), (None, base), (None, "only here " * 3), (3, None), (4, base[:120] + "z")]
+    df = documents(spark, data)
+    whole, cut = op5_suffix_dedup.mark(df)
+    got = op5_suffix_dedup.digests(whole, cut).collect()
+    assert len(got) == len(data)
+    want = brute_dedup({0: base, 2: data[2][1], 3: None, 4: data[6][1], 9: base, 10: data[4][1]}, 100)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert by[1] == [want[0]] * 2 and by[2] == [want[2]] and by[4] == [want[4]] and sorted(by[None]) == sorted([want[9], want[10]])
+    clash = df.selectExpr("*", "'a' as sha", "'b' as _sha2", "'c' as name", "'d' as its", "'e' as NEW", "'f' as doc", "'g' as copy", "'h' as spans")
+    out = op5_suffix_dedup.deduplicate(clash).collect()
+    assert out[0].asDict().keys() == set(clash.columns) and {(r.sha, r._sha2, r.name, r.its, r.NEW, r.doc, r.copy, r.spans) for r in out} == {tuple("abcdefgh")}
+    left = next(r.text for r in out if r.doc_id == 2)
+    assert left.startswith("x\ufffdy ") and left.endswith(" end\ufffd") and len(out) == len(data) and [r.text for r in out if r.doc_id == 1] == [base, base]
 
 
 def test_dedup_odd_input(spark):
