@@ -71,8 +71,8 @@ def text_key(text: Column) -> Column:
 def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _MADE:
-        _MADE.remove(path)
+    name = path.rsplit("/", 1)[1]
+    _MADE[:] = [p for p in _MADE if not p.endswith(name)]
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
@@ -84,13 +84,14 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[set[str]]:
-    """Deletes at its end every path that ``fresh`` named within, but for those put into the yielded set."""
-    before, keep = set(_MADE), set()
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end every path that ``fresh`` named within, but for those of the frames put into the yielded list."""
+    before, keep = set(_MADE), []
     try:
         yield keep
     finally:
-        for path in [p for p in _MADE if p not in before and p not in keep]:
+        kept = {f.split("/")[-2] for df in keep for f in df.inputFiles()}
+        for path in [p for p in _MADE if p not in before and p.rsplit("/", 1)[1] not in kept]:
             remove(spark, path)
 
 

@@ -846,3 +846,53 @@ def test_pipeline(spark, small):
     assert {r.doc_id for r in frames["packing"][1].collect()} == kept
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, before.limit(0), small).count() == 0
+
+
+def test_pipeline_stages_with_odd_rows(spark, small):
+    """Shared and null identifiers, repeated rows, null texts and columns named like the stages' own."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()) + str(rng.randrange(40)) for _ in range(n))
+    one, two, three = say(60), say(60), say(60)
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    near = one.rsplit(" ", 1)[0] + " changed"
+    data = [(0, one), (1, one), (1, two), (1, near), (2, two), (2, two), (None, three), (None, three), (None, near), (3, None), (4, ""), (5, three + " " + item), (5, say(50)), (None, item), (6, "12 34")]
+    columns = ["rejected", "_text", "score", "lang_pred", "ident", "key", "_new", "sha", "text_key", "leads", "component_id", "_sha2"]
+    docs = documents(spark, data).selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars", *(f"'{c}' as {c}" for c in columns))
+
+    def out(stage, frame=docs):
+        got = stage(spark, frame, small)
+        assert got.columns == docs.columns
+        rows_ = got.collect()
+        assert all(r[c] == c for r in rows_ for c in columns)
+        return collections.Counter((r.doc_id, r.text) for r in rows_)
+
+    every = collections.Counter(data)
+    words_ = out(corpus_pipeline.language_id)
+    assert not {t for _, t in words_} & {None, "", "12 34"} and all(n == every[k] for k, n in words_.items())
+    first = {(0, one): 1, (1, two): 1, (None, three): 1, (5, data[12][1]): 1, (None, item): 1, (3, None): 1, (4, ""): 1, (6, "12 34"): 1}
+    linked = brute_components({n: t for n, (_, t) in enumerate(data)}, 5, 80, 100)
+    if linked[11][1] != linked[6][1]:
+        first[5, data[11][1]] = 1
+    else:
+        first.pop((None, three))
+        first[5, data[11][1]] = 1
+    if linked[13][1] == linked[11][1]:
+        first.pop((None, item))
+    assert out(corpus_pipeline.near_duplicates) == collections.Counter(first)
+    clean = out(corpus_pipeline.decontaminate)
+    assert clean == collections.Counter({k: n for k, n in every.items() if k not in {(5, data[11][1]), (None, item)}})
+    cut = out(corpus_pipeline.repeated_passages)
+    assert cut[0, one] == 1 and (1, one) not in cut and not any(t is None or not t.strip() for _, t in cut)
+    assert corpus_pipeline.packing(spark, docs, small).agg(F.countDistinct("doc_id")).first()[0] == 7
+
+
+def test_pipeline_leaves_nothing_behind(spark, small):
+    import corpus_pipeline
+    from evalloom.llm import common
+
+    before = set(common._MADE)
+    got = corpus_pipeline.run(spark, small)
+    left = set(common._MADE) - before
+    assert len(left) == 1 and got.count() > 0
