@@ -215,7 +215,7 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
 
 
 #: A chunk of a star has about this many members and shingles at most; the solver's memory is in proportion.
-MEMBERS, SHINGLES = 2000, 4_000_000
+MEMBERS, SHINGLES = 16_384, 4_000_000
 
 
 def chunked(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
