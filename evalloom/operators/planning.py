@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions.mathx import largest_remainder, share_split
+from evalloom.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -119,18 +120,17 @@ def coverage_table(config: Coverage) -> str:
     return "\n".join(lines + [f"{q.parent:44}{q.standard:>10}{q.adversarial:>13}" for q in config.quotas] + [f"{'total':44}{sum(q.standard for q in config.quotas):>10}{sum(q.adversarial for q in config.quotas):>13}"])
 
 
-def generate(spark: SparkSession, first: DataFrame, lacking, ask, rounds: int = 3) -> DataFrame:
+def generate(first: DataFrame, lacking, ask, rounds: int = 3) -> DataFrame:
     """Bounded top-up: while something is lacking, ``ask`` for it and append; each round is stored, so lineage stays short.
 
     ``lacking(df)`` is a DataFrame of requests, ``ask(requests)`` of new rows.
     """
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir("checkpoints")
     have = first
     for _ in range(rounds):
         need = lacking(have)
         if not need.limit(1).count():
             break
-        have = have.unionByName(ask(need), allowMissingColumns=True).checkpoint()
+        have = cut(have.unionByName(ask(need), allowMissingColumns=True))
     return have
 
 

@@ -87,12 +87,16 @@ def clear_flag(flags: str, flag: str, status: str) -> tuple[Column, Column]:
 
 
 def hygiene(terms: Column, text: Column, glossary: Column, most: int = 12) -> Column:
-    """Terms in order: kept if the text has them, else replaced by the first glossary entry not used yet, else dropped; capped."""
+    """Terms in order: kept if the text has them, else replaced by the first glossary entry not used yet, else dropped; capped.
+
+    Terms that differ in case alone are one; the first spelling stays.
+    """
+    used = lambda acc, x: F.exists(acc, lambda y: F.lower(y) == F.lower(x))
 
     def step(acc: Column, term: Column) -> Column:
         here = F.contains(F.lower(text), F.lower(term))
-        free = F.filter(glossary, lambda g: ~F.array_contains(acc, g) & F.contains(F.lower(text), F.lower(g)))
+        free = F.filter(glossary, lambda g: ~used(acc, g) & F.contains(F.lower(text), F.lower(g)))
         pick = F.when(here, term).otherwise(F.try_element_at(free, F.lit(1)))
-        return F.when(pick.isNull() | F.array_contains(acc, pick) | (F.size(acc) >= most), acc).otherwise(F.array_append(acc, pick))
+        return F.when(pick.isNull() | used(acc, pick) | (F.size(acc) >= most), acc).otherwise(F.array_append(acc, pick))
 
     return F.aggregate(terms, F.array().cast("array<string>"), step)

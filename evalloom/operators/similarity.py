@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from evalloom.functions.text import token_set
+from evalloom.operators.lineage import cut
 
 
 def tfidf(terms: DataFrame, doc: str = "doc_id", term: str = "term", n_docs: int | Column | None = None) -> DataFrame:
@@ -43,8 +44,9 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
     pairs = near.select("a", "b").distinct()
     ids = sets.select("id", "tokens")
     full = pairs.join(ids.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(ids.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    score = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return full.select("a", "b", F.round(score, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    both, union = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
+    sure = both.cast("long") * 1_000_000 >= union.cast("long") * round(threshold * 1_000_000)  # whole numbers: no rounding up to the threshold
+    return full.where(sure).select("a", "b", F.round(both / union, 6).alias("jaccard"))
 
 
 def token_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,12 +87,12 @@ def greedy_leaders(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> Da
     Rows without edges lead themselves without any work; the sequential pass runs over each connected
     component's edges alone, so it is as large as one group of near copies.
     """
-    sym = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u < v").distinct().localCheckpoint()  # read in every round; the plan must not grow with the rounds
+    sym = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u < v").distinct())  # read in every round; the plan must not grow with the rounds
     comp = sym.select(F.col("u").alias("n"), F.col("u").alias("c")).unionByName(sym.select(F.col("v").alias("n"), F.col("v").alias("c"))).groupBy("n").agg(F.min("c").alias("c"))
     while True:  # labels spread by minimum until nothing changes; components of near copies are shallow
         at = sym.join(comp.select(F.col("n").alias("u"), F.col("c").alias("cu")), "u").join(comp.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v")
         low = F.least("cu", "cv")
-        nxt = at.select(F.col("u").alias("n"), low.alias("c")).unionByName(at.select(F.col("v").alias("n"), low.alias("c"))).groupBy("n").agg(F.min("c").alias("c")).localCheckpoint()
+        nxt = cut(at.select(F.col("u").alias("n"), low.alias("c")).unionByName(at.select(F.col("v").alias("n"), low.alias("c"))).groupBy("n").agg(F.min("c").alias("c")))
         moved = nxt.join(comp.withColumnRenamed("c", "old"), "n").where("c <> old").limit(1).count()
         comp = nxt
         if not moved:

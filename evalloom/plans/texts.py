@@ -101,16 +101,16 @@ def deduplication_rate(spark, sf):
 
 
 PAIRS = """k as (select id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(txt, '')), '[a-z0-9]+'))) tk from src), s as (select tk, min(id) id from k where len(tk) > 0 group by 1),
- j as (select x.id a, y.id b, round(len(list_intersect(x.tk, y.tk)) / len(list_distinct(list_concat(x.tk, y.tk))), 6) jaccard from s x, s y where x.id < y.id and least(len(x.tk), len(y.tk)) >= greatest(len(x.tk), len(y.tk)) * 0.8)"""
+ j as (select x.id a, y.id b, round(len(list_intersect(x.tk, y.tk)) / len(list_distinct(list_concat(x.tk, y.tk))), 6) jaccard, len(list_intersect(x.tk, y.tk)) * 10 >= len(list_distinct(list_concat(x.tk, y.tk))) * 8 sure from s x, s y where x.id < y.id and least(len(x.tk), len(y.tk)) >= greatest(len(x.tk), len(y.tk)) * 0.8)"""
 
 
-@query("near_dup_pairs", f"with src as (select doc_id id, text txt from documents), {PAIRS} select * from j where jaccard >= 0.8")
+@query("near_dup_pairs", f"with src as (select doc_id id, text txt from documents), {PAIRS} select a, b, jaccard from j where sure")
 def near_dup_pairs(spark, sf):
     """Pairs of distinct token sets; rows with equal sets are represented by the first (see near_dup_members)."""
     return similarity.jaccard_pairs(read(spark, sf, "documents"), "doc_id", "text", 0.8)
 
 
-@query("near_dup_stems", f"with {QUESTIONS}, src as (select question_id id, stem txt from v_questions), {PAIRS} select * from j where jaccard >= 0.8")
+@query("near_dup_stems", f"with {QUESTIONS}, src as (select question_id id, stem txt from v_questions), {PAIRS} select a, b, jaccard from j where sure")
 def near_dup_stems(spark, sf):
     return similarity.jaccard_pairs(views.questions(spark, sf), "question_id", "stem", 0.8)
 
