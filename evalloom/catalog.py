@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evalloom.plans import panel, profile, texts
+from evalloom.plans import panel, profile, records, texts
 from evalloom.plans.registry import QUERIES, SQL
 
-MODULES = (profile, panel, texts)
+MODULES = (profile, panel, texts, records)
 
 
 def queries() -> dict:

@@ -55,5 +55,10 @@ def is_empty_prediction(text: Column, chosen: Column) -> Column:
     return (F.coalesce(trim_ws(text), F.lit("")) == "") & (F.coalesce(F.size(chosen), F.lit(0)) <= 0)
 
 
+def merge(*lists: Column) -> Column:
+    """All entries once, in order; a null list has none."""
+    return F.array_distinct(F.filter(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), lambda x: x.isNotNull()))
+
+
 def contains_any(c: Column, keys: list[str]) -> Column:
     return F.exists(F.array(*(F.lit(k.lower()) for k in keys)), lambda k: F.contains(F.lower(c), k))

@@ -85,6 +85,21 @@ def score_open_ended(pred: Column, gold: Column, aliases: dict[str, str] | None
     return F.when(g.rlike(NUMERIC_TEXT) & np_.isNotNull() & ng.isNotNull(), close(np_, ng)).when((p == g) | named, True).otherwise((F.size(long_words) >= 3) & (share >= 0.6))
 
 
+def legacy_score(qtype: Column, method: Column, gold: Column, pred: Column) -> Column:
+    """Correctness by the earlier rules: letters and sets as text, numbers within tolerance, free text by words; null where a judge must decide."""
+    letters_ = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit("([A-H])"))))
+    judged = method == "judge"
+    return (
+        F.when(gold.isNull() | pred.isNull(), F.when(judged, F.lit(None)).otherwise(False))
+        .when(qtype == "mcq_single", F.upper(pred) == F.upper(gold))
+        .when(qtype == "mcq_multi", letters_(pred) == letters_(gold))
+        .when(method == "numeric", F.coalesce(close(extract_numeric(pred), extract_numeric(gold)), F.lit(False)))
+        .when(judged, F.lit(None))
+        .when(qtype == "open_ended", score_open_ended(pred, gold))
+        .otherwise(normalize_text(pred) == normalize_text(gold))
+    )
+
+
 def soft_score(judge: Column, correct: Column, method: Column) -> Column:
     return F.when(method == "skip_core", F.lit(None)).otherwise(F.coalesce(judge, F.when(correct, 1.0).when(~correct, 0.0))).cast("double")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +18,9 @@ VISUAL_WORDS = ["image", "diagram", "figure", "picture", "graph", "chart", "phot
 HAN = r"[\x{4e00}-\x{9fff}]"
 
 
+_EDGES = re.compile(r"^\s+|\s+$", re.ASCII)
+
+
 def trim_ws(c: Column) -> Column:
     """Strip all white space, not spaces alone."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -184,14 +189,90 @@ def longest_first(c: Column, pairs: dict[str, str]) -> Column:
     return c
 
 
-def clean_terms_en(c: Column) -> Column:
-    """Normalised, distinct, without phrases that end in ``of``."""
-    return F.array_distinct(F.filter(F.transform(c, normalize_term), lambda t: (t != "") & ~t.rlike(r"\bof$")))
+def clean_terms_en(c: Column, forms: dict[str, str] | None = None, generic: list[str] | None = None) -> Column:
+    """Trimmed, mapped to their base form, without generic terms and repeats (case does not tell terms apart), and
+    without phrases that end in ``of`` or ``of the`` if a longer one of the list goes on where they stop.
+
+    An Arrow UDF: with lambdas every term would lower-case the whole list again.
+    """
+    forms, generic = forms or {}, frozenset(generic or ())
+
+    def one(terms: list[str] | None) -> list[str] | None:
+        if terms is None:
+            return None
+        kept: dict[str, str] = {}
+        for t in terms:
+            t = _EDGES.sub("", t or "")
+            t = forms.get(t.lower(), t)
+            if t and t.lower() not in generic:
+                kept.setdefault(t.lower(), t)
+        low = sorted(kept)
+
+        def goes_on(x: str) -> bool:
+            k = bisect_right(low, x)
+            while k < len(low) and low[k].startswith(x):
+                if low[k][len(x) :].strip(" "):
+                    return True
+                k += 1
+            return False
+
+        return [t for x, t in kept.items() if not (x.endswith((" of", " of the")) and goes_on(x))]
+
+    return F.pandas_udf(lambda s: s.map(one), "array<string>")(c)
+
+
+def clean_terms_zh(c: Column, deny: list[str] | None = None) -> Column:
+    """Distinct, without denied terms, short ones that end in a possessive particle, and terms that a longer one contains."""
+    deny = frozenset(deny or ())
+
+    def one(terms: list[str] | None) -> list[str] | None:
+        if terms is None:
+            return None
+        stripped = (_EDGES.sub("", t or "") for t in terms)
+        kept = dict.fromkeys(t for t in stripped if t and t not in deny and not (len(t) <= 3 and t.endswith("的")))
+        return [t for t in kept if not any(len(u) > len(t) and t in u for u in kept)]
+
+    return F.pandas_udf(lambda s: s.map(one), "array<string>")(c)
+
+
+def clean_terms(dataset: Column, c: Column, zh: str = "_zh", **options) -> Column:
+    """The cleaning of the dataset's language."""
+    return F.when(dataset.endswith(zh), clean_terms_zh(c)).otherwise(clean_terms_en(c, **options))
+
+
+# Prefixes of dataset keys and the dataset they belong to; prefixes of language names; frequent words of each language.
+DATASETS = {"csbench": "csbench", "wemath": "wemath", "medxpertqa": "medxpertqa", "tomb": "tombench"}
+LANGUAGE_PREFIXES = {"zh": "Chinese", "ch": "Chinese", "en": "English", "fr": "French", "de": "German", "ge": "German"}
+FUNCTION_WORDS = {"English": ["the", "of", "and", "to", "is", "in"], "French": ["le", "la", "les", "des", "et", "est"], "German": ["der", "die", "das", "und", "ist", "nicht"], "Spanish": ["el", "los", "las", "que", "y", "por"]}
+
+
+def canonical_dataset(c: Column) -> Column:
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.coalesce(*(F.when(low.startswith(k), v) for k, v in DATASETS.items()), low)
+
+
+def detect_language(explicit: Column, text: Column, fallback: str = "English") -> Column:
+    """The stated language under its usual name; else Chinese where Han characters stand; else the language
+    whose frequent words occur most, earlier names first; else the fallback."""
+    said = nz(trim_ws(explicit))
+    named = F.coalesce(*(F.when(F.lower(said).startswith(k), v) for k, v in LANGUAGE_PREFIXES.items()), said)
+    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"))
+    among = lambda keys: F.size(F.filter(w, lambda x: x.isin(keys)))
+    counts = [among(keys) for keys in FUNCTION_WORDS.values()]
+    top = F.greatest(*counts)
+    guess = F.coalesce(*(F.when((n == top) & (n > 0), name) for name, n in zip(FUNCTION_WORDS, counts, strict=True)), F.lit(fallback))
+    return F.coalesce(named, F.when(is_chinese(text), "Chinese"), guess)
+
+
+def flatten_options(options: Column) -> Column:
+    """``A) x | B) y`` of structs of letter and content."""
+    return F.coalesce(F.array_join(F.transform(options, lambda o: F.concat(o["letter"], F.lit(") "), o["content"])), " | "), F.lit(""))
 
 
-def clean_terms_zh(c: Column) -> Column:
-    """Without terms that a longer term of the list contains."""
-    return F.filter(c, lambda t: ~F.exists(c, lambda u: (F.length(u) > F.length(t)) & F.contains(u, t)))
+def first_lines(c: Column, lines: int = 6, most: int = 800) -> Column:
+    """The first lines, with an ellipsis where they are still too long."""
+    head = F.array_join(F.slice(F.split(F.coalesce(c, F.lit("")), "\r\n|\r|\n"), 1, lines), "\n")
+    return F.when(F.length(head) > most, F.concat(F.left(head, F.lit(most - 3)), F.lit("..."))).otherwise(head)
 
 
 def ability_parts(c: Column, dimensions: list[str]) -> Column:

@@ -80,6 +80,16 @@ def backfill(answers: DataFrame, verdicts: DataFrame, keys: list[str], threshold
     return rows.withColumn("soft_score", soft_score(F.col("judge_score"), F.col("is_correct"), F.col("scoring_method"))).drop("_score")
 
 
+def is_core() -> Column:
+    """Records that count: clean or only statically suspect, and scored."""
+    return F.col("item_status").isin("clean", "suspect_static") & (F.coalesce(F.col("scoring_method"), F.lit("")) != "skip_core")
+
+
+def core_vs_skip(df: DataFrame, key: Column) -> DataFrame:
+    skip = F.coalesce(F.col("scoring_method") == "skip_core", F.lit(False))
+    return df.groupBy(key.alias("key")).agg(F.count_if(~skip).alias("core"), F.count_if(skip).alias("skip"))
+
+
 def clear_flag(flags: str, flag: str, status: str) -> tuple[Column, Column]:
     """Flags without one, and the status that follows."""
     left = F.array_remove(flags, flag)

@@ -113,6 +113,35 @@ def term_reason(term: Column, df: Column, total: Column, stopwords: list[str], l
     )
 
 
+# Endings of placeholder terms.
+PLACEHOLDERS = ["subdomain", "topic", "category", "concept", "domain", "area"]
+
+
+def form_reason(term: Column, df: Column, total: Column, stopwords: list[str], share: float = 0.40) -> Column:
+    """Why a term's form bars it from the vocabulary; null if it does not.  Han terms have bounds of their own."""
+    t = trim_ws(term)
+    low = F.lower(t)
+    tokens = F.split(low, r"\s+")
+    common = df > total * share
+    han = (
+        F.when(F.length(t) < 2, "too_short")
+        .when(F.length(t) > 12, "too_long")
+        .when(~t.rlike(rf"^({HAN}|[\p{{Nd}}()\-（）/、·])+$"), "invalid_charset")
+        .when(t.isin(stopwords), "stopword")
+        .when(df < 2, "too_rare")
+        .when(common, "too_common")
+    )
+    other = (
+        F.when(F.length(low) < 3, "too_short")
+        .when(F.forall(tokens, lambda x: x.isin(stopwords)), "all_stopwords")
+        .when(df < 3, "too_rare")
+        .when(common, "too_common")
+        .when(~term.rlike(r"^[a-zA-Z0-9\s/()+*\-.]+$"), "invalid_charset")
+        .when(F.element_at(tokens, -1).isin(PLACEHOLDERS), "placeholder_suffix")
+    )
+    return F.when(t == "", "empty").when(is_chinese(t), han).otherwise(other)
+
+
 def denied(term: Column, deny: list[str], exceptions: list[str]) -> Column:
     return ~term.isin(exceptions) & term.isin(deny)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +54,8 @@ TASK_AXES = {
 
 def parents(labels: Column, table: dict[str, list[str]]) -> Column:
     """Sorted parents one of whose keywords a label contains."""
-    has = lambda keys: F.exists(labels, lambda x: contains_any(x, keys))
+    low = F.transform(labels, F.lower)  # once for each parent, not once for each keyword
+    has = lambda keys: F.exists(low, lambda x: reduce(Column.__or__, (F.contains(x, F.lit(k.lower())) for k in keys)))
     hits = [F.when(has(keys), F.lit(parent)) for parent, keys in table.items()]
     return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
@@ -66,7 +69,7 @@ def first_category(label: Column, table: dict[str, list[str]], whole_words: bool
 
 def tiered(values: Column, aliases: dict[str, list[str]], keywords: dict[str, list[str]], default: str) -> Column:
     """Tags by alias within a value; else by keyword anywhere in all values; else the default."""
-    one = parents(values, aliases)
+    one = parents(values, aliases) if aliases else F.array().cast("array<string>")
     joined = F.array_join(values, " ")
     two = parents(F.array(joined), keywords)
     return F.when(F.size(one) > 0, one).when(F.size(two) > 0, two).otherwise(F.array(F.lit(default)))

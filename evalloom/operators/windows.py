@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.operators.lineage import cut
+
 
 def first_by(df: DataFrame, keys: list[str | Column], *order: str | Column) -> DataFrame:
     """The first row of each group."""
@@ -75,6 +77,21 @@ def sample_by(df: DataFrame, keys: list[str], n: int, seed: int, id_col: str) ->
     return top_k(df, keys, n, F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).drop("rank")
 
 
+def running_id(df: DataFrame, key: str, order: str, alias: str = "running_id") -> DataFrame:
+    """1-based numbers of the rows of each key in order, without a window over a whole key.
+
+    Rows are dealt by ranges of key and order and stored; a range's rows are numbered on their own and the
+    counts of the ranges before are added.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(n, key, order).withColumn("_p", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).withColumnRenamed(key, "_key").withColumnRenamed("_p", "_range")
+    local = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p", key).orderBy(order)))
+    got = local.join(counts, (F.col("_p") == F.col("_range")) & F.col(key).eqNullSafe(F.col("_key")))
+    return got.withColumn(alias, F.col("_before") + F.col("_i")).select(*df.columns, alias)
+
+
 def gini(df: DataFrame, count: str, group: list[str] | None = None) -> DataFrame:
     """Gini of counts, over sorted values."""
     keys = group or []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import arrays as A
@@ -149,7 +150,13 @@ def contamination_overlap(spark, sf):
     toks = lambda df, i: df.select(i, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))).alias("w"))
     x = toks(read(spark, sf, "documents"), "doc_id").select("doc_id", F.explode("w").alias("t"))
     y = toks(read(spark, sf, "benchmark"), "item_id").select("item_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    got = x.join(y, "t").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    # A document with nine tenths of an item's tokens has one of its rarest: only these make candidates.
+    x = x.join(y.select("t").distinct(), "t", "left_semi")
+    frequency = x.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "t"))
+    rare = y.join(frequency, "t", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(0.9) - 1e-9) + 1)
+    near = x.join(rare.select("t", "item_id", "n"), "t").select("doc_id", "item_id", "n").distinct()
+    got = near.join(x, "doc_id").join(y.select("item_id", "t"), ["item_id", "t"]).groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
     return got.where(F.col("shared") >= F.col("n") * F.lit(0.9)).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("contained"))
 
 
@@ -230,8 +237,8 @@ def first_match_category(spark, sf):
 def tiered_tags(spark, sf):
     d = read(spark, sf, "documents")
     first, whole = F.split("text", "\n")[0], F.col("text")
-    one, two = taxonomy.parents(F.array(first), ENDINGS), taxonomy.parents(F.array(whole), taxonomy.MATH_PARENTS)
-    return d.select("doc_id", F.array_join(F.when(F.size(one) > 0, one).when(F.size(two) > 0, two).otherwise(F.array(F.lit("general"))), ",").alias("tags"))
+    tags = F.when(F.size(taxonomy.parents(F.array(first), ENDINGS)) > 0, taxonomy.tiered(F.array(first), ENDINGS, taxonomy.MATH_PARENTS, "general")).otherwise(taxonomy.tiered(F.array(whole), {}, taxonomy.MATH_PARENTS, "general"))
+    return d.select("doc_id", F.array_join(tags, ",").alias("tags"))
 
 
 @query("extract_numeric", r"select conv_id, turn, try_cast(nullif(regexp_extract(text, '[-+]?(?:\d*\.\d+|\d+)(?:[eE][-+]?\d+)?'), '') as double) number from conversations")

@@ -130,6 +130,36 @@ def question_record(df: DataFrame, position: str) -> DataFrame:
     })
 
 
+def question_defaults(df: DataFrame, designer: str, dataset: str) -> DataFrame:
+    """Generated questions with their defaults; free-form ones have no options."""
+    none = F.array().cast("array<string>")
+    design = F.lower(F.trim(F.coalesce(nz(F.col("design_type")), F.lit("standard"))))
+    kind = F.coalesce("question_type", F.when(F.coalesce(F.size("options"), F.lit(0)) > 0, "mcq_single").otherwise("open_ended"))
+    rows = df.withColumns({
+        "designer_model": F.coalesce("designer_model", F.lit(designer)),
+        "source_dataset": F.lit(dataset),
+        "design_type": F.when(design.isin("standard", "adversarial"), design).otherwise("standard"),
+        "question_type": kind,
+        "uses_visual": F.coalesce("uses_visual", F.lit(False)),
+    })
+    return rows.withColumn("options", F.when(F.col("question_type").isin("open_ended", "structured"), none).otherwise(F.coalesce("options", none)))
+
+
+def quality_fields(df: DataFrame) -> DataFrame:
+    """Status, flags and sources of a record; the static rules are always a source."""
+    none = F.array().cast("array<string>")
+    return df.withColumns({
+        "item_status": F.coalesce("item_status", F.lit("candidate")),
+        "item_quality_flags": F.coalesce("item_quality_flags", none),
+        "item_quality_source": F.array_union(F.coalesce("item_quality_source", none), F.array(F.lit("static_rules"))),
+    })
+
+
+def style(language: Column, kind: Column, modality: Column) -> Column:
+    """struct(language, format, modality) with defaults."""
+    return F.struct(language_name(F.coalesce(language, F.lit("en"))).alias("language"), F.coalesce(kind, F.lit("Multiple-choice")).alias("format"), F.coalesce(modality, F.lit("Text")).alias("modality"))
+
+
 def prompt(stem: Column, options: Column, qtype: Column) -> Column:
     """Prompt text of a question, options by letter of their place."""
     letters_ = F.array(*(F.lit(c) for c in "ABCDEFGH"))

@@ -14,7 +14,7 @@ from evalloom.functions import arrays as A
 from evalloom.functions import jsonx as J
 from evalloom.functions import mathx as M
 from evalloom.functions import text as T
-from evalloom.operators import card, planning, rules, similarity, windows
+from evalloom.operators import card, planning, responses, rules, similarity, windows
 
 
 def one(spark, value, f, kind="string"):
@@ -284,3 +284,43 @@ def test_card_and_report():
     assert "super_parent" in text and "count: 2" in text
     assert "FAIL" in card.report("r", {"coverage": 0.5}, {"coverage": 0.95}) and "PASS" in card.report("r", {"coverage": 0.96}, {"coverage": 0.95})
     assert [card.quality_label(*x) for x in ((0, 0), (1, 1), (2, 3), (9, 9))] == ["excellent", "good", "fair", "poor"]
+
+
+def test_clean_terms(spark):
+    df = spark.createDataFrame([("a_en", [" Law of", "law of motion", "Law of", "state of the", "state of the art", "end of", "Motions", "misc", ""]), ("b_zh", ["内存", "内存管理", "我的", "内存管理", " 栈 ", "禁"]), ("c_en", None)], "d string, t array<string>")
+    got = {r.d: (r.en, r.zh, r.any) for r in df.select("d", T.clean_terms_en(F.col("t"), {"motions": "motion"}, ["misc"]).alias("en"), T.clean_terms_zh(F.col("t"), ["禁"]).alias("zh"), T.clean_terms(F.col("d"), F.col("t")).alias("any")).collect()}
+    assert got["a_en"][0] == ["law of motion", "state of the art", "end of", "motion"]
+    assert got["b_zh"][1] == ["内存管理", "栈"] and got["b_zh"][2] == ["内存管理", "栈", "禁"] and got["c_en"] == (None, None, None)
+
+
+def test_form_reason(spark):
+    df = spark.createDataFrame([("", 5), ("ab", 5), ("the of", 5), ("cache", 2), ("cache", 60), ("cache!", 5), ("the topic", 5), ("cache (l1)", 5), ("栈", 5), ("内存管理", 1), ("内存管理", 2), ("内存x", 3), ("栈" * 13, 5)], "t string, df long")
+    got = [r[0] for r in df.select(rules.form_reason(F.col("t"), F.col("df"), F.lit(100), ["the", "of"])).collect()]
+    assert got == ["empty", "too_short", "all_stopwords", "too_rare", "too_common", "invalid_charset", "placeholder_suffix", None, "too_short", "too_rare", None, "invalid_charset", "too_long"]
+
+
+def test_sample_by_and_running_id(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 10 else None) for i in range(100)], "id long, g string").repartition(7)
+    got = windows.sample_by(df, ["g"], 4, 1, "id").groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in got} == {"a": 4, "b": 4, "c": 4, None: 4}
+    numbered = windows.running_id(df, "g", "id").collect()
+    for g in ("a", "b", "c", None):
+        mine = sorted((r.id, r.running_id) for r in numbered if r.g == g)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_hygiene_ignores_case(spark):
+    df = spark.createDataFrame([(["Cache", "cache", "gone", "Stack"], "a cache and a stack, a queue", ["CACHE", "Queue"])], "t array<string>, s string, g array<string>")
+    assert df.select(responses.hygiene(F.col("t"), F.col("s"), F.col("g"))).first()[0] == ["Cache", "Queue", "Stack"]
+
+
+def test_topups(spark):
+    difficulty, formats = {"L1": 5, "L2": 40}, {"mcq": 45}
+    made = planning.topup_plan([("a", "adversarial", 25), ("b", "standard", 10)], difficulty, formats)
+    assert [(b.parent, b.index, b.standard, b.adversarial) for b in made] == [("a", 1, 0, 20), ("a", 2, 0, 5), ("b", 1, 10, 0)]
+    assert made[0].difficulty == {"L1": 5, "L2": 15} and sum(b.formats["mcq"] for b in made) == 35 and difficulty == {"L1": 0, "L2": 10}
+    assert planning.avoid([]) == "" and planning.avoid(["x" * 200]).count("x") == 120
+    assert planning.coverage_table(planning.CS_COVERAGE).splitlines()[-1].split() == ["total", "225", "75"]
+    first = spark.createDataFrame([(1,)], "n int")
+    got = planning.generate(first, lambda d: d.groupBy().agg(F.max("n").alias("n")).where("n < 3"), lambda need: need.select((F.col("n") + 1).cast("int").alias("n")), rounds=5)
+    assert sorted(r.n for r in got.collect()) == [1, 2, 3]
