@@ -22,8 +22,8 @@ def tfidf(terms: DataFrame, doc: str = "doc_id", term: str = "term", n_docs: int
     n = terms.select(doc).distinct().count() if n_docs is None else n_docs
     n = F.lit(n) if isinstance(n, int) else n
     raw = tf.join(df, term).withColumn("_w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    return raw.join(norm, doc).select(doc, term, "tf", "df", (F.col("_w") / F.col("_n")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))  # one shuffle by document; its rows are its distinct terms
+    return raw.withColumn("_n", norm).select(doc, term, "tf", "df", (F.col("_w") / F.col("_n")).alias("weight"))
 
 
 def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, group: str | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import arrays as A
@@ -56,7 +55,9 @@ def canonicalize_fuzzy(spark, sf):
 @query("tfidf_weights", f"""with {TERMS}, c as (select count(distinct doc_id) n from t), w as (select doc_id, p.term, p.n tf, df, p.n * (ln((1.0::double + c.n) / (1.0::double + df)) + 1.0::double) w from p join f on f.term = p.term, c),
  m as (select doc_id, sqrt(sum(w * w)) norm from w group by 1) select w.doc_id, term, tf, df, round(w / norm, 6) weight from w join m on m.doc_id = w.doc_id""")
 def tfidf_weights(spark, sf):
-    rows = similarity.tfidf(vocab.terms(read(spark, sf, "documents"), "doc_id", "text"))
+    docs = read(spark, sf, "documents")
+    with_terms = docs.where(F.lower("text").rlike("[a-z0-9]")).count()
+    rows = similarity.tfidf(vocab.terms(docs, "doc_id", "text"), n_docs=with_terms)
     return rows.select("doc_id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
 
@@ -150,13 +151,7 @@ def contamination_overlap(spark, sf):
     toks = lambda df, i: df.select(i, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))).alias("w"))
     x = toks(read(spark, sf, "documents"), "doc_id").select("doc_id", F.explode("w").alias("t"))
     y = toks(read(spark, sf, "benchmark"), "item_id").select("item_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    # A document with nine tenths of an item's tokens has one of its rarest: only these make candidates.
-    x = x.join(y.select("t").distinct(), "t", "left_semi")
-    frequency = x.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "t"))
-    rare = y.join(frequency, "t", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(0.9) - 1e-9) + 1)
-    near = x.join(rare.select("t", "item_id", "n"), "t").select("doc_id", "item_id", "n").distinct()
-    got = near.join(x, "doc_id").join(y.select("item_id", "t"), ["item_id", "t"]).groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    got = x.join(y, "t").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
     return got.where(F.col("shared") >= F.col("n") * F.lit(0.9)).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("contained"))
 
 
