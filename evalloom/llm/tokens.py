@@ -16,6 +16,7 @@ from array import array
 import numpy as np
 
 _CHUNKS = re.compile(r"\s*\S+|\s+").findall
+_ODD = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@[-`{-~]*)").fullmatch
 # How byte-level vocabularies write the bytes 128 to 255; printable Latin-1 stays itself.
 _HIDDEN = [*range(0x7F, 0xA1), 0xAD]
@@ -35,8 +36,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, added)]), re.IGNORECASE).search
+        added = list(self.tok.get_added_tokens_decoder().values())
+        self.marks_whole = [*_ODD, *(t.content for t in added)]
+        # An added token may be looked for in the normalised text, that is, without case.
+        folded = [re.escape(t.content) for t in added if t.normalized]
+        self.folded = re.compile("|".join(folded), re.IGNORECASE).search if folded else None
         self.lead = bool(self.tok.encode(" ", add_special_tokens=False).ids)
         self.fold = self.tok.encode("A", add_special_tokens=False).ids == self.tok.encode("a", add_special_tokens=False).ids
         self.model = self.tok.model
@@ -82,6 +86,10 @@ class ChunkEncoder:
         if hard:
             memo.update(zip(hard, self._raw(hard), strict=True))
 
+    def whole(self, text: str) -> bool:
+        """Whether a text must not be cut."""
+        return any(m in text for m in self.marks_whole) or bool(self.folded and self.folded(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
