@@ -96,12 +96,13 @@ def clear_flag(flags: str, flag: str, status: str) -> tuple[Column, Column]:
     return left, F.when(F.size(left) == 0, "candidate").otherwise(F.col(status))
 
 
-def hygiene(terms: Column, text: Column, glossary: Column, most: int = 12) -> Column:
+def hygiene(terms: Column, text: Column, glossary: Column, most: int = 12, fold_case: bool = False) -> Column:
     """Terms in order: kept if the text has them, else replaced by the first glossary entry not used yet, else dropped; capped.
 
-    Terms that differ in case alone are one; the first spelling stays.
+    With ``fold_case`` terms that differ in case alone are one; the first spelling stays.
     """
-    used = lambda acc, x: F.exists(acc, lambda y: F.lower(y) == F.lower(x))
+    form = F.lower if fold_case else lambda c: c
+    used = lambda acc, x: F.exists(acc, lambda y: form(y) == form(x))
 
     def step(acc: Column, term: Column) -> Column:
         here = F.contains(F.lower(text), F.lower(term))

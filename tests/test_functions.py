@@ -311,7 +311,7 @@ def test_sample_by_and_running_id(spark):
 
 def test_hygiene_ignores_case(spark):
     df = spark.createDataFrame([(["Cache", "cache", "gone", "Stack"], "a cache and a stack, a queue", ["CACHE", "Queue"])], "t array<string>, s string, g array<string>")
-    assert df.select(responses.hygiene(F.col("t"), F.col("s"), F.col("g"))).first()[0] == ["Cache", "Queue", "Stack"]
+    assert df.select(responses.hygiene(F.col("t"), F.col("s"), F.col("g"), fold_case=True)).first()[0] == ["Cache", "Queue", "Stack"]
 
 
 def test_topups(spark):
