@@ -117,8 +117,8 @@ def term_reason(term: Column, df: Column, total: Column, stopwords: list[str], l
 PLACEHOLDERS = ["subdomain", "topic", "category", "concept", "domain", "area"]
 
 
-def form_reason(term: Column, df: Column, total: Column, stopwords: list[str], share: float = 0.40) -> Column:
-    """Why a term's form bars it from the vocabulary; null if it does not.  Han terms have bounds of their own."""
+def form_reason(term: Column, df: Column, total: Column, stopwords: list[str], share: float = 0.40, language: str = "en") -> Column:
+    """Why a term's form bars it from the vocabulary; null if it does not.  Chinese, or any Han character, has bounds of its own."""
     t = trim_ws(term)
     low = F.lower(t)
     tokens = F.split(low, r"\s+")
@@ -139,7 +139,7 @@ def form_reason(term: Column, df: Column, total: Column, stopwords: list[str], s
         .when(~term.rlike(r"^[a-zA-Z0-9\s/()+*\-.]+$"), "invalid_charset")
         .when(F.element_at(tokens, -1).isin(PLACEHOLDERS), "placeholder_suffix")
     )
-    return F.when(t == "", "empty").when(is_chinese(t), han).otherwise(other)
+    return F.when(t == "", "empty").when(is_chinese(t) | F.lit(language == "zh"), han).otherwise(other)
 
 
 def denied(term: Column, deny: list[str], exceptions: list[str]) -> Column:
