@@ -4,8 +4,8 @@ A (byte-level BPE) encodes a space and the text, B (sentencepiece, which puts th
 Where a token of A and one of B end at the same byte, the text is cut into groups, and the two tokens are linked.
 
 1. ``aligned`` (no shuffle): per document its counts, the digest of its groups, and its links as distinct keys
-   ``B id << 32 | A id`` with their numbers.  Texts are cut before spaces that follow something else, where neither
-   vocabulary has a token that crosses, and each distinct chunk is aligned once and kept in a bounded memo.
+   ``B id << 32 | A id`` with their numbers.  Texts are cut before white space that begins with a space or line feed, where
+   neither vocabulary has a token that crosses, and each distinct chunk is aligned once and kept in a bounded memo.
 2. ``count_shards``: ``np.unique`` sums the keys of a partition, a range partition by key sorts them globally, equal
    neighbours are summed, and every task writes its range as one file: sorted keys, then their counts.  Ranges never
    part a key; what a frequent key sends is one row a map task.
@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from evalloom.llm.common import fresh, id_text, materialise, parts, slices, store, table
 
 SPACE = "▁"
-_CUT = re.compile(r"(?<=\S)(?= )").split
+_CUT = re.compile(r"(?<=\S)(?=[ \n])").split
 _ONE = (1 << 32) - 1
+LONG = 256  # longer chunks are not kept
 _PAIRS: dict[tuple, Pair] = {}
 
 
@@ -50,9 +51,9 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Pair:
-    """Both vocabularies of a worker process, and the memo of aligned chunks in two generations of ``most``."""
+    """Both vocabularies of a worker process, and the memo of aligned chunks in two generations of about ``most``."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 100_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -63,69 +64,88 @@ class Pair:
         self.a_bytes = self._byte_level()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(1 + max(self.a_bytes))])
+        self.b_sizes = np.array(list(map(len, self.b_bytes)))
+        self.a_text, self.b_text = list(map(str, range(len(self.a_sizes)))), list(map(str, range(len(pieces))))
         self.lone = pieces.index(SPACE)
-        #: A chunk may end before a space only if no piece has something else before one.
-        self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        #: Chunks may be cut only if no piece has a space after something else, or a line feed.
+        self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in pieces)
         self.most, self.memo, self.old = most, {}, {}
 
     def _byte_level(self) -> dict[int, bytes]:
         symbols = byte_symbols()
         return {i: bytes(map(symbols.__getitem__, t)) if set(t) <= symbols.keys() else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
 
-    def _align(self, chunk: str, a_ids: list[int], b_ids: list[int]) -> tuple[int, str, bytes] | None:
-        """A's number of tokens with B's in the upper half, the groups as text, the keys of the links; None if bytes are lost."""
-        a_raw, b_raw = list(map(self.a_bytes.__getitem__, a_ids)), list(map(self.b_bytes.__getitem__, b_ids))
-        raw = chunk.encode()
-        if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-            return None
-        groups, keys = [], []
-        i = j = first_a = first_b = end_a = end_b = 0
-        while i < len(a_ids):
-            end_a += len(a_raw[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(b_raw[j])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a_ids[first_a:i]))}|{','.join(map(str, b_ids[first_b:j]))}")
-                keys.append(b_ids[j - 1] << 32 | a_ids[i - 1])
-                first_a, first_b = i, j
-        return len(a_ids) | len(b_ids) << 32, ";".join(groups), np.array(keys, "<i8").tobytes()
+    def _a_ids(self, chunks: list[str]) -> list[int]:
+        """Ids of all chunks in a row.  Chunks that do not end with white space are encoded many at a time, as they were cut."""
+        texts, row = [], []
+        for c in chunks:
+            row.append(c)
+            if c[-1].isspace() or len(row) == 256:
+                texts.append("".join(row[:-1]) if c[-1].isspace() else "".join(row))
+                texts += [c] if c[-1].isspace() else []
+                row = []
+        texts.append("".join(row))
+        return [i for e in self.a.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids]
+
+    def _b_ids(self, chunks: list[str]) -> list[int]:
+        """B puts a space before what it gets; before a line feed that is a piece of its own."""
+        found = self.b.encode([c[c[0] == " " :] for c in chunks], num_threads=1)
+        return [i for c, y in zip(chunks, found, strict=True) for i in ([self.lone] if c == " " else y[1:] if c[0] == "\n" else y)]
 
     def _fresh(self, chunks: list[str]) -> list[tuple[int, str, bytes] | None]:
-        """Each chunk begins with a space, which A gets and B adds."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        return [self._align(c, x, y if len(c) > 1 else [self.lone]) for c, x, y in zip(chunks, a, b, strict=True)]
-
-    def _miss(self, chunks: set[str]) -> None:
+        """Of each chunk A's number of tokens with B's in the upper half, the groups as text, the keys of the links;
+        None if bytes are lost.  A chunk begins with a space or a line feed."""
+        stops = np.cumsum([len(c.encode()) for c in chunks])
+        a, b = self._a_ids(chunks), self._b_ids(chunks)
+        raw = "".join(chunks).encode()
+        lost = b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw
+        a_id, b_id = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_id]), np.cumsum(self.b_sizes[b_id])
+        ends, last_a, last_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        # Every chunk ends where tokens of both end, so the groups of the batch are those of its chunks in a row.
+        if lost or not np.isin(stops, ends).all():
+            return [None] if len(chunks) == 1 else [self._fresh([c])[0] for c in chunks]
+        keys = (b_id[last_b] << 32 | a_id[last_a]).astype("<i8").tobytes()
+        a_text, b_text, groups = list(map(self.a_text.__getitem__, a)), list(map(self.b_text.__getitem__, b)), []
+        i = j = 0
+        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
+            groups.append(f"{a_text[i] if x == i + 1 else ','.join(a_text[i:x])}|{b_text[j] if y == j + 1 else ','.join(b_text[j:y])}")
+            i, j = x, y
+        tokens = [np.diff(np.searchsorted(e, stops, "right"), prepend=0) for e in (a_ends, b_ends)]
+        cuts = (np.searchsorted(ends, stops) + 1).tolist()
+        sizes = (tokens[0] | tokens[1] << 32).tolist()
+        return [(n, ";".join(groups[p:q]), keys[8 * p : 8 * q]) for n, p, q in zip(sizes, [0, *cuts], cuts, strict=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        memo, old, new = self.memo, self.old, []
+        for c in chunks:
+            if c in old:
+                memo[c] = old[c]
+            else:
+                new.append(c)
+        if new:
+            memo.update(zip(new, self._fresh(new), strict=True))
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, str, np.ndarray]]:
+        """n_a, n_b, digest of the groups, keys of all links of each text."""
+        cut = [[] if not t else _CUT(" " + t) if self.cuts and SPACE not in t else [" " + t] for t in texts]
         if len(self.memo) > self.most:
             self.old, self.memo = self.memo, {}
-        new = []
-        for c in chunks:
-            if c not in self.memo:
-                if c in self.old:
-                    self.memo[c] = self.old[c]
-                else:
-                    new.append(c)
-        self.memo.update(zip(new, self._fresh(new), strict=True))
-
-    def align(self, text: str | None) -> tuple[int, int, str, np.ndarray]:
-        """n_a, n_b, digest of the groups, keys of all links."""
-        nothing = (0, 0, "", np.zeros(0, "<i8"))
-        if not text:
-            return nothing
-        text = " " + text
-        chunks = _CUT(text) if self.cuts and SPACE not in text else [text]
-        try:
-            got = [self.memo[c] for c in chunks]
-        except KeyError:
-            self._miss(set(chunks))
-            got = [self.memo[c] for c in chunks]
+        if new := {c for chunks in cut for c in chunks if c not in self.memo}:
+            self._learn(new)
+        out = [self._joined(chunks) for chunks in cut]
+        for c in new:
+            if len(c) > LONG:
+                del self.memo[c]
+        return out
+
+    def _joined(self, chunks: list[str]) -> tuple[int, int, str, np.ndarray]:
+        got = list(map(self.memo.__getitem__, chunks))
         if None in got:
-            got = self._fresh([text])
-            if got[0] is None:
-                return nothing
+            got = self._fresh(["".join(chunks)])
+        if not got or got[0] is None:
+            return 0, 0, "", np.zeros(0, "<i8")
         sizes, groups, keys = zip(*got, strict=True)
         n = sum(sizes)
         return n & _ONE, n >> 32, hashlib.sha256(";".join(groups).encode()).hexdigest(), np.frombuffer(b"".join(keys), "<i8")
@@ -148,8 +168,7 @@ def aligned(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         both = pair(a_path, b_path)
         for b in slices(batches, 512, most=2 << 20):
             out: list[tuple] = []
-            for ident, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                n_a, n_b, digest, keys = both.align(text)
+            for ident, (n_a, n_b, digest, keys) in zip(b.column("doc_id").to_pylist(), both.align(b.column("text").to_pylist()), strict=True):
                 distinct, numbers = np.unique(keys, return_counts=True)
                 out.append((ident, n_a, n_b, len(keys), len(keys), digest, distinct.tobytes(), numbers.astype("<i4").tobytes()))
             yield _batch(out, ALIGNED)
