@@ -17,6 +17,7 @@ from evalloom.llm import (
     op9_urls,
     op10_html,
     op11_alignment,
+    op12_spelling,
 )
 
 OPS = {
@@ -31,6 +32,7 @@ OPS = {
     "op9_url_vocabulary": op9_urls,
     "op10_tag_path_ratios": op10_html,
     "op11_tokenizer_alignment": op11_alignment,
+    "op12_spelling_variants": op12_spelling,
 }
 
 
