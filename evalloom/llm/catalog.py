@@ -18,6 +18,7 @@ from evalloom.llm import (
     op10_html,
     op11_alignment,
     op12_spelling,
+    op13_neighbours,
 )
 
 OPS = {
@@ -33,6 +34,7 @@ OPS = {
     "op10_tag_path_ratios": op10_html,
     "op11_tokenizer_alignment": op11_alignment,
     "op12_spelling_variants": op12_spelling,
+    "op13_dimension_scan": op13_neighbours,
 }
 
 
