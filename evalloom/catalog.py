@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evalloom.plans import corpus, panel, profile, records, texts
+from evalloom.plans import corpus, neighbours, panel, profile, records, texts
 from evalloom.plans.registry import QUERIES, SQL
 
-MODULES = (profile, panel, texts, records, corpus)
+MODULES = (profile, panel, texts, records, corpus, neighbours)
 
 
 def queries() -> dict:

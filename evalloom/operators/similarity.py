@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from evalloom.functions.text import token_set
+from evalloom.operators import ivf
 from evalloom.operators.lineage import cut
 
 
@@ -121,42 +119,14 @@ def greedy_drop(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(leaders.withColumnRenamed("id", "representative"), "representative").select("id", "leader")
 
 
-def top_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most: int = 100_000) -> DataFrame:
+def top_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most: int = ivf.CELL, share: float | None = None) -> DataFrame:
     """query, neighbour, similarity of the k nearest by cosine, for a stated set of queries against all rows.
 
-    The queries go in blocks by hash of about ``most`` rows, each sent to all tasks; a task keeps a query's k
-    best, so only k rows a query and task are shuffled.
+    Exact unless ``share`` names the part of the lists that a query probes; cells hold about ``most`` rows.
     """
-    blocks = max(1, -(-queries.count() // most))
-    found = [_block_neighbours(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), base, k, id_col, vector) for b in range(blocks)]
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 6)), "neighbour")
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
-
-
-def _block_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
-    got = queries.select(id_col, vector).collect()
-    ids = np.array([r[0] for r in got], np.int64)
-    mat = np.array([r[1] for r in got], np.float64)
-    mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300) if len(got) else mat
-    shared = base.sparkSession.sparkContext.broadcast((ids, mat))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q = shared.value
-        for pdf in frames:
-            if pdf.empty or not len(q_ids):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            n = pdf["id"].to_numpy()
-            sims = q @ x.T
-            sims[q_ids[:, None] == n[None, :]] = -2
-            m = min(k, sims.shape[1])
-            top = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < sims.shape[1] else np.tile(np.arange(m), (len(q_ids), 1))
-            value = np.take_along_axis(sims, top, 1).ravel()
-            out = pd.DataFrame({"query": np.repeat(q_ids, m), "neighbour": n[top].ravel(), "similarity": value})
-            yield out[out.similarity > -2]
-
-    return base.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(run, "query long, neighbour long, similarity double")
+    index = ivf.build(base, id_col, vector)
+    found = ivf.search(index, queries, k, id_col, vector, share=share or 1.0, exact=share is None, cell=most)
+    return found.select("query", "neighbour", "similarity", "rank")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
