@@ -175,7 +175,16 @@ def consensus_k2(spark, sf):
     return stability.consensus_terms(_runs(spark, sf)).select("id", F.array_join("terms", ",").alias("terms"))
 
 
-@query("nsi_closed_form")
+def nsi_sql(source: str, shifts: int = 100) -> str:
+    """Observed and shifted Jaccard over ``source`` (id, a, b), in the circle of the seeded digests."""
+    both = "len(list_intersect(x.a, {y}.b))"
+    jac = lambda y: f"case when len(list_distinct(list_concat(x.a, {y}.b))) = 0 then 1 else {both.format(y=y)}::double / len(list_distinct(list_concat(x.a, {y}.b))) end"
+    return f"""{source}, g as (select *, row_number() over (order by md5('42:' || id::varchar), lpad(id::varchar, 24, '0')) - 1 i, count(*) over () n from z), s as (select unnest(range(1, {shifts} + 1)) s),
+ o2 as (select count(*) items, avg({jac("x")}) o from g x), r2 as (select avg({jac("y")}) r from g x, s, g y where s.s < x.n and y.i = (x.i + s.s) % x.n)
+ select items, round(o, 6) jaccard_observed, round(r, 6) jaccard_random, round(case when r is null or o is null then 0 when r >= 1 then 1 when r >= o then 0 else (o - r) / (1 - r) end, 6) nsi from o2, r2"""
+
+
+@query("nsi_closed_form", nsi_sql(f"with {RUNS}, z as (select * from r)"))
 def nsi_closed_form(spark, sf):
     return stability.nsi(_runs(spark, sf))
 
