@@ -233,32 +233,6 @@ def soft_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_soft(list(x if x is not None else []), list(y if y is not None else [])) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def leader_clusters(df: DataFrame, group: str, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
-    """id, cluster: in order of id a vector joins the first cluster whose moving centre is near enough."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        centres, counts, names, out = [], [], [], []
-        for i, v in zip(pdf["id"], pdf["v"], strict=True):
-            v = np.asarray(v, np.float64)
-            v = v / max(np.linalg.norm(v), 1e-300)
-            sims = np.array(centres) @ v / np.maximum(np.linalg.norm(np.array(centres), axis=1), 1e-300) if centres else np.zeros(0)
-            hit = np.flatnonzero(sims >= threshold)
-            if len(hit):
-                c = int(hit[0])
-                centres[c] = (centres[c] * counts[c] + v) / (counts[c] + 1)
-                counts[c] += 1
-            else:
-                c = len(centres)
-                centres.append(v)
-                counts.append(1)
-                names.append(i)
-            out.append(names[c])
-        return pd.DataFrame({"id": pdf["id"], "cluster": out})
-
-    return df.select(F.col(group).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).groupBy("g").applyInPandas(run, "id long, cluster long")
-
-
 def kmeans(df: DataFrame, k: int = 50, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id, cluster by k-means; a table with no more than k rows keeps a cluster each."""
     from pyspark.ml.clustering import KMeans

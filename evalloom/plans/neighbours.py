@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from evalloom.operators import ivf, vocab
+from evalloom.operators import ivf, leaders, vocab
 from evalloom.operators.views import read
 from evalloom.plans.registry import query
 from evalloom.plans.texts import ENUM, STOP
@@ -46,3 +46,15 @@ def item_glossary(spark, sf):
     index = ivf.build(_term_vectors(spark, sf), "name")
     found = ivf.search(index, read(spark, sf, "embeddings"), 30, exact=True, others=False)
     return found.select(F.col("query").alias("item"), F.col("neighbour").alias("name"), "similarity", "rank")
+
+
+def _weighed(spark, sf):
+    """Vectors with their frequency: how many lines order the part of their number."""
+    often = read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("vec_id")).agg(F.count(F.lit(1)).alias("often"))
+    return read(spark, sf, "embeddings").join(often, "vec_id", "left")
+
+
+@query("leader_clusters")
+def leader_clusters(spark, sf):
+    """Clusters of each label around leaders, in order of falling frequency."""
+    return leaders.leader_clusters(_weighed(spark, sf), "label", threshold=0.35, frequency=F.col("often"))

@@ -202,11 +202,6 @@ def kmeans_parents(spark, sf):
     return similarity.kmeans(read(spark, sf, "embeddings"), 50, 42)
 
 
-@query("leader_clusters")
-def leader_clusters(spark, sf):
-    return similarity.leader_clusters(read(spark, sf, "embeddings"), "label")
-
-
 @query("soft_jaccard")
 def soft_jaccard(spark, sf):
     r = _runs(spark, sf)

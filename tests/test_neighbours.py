@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import ivf
+from evalloom.operators import ivf, leaders
 
 
 def table(spark, data):
@@ -55,3 +55,39 @@ def test_names_and_empty_tables(spark):
     assert [(r.neighbour, r.rank) for r in ivf.search(ivf.build(base, "name"), items, 3, others=False, exact=True).orderBy("rank").collect()] == [("a", 1), ("b", 2), ("c", 3)]
     assert ivf.search(ivf.build(base.limit(0), "name"), items, 3, others=False).collect() == []
     assert ivf.search(ivf.build(base, "name"), items.where(F.lit(False)), 3).collect() == []
+
+
+def sequential(rows, threshold):
+    """(group, id, frequency, vector): the pass one after the other."""
+    out = {}
+    for g in {r[0] for r in rows}:
+        lead = []
+        for _, i, f, v in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            v = np.array(v) / max(np.linalg.norm(v), 1e-300)
+            near = [name for name, u in lead if u @ v >= threshold - 1e-9]
+            out[i] = near[0] if near else i
+            if not near:
+                lead.append((i, v))
+    return out
+
+
+@pytest.mark.parametrize("block", [5, 64, 2048])
+def test_leaders_are_those_of_the_sequential_pass(spark, block):
+    """One group holds most rows, others few; frequencies tie."""
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal((9, 6))
+    data = [("hot" if k % 10 else f"g{k % 3}", k, int(rng.integers(0, 6)), (centre[k % 9] + rng.standard_normal(6) * (0.2 if k % 4 else 2)).tolist()) for k in range(240)]
+    df = spark.createDataFrame(data, "label string, vec_id long, n int, embedding array<double>").repartition(6)
+    got = leaders.leader_clusters(df, "label", threshold=0.9, frequency=F.col("n"), block=block).collect()
+    assert {r.id: r.cluster for r in got} == sequential(data, 0.9) and len(got) == len(data)
+    often = {k: n for _, k, n, _ in data}
+    for r in got:
+        members = [x.id for x in got if x.cluster == r.cluster]
+        assert r.size == len(members) and r.total == sum(often[i] for i in members)
+
+
+def test_leaders_of_odd_rows(spark):
+    data = [(None, 1, [1.0, 0.0]), (None, 2, [2.0, 0.0]), ("a", 3, None), ("a", 4, [0.0, 0.0]), ("a", 5, [0.0, 0.0])]
+    df = spark.createDataFrame(data, "label string, vec_id long, embedding array<double>")
+    assert sorted((r.id, r.cluster) for r in leaders.leader_clusters(df, "label").collect()) == [(1, 1), (2, 1), (4, 4), (5, 5)]
+    assert leaders.leader_clusters(df.limit(0), "label").collect() == []
