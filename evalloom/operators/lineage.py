@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+_local: dict[str, str] = {}
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Store a frame in the checkpoint folder the session names, so that a lost executor loses nothing and plans stay short.
@@ -19,3 +22,25 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evalloom-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as a table to the shared folder and read it back: what is costly is computed once."""
+    spark = df.sparkSession
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = named or _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="evalloom-"))
+    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tables/" in folder:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

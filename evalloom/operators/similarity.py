@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from evalloom.functions.text import token_set
 from evalloom.operators import ivf
-from evalloom.operators.lineage import cut
+from evalloom.operators.components import connected
+from evalloom.operators.lineage import drop, stored
 
 
 def tfidf(terms: DataFrame, doc: str = "doc_id", term: str = "term", n_docs: int | Column | None = None) -> DataFrame:
@@ -24,35 +30,86 @@ def tfidf(terms: DataFrame, doc: str = "doc_id", term: str = "term", n_docs: int
     return raw.withColumn("_n", norm).select(doc, term, "tf", "df", (F.col("_w") / F.col("_n")).alias("weight"))
 
 
+FREQUENT = 10_000
+
+
+def hashed_sets(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """id, tokens (64-bit hashes in order) and a 128-bit name of the set of every text; the name is null where there is no token."""
+    tokens = F.array_sort(F.transform(token_set(F.col(text_col)), lambda t: F.xxhash64(t)))
+    rows = df.select(F.col(id_col).alias("id"), *keep, tokens.alias("tokens"))
+    name = F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit("name"), "tokens").alias("y"))
+    return rows.withColumn("name", F.when(F.size("tokens") > 0, name))
+
+
+def _prefixes(sets: DataFrame, keep: list[str], threshold: float) -> DataFrame:
+    """token, id, n, pos (from 1) of each set's prefix in a common order of tokens, rare ones first.
+
+    The ``FREQUENT`` most frequent tokens come last, by their number; the others, by their hash.
+    """
+    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    token = np.array([r[0] for r in often], np.int64)
+    order = np.argsort(token)
+    shared = sets.sparkSession.sparkContext.broadcast((token[order], (len(token) - np.arange(len(token)))[order]))  # FREQUENT pairs of numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for b in batches:
+            lists = b.column("tokens")
+            flat, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            weight = np.where(known[at] == flat, rank[at], 0) if len(known) else np.zeros(len(flat), np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            by = np.lexsort((flat, weight, row))
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1
+            most = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1
+            inside = pos <= most[row]
+            owner = row[by][inside]
+            cells = [b.column(c).take(pa.array(owner)) for c in ("id", *keep)]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(flat[by][inside], pa.int64()), pa.array(size[owner], pa.int32()), pa.array(pos[inside], pa.int32())], ["id", *keep, "token", "n", "pos"])
+
+    kinds = dict(sets.dtypes)
+    return sets.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep)) + ", token long, n int, pos int")
+
+
 def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, group: str | None = None) -> DataFrame:
     """a, b, jaccard of pairs of texts whose token sets reach the threshold, within a group if one is named.
 
-    Equal token sets are joined once, as one row.  A prefix filter keeps candidates few: with tokens
-    in order of rising frequency two sets can only match if their prefixes share a token.
+    Tokens are compared as 64-bit hashes; equal token sets are joined once, as one row.  With tokens in order of rising
+    frequency two sets can only match if their prefixes share a token (prefix filter), if the tokens after the first
+    shared one suffice (positional filter), and if their sizes are alike: a token's sets meet by bands of size, a band
+    spanning the ratio that the threshold allows, so even a token of all sets is the work of many small blocks.
     """
     keep = [group] if group else []
-    rows = df.select(F.col(id_col).alias("id"), *keep, F.array_sort(token_set(F.col(text_col))).alias("tokens")).where("size(tokens) > 0")
-    sets = rows.groupBy(*keep, "tokens").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    words = sets.select(*keep, "id", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
-    freq = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy(*keep, "id").orderBy("df", "token"))
-    prefix = words.join(freq, "token").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
-    x, y = prefix.select(*keep, "token", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select(*keep, "token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = x.join(y, ["token", *keep]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)))
-    pairs = near.select("a", "b").distinct()
+    rows = stored(hashed_sets(df, id_col, text_col, keep).where("name is not null"), "token-sets")
+    first = rows.groupBy(*keep, "name").agg(F.min("id").alias("id")).select(*keep, "id")
+    joined = [rows[c].eqNullSafe(first[c]) for c in ("id", *keep)]
+    sets = stored(rows.join(first, joined, "left_semi").drop("name"), "token-sets")
+    drop(rows)
+    prefix = _prefixes(sets, keep, threshold)
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("n")
+    sized = prefix.withColumn("band", band)
+    named = lambda s: [F.col("id").alias(f"i{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}")]
+    x = sized.select(*keep, "token", "band", *named("x"))
+    near_bands = F.array("band", F.col("band") - 1) if threshold < 1 else F.array("band")
+    y = sized.select(*keep, "token", F.explode(near_bands).alias("band"), *named("y"))
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("ix") < F.col("iy")))
+    alike = F.col("nx") >= F.col("ny") * (threshold - 1e-9)
+    enough = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= (F.col("nx") + F.col("ny")) * (threshold / (1 + threshold)) - 1e-6
+    near = x.join(y, ["token", "band", *keep]).where(smaller & alike & enough)
+    pairs = near.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct()
     ids = sets.select("id", "tokens")
     full = pairs.join(ids.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(ids.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both, union = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
+    both = F.size(F.array_intersect("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - both
     sure = both.cast("long") * 1_000_000 >= union.cast("long") * round(threshold * 1_000_000)  # whole numbers: no rounding up to the threshold
     return full.where(sure).select("a", "b", F.round(both / union, 6).alias("jaccard"))
 
 
 def token_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, representative: one row a text, with the smallest id of the texts of equal token sets; texts without tokens represent themselves."""
-    rows = df.select(F.col(id_col).alias("id"), F.array_sort(token_set(F.col(text_col))).alias("_t"))
-    rows = rows.select("id", F.when(F.size("_t") > 0, F.sha2(F.array_join("_t", " "), 256)).alias("_k"))
-    first = rows.where("_k is not null").groupBy("_k").agg(F.min("id").alias("representative"))
-    return rows.join(first, "_k", "left").select("id", F.coalesce("representative", "id").alias("representative"))
+    rows = stored(hashed_sets(df, id_col, text_col, []).select("id", "name"), "token-names")
+    first = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("representative"))
+    return rows.join(first, "name", "left").select("id", F.coalesce("representative", "id").alias("representative"))
 
 
 def term_classes(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", term: str = "term") -> DataFrame:
@@ -79,35 +136,55 @@ def cosine_pairs(weights: DataFrame, threshold: float, doc: str = "doc_id", term
     return dot.where(F.col("cosine") >= threshold)
 
 
-def greedy_leaders(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
+def greedy_leaders(edges: DataFrame, nodes: DataFrame, id_col: str = "id", rounds: int = 12) -> DataFrame:
     """id, leader: in order of id each row joins the first leader that it has an edge to, or leads.
 
-    Rows without edges lead themselves without any work; the sequential pass runs over each connected
-    component's edges alone, so it is as large as one group of near copies.
+    A row whose earlier neighbours all follow leads, a row with an earlier neighbour that leads follows.  Both are decided
+    for all rows at once, round by round; a group of copies takes two rounds.  What long chains leave open
+    after ``rounds`` is passed over in order, a connected component in each group.
     """
-    sym = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u < v").distinct())  # read in every round; the plan must not grow with the rounds
-    comp = sym.select(F.col("u").alias("n"), F.col("u").alias("c")).unionByName(sym.select(F.col("v").alias("n"), F.col("v").alias("c"))).groupBy("n").agg(F.min("c").alias("c"))
-    while True:  # labels spread by minimum until nothing changes; components of near copies are shallow
-        at = sym.join(comp.select(F.col("n").alias("u"), F.col("c").alias("cu")), "u").join(comp.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v")
-        low = F.least("cu", "cv")
-        nxt = cut(at.select(F.col("u").alias("n"), low.alias("c")).unionByName(at.select(F.col("v").alias("n"), low.alias("c"))).groupBy("n").agg(F.min("c").alias("c")))
-        moved = nxt.join(comp.withColumnRenamed("c", "old"), "n").where("c <> old").limit(1).count()
-        comp = nxt
-        if not moved:
+    links = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u < v").distinct(), "links")
+    open_, settled = links, []
+    for _ in range(rounds):
+        # Rows that no open link enters lead: their earlier neighbours, if any, follow.
+        later = open_.select(F.col("v").alias("id")).distinct()
+        lead = stored(open_.select(F.col("u").alias("id")).distinct().join(later, "id", "left_anti"), "lead")
+        if lead.isEmpty():
             break
+        follow = stored(open_.join(lead.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct(), "follow")
+        gone = follow.unionByName(lead)
+        left = open_.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(follow.withColumnRenamed("id", "v"), "v", "left_anti")
+        # A row whose last open link has gone leads as well.
+        left = stored(left, "open")
+        alone = open_.select(F.col("v").alias("id")).distinct().join(follow, "id", "left_anti").join(left.select(F.col("v").alias("id")).unionByName(left.select(F.col("u").alias("id"))).distinct(), "id", "left_anti")
+        settled.append(lead.unionByName(alone))
+        open_ = left
+        if open_.isEmpty():
+            break
+    if not open_.isEmpty():
+        settled.append(_led(open_))
+    if not settled:
+        return nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("leader"))
+    leads = reduce(DataFrame.unionByName, settled).distinct()
+    joined = links.join(leads.withColumnRenamed("id", "u"), "u", "left_semi").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("leader"))
+    return nodes.select(F.col(id_col).alias("id")).join(joined, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
+def _led(links: DataFrame) -> DataFrame:
+    """id of the rows that lead among open links, by a pass over each connected component."""
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
         for u, v in zip(pdf.u, pdf.v, strict=True):
             near.setdefault(v, set()).add(u)
-        leader: dict = {}
+        leads: set = set()
         for n in sorted(set(pdf.u) | set(pdf.v)):
-            heads = sorted(u for u in near.get(n, ()) if leader[u] == u)
-            leader[n] = heads[0] if heads else n
-        return pd.DataFrame({"id": list(leader), "leader": list(leader.values())})
+            if not leads & near.get(n, set()):
+                leads.add(n)
+        return pd.DataFrame({"id": sorted(leads)})
 
-    grouped = sym.join(comp.select(F.col("n").alias("u"), "c"), "u").groupBy("c").applyInPandas(lead, "id long, leader long")
-    return nodes.select(F.col(id_col).alias("id")).join(grouped, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    root = connected(links, "u", "v")
+    return links.join(root.select(F.col("node").alias("u"), "root"), "u").groupBy("root").applyInPandas(lead, f"id {dict(links.dtypes)['u']}")
 
 
 def greedy_drop(edges: DataFrame, classes: DataFrame) -> DataFrame:
