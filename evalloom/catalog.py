@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evalloom.plans import agreement, corpus, neighbours, panel, profile, records, texts
+from evalloom.plans import agreement, corpus, neighbours, panel, profile, records, runs, texts
 from evalloom.plans.registry import QUERIES, SQL
 
-MODULES = (profile, panel, texts, records, corpus, neighbours, agreement)
+MODULES = (profile, panel, texts, records, corpus, neighbours, agreement, runs)
 
 
 def queries() -> dict:

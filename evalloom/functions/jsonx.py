@@ -121,3 +121,20 @@ def judge_verdict(c: Column) -> Column:
     label = F.lower(F.coalesce(path(v, "label"), path(v, "verdict"), F.regexp_extract(F.lower(c), r"\b(correct|incorrect|ambiguous|broken|clean)\b", 1)))
     score = F.coalesce(path(v, "score", "double"), F.try_to_number(F.nullif(F.regexp_extract(c, r"(?i)score\W+([01](?:\.\d+)?)", 1), F.lit("")), F.lit("9.99999")).cast("double"))
     return F.struct(F.nullif(label, F.lit("")).alias("label"), F.coalesce(score, F.when(label == "correct", 1.0).when(label == "incorrect", 0.0)).alias("score"))
+
+
+def strings(c: Column) -> Column:
+    """All string values of a JSON text, at any depth, in the order of the document; null where it is not JSON.
+
+    In JSON a quotation mark that is not escaped begins or ends a string, so strings can be cut out in one pass;
+    those before a colon are keys.  Escapes are hidden behind control characters, which JSON texts cannot hold.
+    """
+    hidden = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
+    cut = F.filter(F.regexp_extract_all(hidden, F.lit(r'("[^"]*"\s*:?)')), lambda t: ~t.endswith(":"))
+    shown = F.replace(F.replace(F.concat(F.lit("["), F.array_join(cut, ","), F.lit("]")), F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(shown, "array<string>"))
+
+
+def context_lines(c: Column) -> Column:
+    """The strings of nested context, trimmed, each after its label, in the order of the document; nothing else counts."""
+    return F.coalesce(F.transform(strings(c), lambda t: F.concat(F.lit("Context: "), trim_ws(t))), F.array().cast("array<string>"))

@@ -46,9 +46,10 @@ def unit(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.transform(v, lambda x: x / length).alias("vector"))
 
 
-def centroids(rows: DataFrame, n: int, sample: int = SAMPLE, members: int = MEMBERS, rounds: int = 8, seed: int = 42) -> np.ndarray:
-    """k-means over about ``sample`` rows of the smallest seeded hashes: lists of about ``members`` rows, at most ``sample / 16`` of them."""
-    lists = max(1, min(-(-n // members), sample // 16))
+def centroids(rows: DataFrame, n: int, sample: int = SAMPLE, members: int = MEMBERS, rounds: int = 8, seed: int = 42, lists: int | None = None) -> np.ndarray:
+    """k-means over about ``sample`` rows of the smallest seeded hashes: lists of about ``members`` rows (or as many as ``lists``
+    says), at most ``sample / 16`` of them.  The same rows give the same centroids, however they are partitioned."""
+    lists = max(1, min(lists or -(-n // members), sample // 16))
     named = F.xxhash64(F.lit(seed), "id")
     picked = rows.where(F.pmod(named, F.lit(1 << 30)) < int(sample / max(n, 1) * (1 << 30)) + 1).orderBy(named, "id").limit(sample)
     data = matrix(picked.select("vector").toArrow().column("vector"))

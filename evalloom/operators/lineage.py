@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -24,16 +24,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table to the shared folder and read it back: what is costly is computed once."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a local session that names none gets a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = named or _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="evalloom-"))
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    if not named and spark.sparkContext.applicationId not in _local:
+        _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="evalloom-")
+    return f"{(named or _local[spark.sparkContext.applicationId]).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as a table to the shared folder and read it back: what is costly is computed once."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(*frames: DataFrame) -> None:

@@ -34,9 +34,12 @@ FREQUENT = 10_000
 
 
 def hashed_sets(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """id, tokens (64-bit hashes in order) and a 128-bit name of the set of every text; the name is null where there is no token."""
+    """id, tokens (64-bit hashes in order) and a 128-bit name of the set of every text; the name is null where there is no token.
+
+    Tokens are stored before anything is asked of them, as each question would cut the text again.
+    """
     tokens = F.array_sort(F.transform(token_set(F.col(text_col)), lambda t: F.xxhash64(t)))
-    rows = df.select(F.col(id_col).alias("id"), *keep, tokens.alias("tokens"))
+    rows = stored(df.select(F.col(id_col).alias("id"), *keep, tokens.alias("tokens")), "token-sets")
     name = F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit("name"), "tokens").alias("y"))
     return rows.withColumn("name", F.when(F.size("tokens") > 0, name))
 
@@ -80,7 +83,7 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
     spanning the ratio that the threshold allows, so even a token of all sets is the work of many small blocks.
     """
     keep = [group] if group else []
-    rows = stored(hashed_sets(df, id_col, text_col, keep).where("name is not null"), "token-sets")
+    rows = hashed_sets(df, id_col, text_col, keep).where("name is not null")
     first = rows.groupBy(*keep, "name").agg(F.min("id").alias("id")).select(*keep, "id")
     joined = [rows[c].eqNullSafe(first[c]) for c in ("id", *keep)]
     sets = stored(rows.join(first, joined, "left_semi").drop("name"), "token-sets")
@@ -107,7 +110,7 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
 
 def token_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, representative: one row a text, with the smallest id of the texts of equal token sets; texts without tokens represent themselves."""
-    rows = stored(hashed_sets(df, id_col, text_col, []).select("id", "name"), "token-names")
+    rows = hashed_sets(df, id_col, text_col, []).select("id", "name")
     first = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("representative"))
     return rows.join(first, "name", "left").select("id", F.coalesce("representative", "id").alias("representative"))
 
@@ -310,13 +313,28 @@ def soft_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_soft(list(x if x is not None else []), list(y if y is not None else [])) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def kmeans(df: DataFrame, k: int = 50, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, cluster by k-means; a table with no more than k rows keeps a cluster each."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def kmeans(df: DataFrame, k: int = 50, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding", sample: int = ivf.SAMPLE) -> DataFrame:
+    """id, cluster (from 0, larger clusters first, equal ones by their first id) by k-means over vectors of unit length, fitted on a
+    bounded sample; the same rows give the same clusters.  A table of no more than k rows has a cluster each."""
+    rows = ivf.unit(df, id_col, vector)
+    kind = dict(rows.dtypes)["id"]
+    centre = ivf.centroids(rows, rows.count(), max(sample, 16 * k), seed=seed, lists=k)
+    if not len(centre):
+        return rows.select("id", F.lit(0).cast("long").alias("cluster"))
+    shared = df.sparkSession.sparkContext.broadcast(centre)  # k rows
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ivf.closest(ivf.matrix(b.column("vector")), shared.value), pa.int64())], ["id", "near"])
+
+    near = stored(rows.mapInArrow(assign, f"id {kind}, near long"), "clusters")
+    size = near.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    number = size.withColumn("cluster", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("long"))  # k rows at most
+    return near.join(F.broadcast(number.select("near", "cluster")), "near").select("id", "cluster")
+
 
-    if df.limit(k + 1).count() <= k:
-        return df.select(F.col(id_col).alias("id"), (F.row_number().over(Window.orderBy(id_col)) - 1).alias("cluster"))
-    data = df.select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")).persist()
-    model = KMeans(k=k, seed=seed).fit(data)
-    return model.transform(data).select("id", F.col("prediction").alias("cluster"))
+def name_parents(clusters: DataFrame, cluster: str = "cluster", id_col: str = "id", frequency: str = "frequency") -> DataFrame:
+    """id, parent (the cluster's most frequent member, of equals the first), members and total of the parent."""
+    best = F.min(F.struct((-F.coalesce(frequency, F.lit(0))).alias("f"), F.col(id_col).alias("id"))).alias("best")
+    named = clusters.groupBy(cluster).agg(best, F.count(F.lit(1)).alias("members"), F.coalesce(F.sum(frequency), F.lit(0)).alias("total"))
+    return clusters.join(named, cluster).select(F.col(id_col).alias("id"), F.col("best.id").alias("parent"), "members", "total")

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from evalloom.operators import ivf, leaders, vocab
+from evalloom.operators import ivf, leaders, similarity, vocab
 from evalloom.operators.views import read
 from evalloom.plans.registry import query
 from evalloom.plans.texts import ENUM, STOP
@@ -58,3 +58,21 @@ def _weighed(spark, sf):
 def leader_clusters(spark, sf):
     """Clusters of each label around leaders, in order of falling frequency."""
     return leaders.leader_clusters(_weighed(spark, sf), "label", threshold=0.35, frequency=F.col("often"))
+
+
+OFTEN = "o as (select l_partkey vec_id, count(*) often from lineitem group by 1), w as (select e.vec_id id, label, often from embeddings e left join o on o.vec_id = e.vec_id)"
+
+
+@query("parents_by_frequency", f"""with {OFTEN}, r as (select *, first_value(id) over (partition by label order by coalesce(often, 0) desc, id) parent, count(*) over (partition by label) members, coalesce(sum(often) over (partition by label), 0)::bigint total from w)
+ select id, parent, members, total from r""")
+def parents_by_frequency(spark, sf):
+    """Each cluster is named after its most frequent member."""
+    return similarity.name_parents(_weighed(spark, sf), "label", "vec_id", "often")
+
+
+@query("kmeans_named")
+def kmeans_named(spark, sf):
+    """The same over 50 clusters by k-means."""
+    rows = _weighed(spark, sf)
+    clusters = similarity.kmeans(rows, 50).join(rows.select(F.col("vec_id").alias("id"), "often"), "id")
+    return similarity.name_parents(clusters, frequency="often")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -33,17 +33,35 @@ def quarantined(spark: SparkSession, paths: str | list[str], schema: StructType)
     return parsed.where(~bad).select(*(F.col(f"r.`{f.name}`") for f in schema.fields)), parsed.where(bad).select(F.col("value").alias("_corrupt_record"), "_file")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, _pos: the lines of files in order of file and place, numbered from 0 per file and block.
+def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, line (from 1), value of every line of text files, blank ones included, however the files are split.
 
-    Positions grow within a file; they have gaps between blocks, so they order rows but do not count them.
+    Within a split lines come in order, so a line's number is its place in the split and the number of lines
+    in the file's splits before; only a row a split is shuffled to learn that.
     """
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_pos"))
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    return raw.join(placed, ["file", "block"]).select("file", (F.col("seq") + F.col("shift")).alias("line"), "value")
 
 
-def with_default_id(df: DataFrame, id_col: str, position: str) -> DataFrame:
-    """An absent identifier is the row's position."""
-    return df.withColumn(id_col, F.coalesce(F.nullif(F.col(id_col).cast("string"), F.lit("")), F.col(position).cast("string")))
+def numbered(spark: SparkSession, paths: str | list[str], schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(file, line and columns of the good rows; file, line, _corrupt_record of the bad ones): blank lines count, but are no rows."""
+    full = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+    parsed = lines(spark, paths).where(F.trim("value") != "").withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("r._corrupt_record").isNotNull() | F.col("r").isNull()
+    return parsed.where(~bad).select("file", "line", *(F.col(f"r.`{f.name}`") for f in schema.fields)), parsed.where(bad).select("file", "line", F.col("value").alias("_corrupt_record"))
+
+
+def line_counts(spark: SparkSession, paths: str | list[str], schema: StructType) -> DataFrame:
+    """file, lines, blank, bad, good of every file that has a line: what a scan of many files read and what it dropped."""
+    full = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), (F.trim("value") == "").alias("blank"), parsed.alias("r"))
+    bad = ~F.col("blank") & (F.col("r._corrupt_record").isNotNull() | F.col("r").isNull())
+    one = lambda c: F.count(F.when(c, 1))
+    return raw.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), one(F.col("blank")).alias("blank"), one(bad).alias("bad"), one(~F.col("blank") & ~bad).alias("good"))
 
 
 def files(spark: SparkSession, folder: str, pattern: str) -> list[str]:

@@ -24,11 +24,6 @@ def human_eval(df: DataFrame, path: str, blanks: tuple[str, ...] = ("rating_subd
     csv(df.select("*", *(F.lit("").alias(b) for b in blanks)), path)
 
 
-def partitioned(df: DataFrame, path: str, *keys: str) -> None:
-    """One folder for each pair, such as designer and answerer."""
-    df.write.mode("overwrite").partitionBy(*keys).json(path)
-
-
 def document(spark: SparkSession, doc: dict | str, path: str) -> None:
     """One small text document through Hadoop, so any store does."""
     text = doc if isinstance(doc, str) else json.dumps(doc, ensure_ascii=False, indent=2, sort_keys=True)
@@ -60,3 +55,11 @@ def sample(df: DataFrame, path: str, meta: dict) -> None:
     """Rows, with their metadata beside them."""
     jsonl(df, path)
     document(df.sparkSession, meta, path.rstrip("/") + ".meta.json")
+
+
+def run(results: DataFrame, manifest: DataFrame, report: dict, root: str, stamp: str | None = None) -> str:
+    """A run's results as JSON lines in a folder of its own, with the manifest's one row and the report beside them."""
+    where = f"{root.rstrip('/')}/run-{stamp or time.strftime('%Y%m%dT%H%M%S')}"
+    jsonl(results, f"{where}/results")
+    document(results.sparkSession, report | {"manifest": one(manifest)}, f"{where}/report.json")
+    return where
