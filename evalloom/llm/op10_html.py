@@ -7,10 +7,15 @@ order with a Gaussian, fused with those of related paths by the share of their c
 paths above a share of the best are content.
 
 Elements that never show text (scripts, menus, buttons and so on) are left out before.  Words of class, id
-and role, and elements such as ``form``, only weigh: what they mark is left out as long as the sentences
-outside make up an article; where they do not, the mark that holds most of them is a wrapper and is lifted,
-until an article appears.  Lists of like records that each begin with a byline are readers' comments,
-whatever their name, unless nothing like an article is left without them.  If all text is links, links count as text.
+and role, and elements such as ``form``, only lower a ratio: what an element holds is judged by its own text and
+punctuation a block, times a weight, against the best path outside all marks.  Inside the article (the ``article`` elements,
+else ``main``) weights are mild, so a section stays whatever its name; a marked element outside an article that the page has goes;
+one that holds the article, or
+half of the sentences of a page without one, is a wrapper and stays.
+
+Lists of like records that each begin with a byline are readers' comments if they stand by themselves after the text
+and do not hold most of it; records among the article's own paragraphs are judged by their ratio, so interviews stay.
+If all text is links, links count as text.
 
 Null or empty html gives the empty text.  Unclosed elements, comments and tags are read as browsers
 do, quotes count only where an attribute's value begins; time and memory are linear in the page.  Every row
@@ -35,19 +40,21 @@ from evalloom.llm.common import slices, table
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {"head", "nav", "menu", "footer", "aside", "button", "select", "noscript", "template", "svg", "canvas", "object", "dialog", "audio", "video", "option", "datalist", *RAW}
-SOFT = {"form", "label", "fieldset"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span",
     "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "img", "wbr",
 }
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}
-# Words of class and id that mark what is not the article, words before them that make them harmless, and a wrapper's.
-NOT_TEXT = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "discussion",
-    "discussions", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo",
-    "promoted", "related", "replies", "respond", "responses", "reviews", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tagcloud", "talkback", "toolbar",
-    "widget", "alert", "disclaimer", "topbar", "feedback", "reader",
+# Words of class and id that mark what is not the article: plain ones, and ones that articles may be about as well.
+PLAIN_MARKS = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr",
+    "login", "masthead", "nav", "navbar", "newsletter", "pagination", "popup", "promo", "promoted", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "tagcloud", "toolbar", "topbar", "widget",
+}
+OTHER_MARKS = {
+    "alert", "banner", "disclaimer", "discussion", "discussions", "feedback", "menu", "modal", "navigation", "notice", "notices", "notification", "reader", "related", "replies", "respond", "responses",
+    "reviews", "share", "sharing", "social", "talkback",
 }
+# Words before a mark that make it harmless.
 HARMLESS = {"has", "no", "with", "without"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "alertdialog"}
 # Which open elements a start tag closes.
@@ -61,8 +68,11 @@ SHARE, RADIUS = 0.15, 2
 PROSE = {"p", "blockquote", "pre"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 RECORD = {"div", "li", "article", "section", "dd", "tr", "details"}
-#: Characters of sentences outside marked elements, or their share of all, that make up an article.
-ARTICLE, ARTICLE_SHARE = 140, 0.05
+#: Weights of a ratio inside and outside the article: a whole class or role, a whole plain id, part of a class, any other id, a form.
+WHOLE, NAMED, PARTLY, LOOSE, FORM = (0.4, 0.05), (0.4, 0.05), (0.6, 0.15), (1.0, 0.3), (0.1, 0.05)
+#: Share of the page's sentences that makes a marked element a wrapper, of the article's that makes records the article.
+WRAPPER, MOST = 0.5, 0.5
+SOFT = {"form": FORM, "label": FORM, "fieldset": LOOSE}
 #: Longest byline.
 BYLINE = 60
 
@@ -92,16 +102,25 @@ def _attributes(page: str, at: int) -> tuple[int, dict[str, str], bool]:
             return at + 1, found, at > begin and page[at - 1] == "/" and not m[6]
 
 
-def _marks(found: dict[str, str]) -> tuple[str, bool, bool]:
-    """Label for the path, whether the element is marked as not the article's, and whether as a header."""
-    label, bad, head = "", found.get("role") in ROLES, False
+def _lower(a: tuple[float, float] | None, b: tuple[float, float] | None) -> tuple[float, float] | None:
+    return b if a is None else a if b is None else (min(a[0], b[0]), min(a[1], b[1]))
+
+
+def _marks(found: dict[str, str]) -> tuple[str, tuple[float, float] | None, bool]:
+    """Label for the path, the weights (None: not marked) that class, id and role give an element, and whether they say header."""
+    label, weight, head = "", WHOLE if found.get("role") in ROLES else None, False
     for name in ("class", "id"):
         if value := found.get(name):
             label += "." + value
-            words = _WORD.findall(value)
-            head |= "header" in words
-            bad |= any(w in NOT_TEXT and not (i and words[i - 1] in HARMLESS) for i, w in enumerate(words))
-    return label, bad, head
+            for token in value.split():
+                words = _WORD.findall(token)
+                head |= "header" in words
+                for i, w in enumerate(words):
+                    if (w in PLAIN_MARKS or w in OTHER_MARKS) and not (i and words[i - 1] in HARMLESS):
+                        whole = len(words) == 1
+                        by = (WHOLE if whole else PARTLY) if name == "class" else NAMED if whole and w in PLAIN_MARKS else LOOSE
+                        weight = _lower(weight, by)
+    return label, weight, head
 
 
 @dataclass
@@ -122,7 +141,8 @@ class Page:
     name: list[str] = field(default_factory=lambda: [""])
     up: list[int] = field(default_factory=lambda: [0])  # an element's parent, node and mark
     node_of: list[int] = field(default_factory=lambda: [0])
-    mark: list[str | None] = field(default_factory=lambda: [None])
+    mark: list[tuple[float, float] | None] = field(default_factory=lambda: [None])
+    core: list[int] = field(default_factory=lambda: [0])  # 2: in an article, 1: in main
     _known: dict[tuple[int, str], int] = field(default_factory=dict)
 
     def node(self, parent: int, label: str, name: str) -> int:
@@ -242,16 +262,18 @@ def read(page: str) -> Page:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
                 at = size if end is None else page.find(">", end.end()) + 1 or size
                 continue
-            label, bad, head = _marks(found) if found else ("", False, False)
+            label, weight, head = _marks(found) if found else ("", None, False)
             hidden = (bool(stack) and stack[-1][2]) or name in NEVER
-            bad = (bad and name not in ("html", "body", "article", "main")) or name in SOFT
-            bad |= (name == "header" or head) and not (where.get("article") or where.get("main"))
+            weight = None if name in ("html", "body", "article", "main") else _lower(weight, SOFT.get(name))
+            if (name == "header" or head) and not (where.get("article") or where.get("main")):
+                weight = _lower(weight, WHOLE)
             if not alone or name in ("p", "div"):
                 above = stack[-1][1] if stack else 0
                 node = 0 if name in ("html", "body") else out.node(out.node_of[above], name + label, name)
                 out.up.append(above)
                 out.node_of.append(node)
-                out.mark.append(name + label if bad else None)
+                out.mark.append(weight)
+                out.core.append(max(out.core[above], 2 if name == "article" else name == "main"))
                 where.setdefault(name, []).append(len(stack))
                 stack.append((name, len(out.up) - 1, hidden))
                 state["link"] = 0
@@ -264,32 +286,55 @@ TOP = {"article", "main", "body"}
 P_SCOPE = {"article", "main", "body", "td", "th", "li", "div", "section", "button"}
 
 
-def unmarked(page: Page) -> list[int]:
-    """Numbers of the blocks outside marked elements, after lifting the marks of wrappers."""
-    lifted: set[str] = set()
+def _ratio(chars: float, punct: float, blocks: float) -> float:
+    return chars / blocks * (1 + punct / blocks) if blocks else 0.0
+
+
+def said(page: Page) -> list[int]:
+    """Characters of sentences in each block; where there are none, of text outside links, or of all text."""
     plain = [max(0, len(t) - n) for t, n in zip(page.texts, page.links, strict=True)]
-    said = [n if page.name[p] in PROSE or _END.search(t) else 0 for t, n, p in zip(page.texts, plain, page.nodes, strict=True)]
-    said = next((x for x in (said, plain) if any(x)), list(map(len, page.texts)))
-    enough = min(ARTICLE, ARTICLE_SHARE * sum(said))
-    labels = {m for m in page.mark if m}
-    while True:
-        # The outermost mark over each element that is not lifted.
-        over: list[str | None] = [None] * len(page.up)
-        for i in range(1, len(page.up)):
-            mark = page.mark[i]
-            over[i] = over[page.up[i]] or (mark if mark not in lifted else None)
-        outside = [k for k, h in enumerate(page.holders) if over[h] is None]
-        if len(lifted) == len(labels) or sum(said[k] for k in outside) >= enough:
-            return outside
-        held = dict.fromkeys(labels - lifted, 0)
-        for k, h in enumerate(page.holders):
-            if over[h] is not None:
-                held[over[h]] += said[k]
-        lifted.add(max(held, key=lambda m: (held[m], m)))
-
-
-def records(page: Page, kept: list[int], best: int) -> set[int]:
-    """Blocks of lists of like records with bylines, if they lie apart from the best path or leave an article without them."""
+    prose = [n if page.name[p] in PROSE or _END.search(t) else 0 for t, n, p in zip(page.texts, plain, page.nodes, strict=True)]
+    return next((x for x in (prose, plain) if any(x)), list(map(len, page.texts)))
+
+
+def unmarked(page: Page) -> tuple[list[int], int]:
+    """Numbers of the blocks that marks leave, and what is the article: 2 the articles, 1 main, 0 anything."""
+    size, words = len(page.up), said(page)
+    core = max((page.core[h] for k, h in enumerate(page.holders) if words[k]), default=0)
+    if not any(page.mark):
+        return list(range(len(page.texts))), core
+    sums = [[0, 0, 0, 0, 0] for _ in range(size)]  # text outside links, punctuation, blocks, sentences, the article's sentences
+    for k, h in enumerate(page.holders):
+        for i, x in enumerate((max(0, len(page.texts[k]) - page.links[k]), len(_PUNCT.findall(page.texts[k])), 1, words[k], words[k] * (core > 0 and page.core[h] >= core))):
+            sums[h][i] += x
+    own = [list(x) for x in sums]
+    for e in range(size - 1, 0, -1):  # an element comes after the one that holds it
+        above = sums[page.up[e]]
+        for i, x in enumerate(sums[e]):
+            above[i] += x
+    inside = [core > 0 and c >= core for c in page.core]
+    # Wrappers are no marks.
+    mark = [None if m and not inside[e] and (sums[e][4] or not core and sums[e][3] >= WRAPPER * sums[0][3]) else m for e, m in enumerate(page.mark)]
+    marked, paths = [False] * size, {}
+    for e in range(size):
+        marked[e] = bool(e) and (marked[page.up[e]] or mark[e] is not None)
+        if not marked[e] and own[e][2] and (inside[e] or not core):
+            t = paths.setdefault(page.node_of[e], [0, 0, 0])
+            for i in range(3):
+                t[i] += own[e][i]
+    best = max(paths.values(), key=lambda t: t[0] * (1 + t[1] / t[2]), default=[0, 0, 0])
+    base = _ratio(*best)
+    gone = [False] * size
+    for e in range(1, size):
+        gone[e] = gone[page.up[e]]
+        if mark[e] is not None and not gone[e]:
+            gone[e] = core > 0 and not inside[e] or mark[e][not inside[e]] * _ratio(*sums[e][:3]) < SHARE * base
+    kept = [k for k, h in enumerate(page.holders) if not gone[h]]
+    return kept if any(words[k] for k in kept) else list(range(len(page.texts))), core
+
+
+def records(page: Page, kept: list[int], core: int) -> set[int]:
+    """Blocks of lists of like records with bylines that are not the article."""
     record = [0] * len(page.up)  # the innermost element at or above each one that may be a record
     for e in range(1, len(page.up)):
         record[e] = e if page.name[page.node_of[e]] in RECORD else record[page.up[e]]
@@ -301,24 +346,38 @@ def records(page: Page, kept: list[int], best: int) -> set[int]:
     for e, got in chains.items():
         by.setdefault((page.up[e], page.node_of[e]), []).append(got)
     ends = {k: bool(_END.search(page.texts[k])) for k in kept}
+    lists: list[tuple[int, list[int]]] = []
+    for (above, _), groups in by.items():
+        if len(groups) > 1 and all(len(g) > 1 and len(page.texts[g[0]]) <= BYLINE and not ends[g[0]] and page.name[page.nodes[g[0]]] not in HEADINGS and any(ends[k] for k in g[1:]) for g in groups):
+            lists.append((above, sorted(k for g in groups for k in g)))
+    among = {k for _, ks in lists for k in ks}
+    rest = [k for k in kept if ends[k] and k not in among]
+    homes = {page.up[page.holders[k]] for k in rest}
+    in_core = lambda k: not core or page.core[page.holders[k]] >= core
+    whole = sum(len(page.texts[k]) for k in kept if ends[k] and in_core(k))
+    mean = lambda ks: _ratio(sum(len(page.texts[k]) for k in ks), sum(len(_PUNCT.findall(page.texts[k])) for k in ks), len(ks))
+    usual = mean([k for k in rest if in_core(k)])
     out: set[int] = set()
-    among = False
-    for (_, node), groups in by.items():
-        byline = all(len(g) > 1 and len(page.texts[g[0]]) <= BYLINE and not ends[g[0]] and page.name[page.nodes[g[0]]] not in HEADINGS and any(ends[k] for k in g[1:]) for g in groups)
-        if len(groups) > 1 and byline:
-            among |= page.common(node, best) == node
-            out.update(k for g in groups for k in g)
-    rest, whole = (sum(len(page.texts[k]) for k in kept if ends[k] and (k not in out or every)) for every in (False, True))
-    return out if not among or rest >= min(ARTICLE, ARTICLE_SHARE * whole) else set()
+    for above, ks in lists:
+        told = [k for k in ks if ends[k]]
+        if not in_core(ks[0]):
+            out.update(ks)
+        elif above in homes:  # among the article's own paragraphs
+            if mean(told) < MOST * usual:
+                out.update(ks)
+        elif sum(len(page.texts[k]) for k in told) <= MOST * whole and not any(k > ks[-1] for k in rest if in_core(k)):
+            out.update(ks)
+    return out
 
 
 def content(page: Page) -> list[str]:
     """Texts of the blocks whose path passes the threshold."""
-    kept = unmarked(page)
-    return [page.texts[k] for k in _passing(page, kept, True)]
+    kept, core = unmarked(page)
+    apart = records(page, kept, core)
+    return [page.texts[k] for k in _passing(page, [k for k in kept if k not in apart])]
 
 
-def _passing(page: Page, kept: list[int], again: bool) -> list[int]:
+def _passing(page: Page, kept: list[int]) -> list[int]:
     if not kept:
         return []
     linked = all(page.links[k] >= len(page.texts[k]) for k in kept)
@@ -341,8 +400,6 @@ def _passing(page: Page, kept: list[int], again: bool) -> list[int]:
     if max(score.values()) <= 0:
         return []
     best = max(total, key=lambda p: (total[p][0] * (1 + total[p][1] / total[p][2]), -p))
-    if again and (apart := records(page, kept, best)):
-        return _passing(page, [k for k in kept if k not in apart], False)
     keep = set()
     for p in score:
         kin = page.related(p, best)
