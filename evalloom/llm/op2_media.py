@@ -15,6 +15,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import id_text, slices, table
+from evalloom.llm.common import column, id_text, slices, table
 
 # Magic bytes that a medium begins with, and its type or family.
 MAGIC = [
@@ -69,25 +70,50 @@ def _png(b: memoryview) -> int:
     return 0
 
 
-def _gif(b: memoryview) -> int:
-    def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
-            at += 1 + b[at]
-        return at + 1
+class Gifs:
+    """Where the GIFs of a payload end.  What follows a place is the same for every header before it, so
+    the end of each chain of blocks and of each row of sections is remembered, and no byte is walked twice."""
 
-    if len(b) < 14:
-        return 0
-    at = 13 + (3 << ((b[10] & 7) + 1) if b[10] & 128 else 0)
-    while at < len(b):
-        if b[at] == 0x3B:
-            return at + 1
-        if b[at] == 0x21:
-            at = blocks(at + 2)
-        elif b[at] == 0x2C and at + 10 < len(b):
-            at = blocks(at + 11 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 128 else 0))
-        else:
+    def __init__(self, b: memoryview):
+        self.b = b
+        self.chain = array("q", bytes(0))  # by place: the end of its chain, 0 if not known
+        self.row = array("q", bytes(0))  # the end of the GIF plus 1, 1 if there is none, 0 if not known
+
+    def _blocks(self, at: int) -> int:
+        b, walked = self.b, []
+        while at < len(b) and b[at] and not self.chain[at]:
+            walked.append(at)
+            at += 1 + b[at]
+        end = (self.chain[at] if at < len(b) else 0) or at + 1
+        for place in walked:
+            self.chain[place] = end
+        return end
+
+    def end(self, start: int) -> int:
+        """The end of a GIF that begins at ``start``, 0 if there is none."""
+        b, walked, stop = self.b, [], 0
+        if len(b) < start + 14:
             return 0
-    return 0
+        if not self.row:
+            self.chain, self.row = array("q", bytes(8 * len(b))), array("q", bytes(8 * len(b)))
+        at = start + 13 + (3 << ((b[start + 10] & 7) + 1) if b[start + 10] & 128 else 0)
+        while at < len(b):
+            if self.row[at]:
+                stop = self.row[at] - 1
+                break
+            walked.append(at)
+            if b[at] == 0x3B:
+                stop = at + 1
+                break
+            if b[at] == 0x21:
+                at = self._blocks(at + 2)
+            elif b[at] == 0x2C and at + 10 < len(b):
+                at = self._blocks(at + 11 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 128 else 0))
+            else:
+                break
+        for place in walked:
+            self.row[place] = stop + 1
+        return stop
 
 
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
@@ -166,7 +192,6 @@ def _ogg(b: memoryview) -> int:
 VALIDATORS: dict[str, Callable[[memoryview], int]] = {
     "riff": _riff,
     "image/png": _png,
-    "image/gif": _gif,
     "image/jpeg": _jpeg,
     "application/gzip": _gzip,
     "application/ogg": _ogg,
@@ -218,6 +243,7 @@ class Sniffer:
                 starts.append((last - size + 1, kind))
         view = memoryview(payload)
         zips = _zips(view, marks) if marks["eocd"] else {}
+        gifs = Gifs(view)
         found, end = [], 0
         for at, kind in sorted(starts):
             if at < end:
@@ -226,6 +252,8 @@ class Sniffer:
                 stop = _pdf_end(at, marks)
             elif kind == "application/zip":
                 stop = zips.get(at, 0)
+            elif kind == "image/gif":
+                stop = gifs.end(at)
             else:
                 length = VALIDATORS[kind](view[at:])
                 stop = at + length if length else 0
@@ -288,11 +316,11 @@ def sniff(df: DataFrame, media_col: str = "media", declared_col: str = "declared
     null), corrected (differs from the declared type), media_bytes, media_sha256 and carved (type and
     byte range of every further medium).  With ``payload`` also the digests of samples read back.
     """
-    src = df.select(*keep, F.col(media_col).alias("_media"), F.col(declared_col).alias("_declared"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep), SNIFFED])
+    n_keep = len(keep)
+    src = df.select(*(column(c).alias(f"k{i}") for i, c in enumerate(keep)), column(media_col).alias("_media"), column(declared_col).alias("_declared"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n_keep]), SNIFFED])
     if payload:
         schema += ", payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    n_keep = len(keep)
     fields = src.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +348,7 @@ def sniff(df: DataFrame, media_col: str = "media", declared_col: str = "declared
             k = 9 if payload else 5
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n_keep)), *(pa.array(list(c), t) for c, t in zip(cols[:k], kinds, strict=False))], [*fields.names[:n_keep], *names[:k]])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def carve(df: DataFrame, media_col: str = "media") -> DataFrame:
