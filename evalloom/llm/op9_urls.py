@@ -42,18 +42,19 @@ class UrlJudge:
         self.rules: dict[str, list[tuple[str, str]]] = {}
         for verdict, host, path in rules:
             self.rules.setdefault(host, []).append((path, verdict))
+        self.dots = max((host.count(".") for host in self.rules), default=0)
 
     def rule(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits."""
         best = None
-        at = 0
-        while host:
-            suffix = host[at:]
+        at = len(host)
+        for _ in range(self.dots + 1 if host else 0):  # no rule has more labels
+            at = host.rfind(".", 0, at)
+            suffix = host[at + 1 :]
             for prefix, verdict in self.rules.get(suffix, ()):
                 if path.startswith(prefix) and (best is None or len(suffix) + len(prefix) > len(best[0])):
                     best = (suffix + prefix, verdict)
-            at = host.find(".", at) + 1
-            if not at:
+            if at < 0:
                 break
         return best
 
