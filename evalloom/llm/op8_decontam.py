@@ -37,7 +37,7 @@ from evalloom.llm.common import column, id_text, materialise, slices, table, tex
 N, COVERAGE = 5, 0.5
 BLOCK_BYTES = 8 << 20
 #: Bits of the table of seeds, a seed and at most.
-SEED_BITS, MOST_BITS = 16, 1 << 31
+SEED_BITS, MOST_BITS = 16, 1 << 29
 _MASK = np.uint64((1 << 20) - 1)
 _PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -50,26 +50,38 @@ def plain(text: str | None) -> bytes:
 def align(item: np.ndarray, doc: np.ndarray, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
     """Best local alignment of two word sequences: score, equal words, start and end in ``doc``.
 
-    Rows are items' words; a gap along the document is a running maximum, so each row is vectorised.
+    Rows are items' words; a gap along the document is a running maximum, so each row is vectorised.  Two rows of
+    scores are kept, and two bits a cell that say where its score came from.
     """
     m, n = len(item), len(doc)
-    score = np.zeros((m + 1, n + 1), np.int32)
-    ramp = np.arange(n + 1, dtype=np.int32) * -gap
+    above, ramp = np.zeros(n + 1, np.int32), np.arange(n + 1, dtype=np.int32) * -gap
+    best, place, came = 0, (0, 0), []
     for i in range(1, m + 1):
-        row = score[i]
-        np.maximum(score[i - 1, :-1] + np.where(doc == item[i - 1], 1, mismatch), score[i - 1, 1:] + gap, out=row[1:])
+        across = above[:-1] + np.where(doc == item[i - 1], 1, mismatch)
+        down = above[1:] + gap
+        row = np.zeros(n + 1, np.int32)
+        np.maximum(across, down, out=row[1:])
         np.maximum(row, 0, out=row)
         np.subtract(np.maximum.accumulate(row + ramp), ramp, out=row)
-    i, j = divmod(int(score.argmax()), n + 1)
-    best, end, equal = int(score[i, j]), j, 0
-    while i and j and score[i, j] > 0:
-        same = doc[j - 1] == item[i - 1]
-        if score[i, j] == score[i - 1, j - 1] + (1 if same else mismatch):
+        came.append((np.packbits(row[1:] == across), np.packbits(row[1:] == down)))
+        j = int(row.argmax())
+        if row[j] > best:
+            best, place = int(row[j]), (i, j)
+        above = row
+    (i, j), score, equal = place, best, 0
+    end = j
+    while i and j and score > 0:
+        at, bit = divmod(j - 1, 8)
+        if came[i - 1][0][at] >> (7 - bit) & 1:
+            same = doc[j - 1] == item[i - 1]
             equal += bool(same)
+            score -= 1 if same else mismatch
             i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + gap:
+        elif came[i - 1][1][at] >> (7 - bit) & 1:
+            score -= gap
             i -= 1
         else:
+            score -= gap
             j -= 1
     return best, equal, j, end
 
@@ -154,25 +166,40 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], n: int, coverage: float
     return docs.mapInArrow(run, SCHEMA)
 
 
-def _pairs(owner: np.ndarray, place: np.ndarray, which: np.ndarray, starts: np.ndarray, of: np.ndarray, at_word: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
-    """Document, item and sorted diagonals of the hits, one pair at a time; a piece holds about a million hits of whole documents."""
+def _pairs(owner: np.ndarray, place: np.ndarray, which: np.ndarray, starts: np.ndarray, of: np.ndarray, at_word: np.ndarray, piece: int = 1 << 20) -> Iterator[tuple[int, int, list[int]]]:
+    """Document, item and sorted diagonals of the hits, one pair at a time.
+
+    A seed that repeats in a document and in an item gives a hit for every two places, but no more diagonals than both
+    have words: about ``piece`` hits are written out at a time, and only their distinct diagonals stay.
+    """
     order = np.argsort(owner, kind="stable")
     owner, place, which = owner[order], place[order], which[order]
     many = starts[which + 1] - starts[which]
     total = np.cumsum(many)
-    begin = 0
+    kept: list[np.ndarray] = []  # of the last document so far, and its number
+    last, begin = -1, 0
     while begin < len(owner):
-        end = max(int(np.searchsorted(total, (total[begin - 1] if begin else 0) + (1 << 20), "right")), begin + 1)
-        end = int(np.searchsorted(owner, owner[end - 1], "right"))
+        end = max(int(np.searchsorted(total, (total[begin - 1] if begin else 0) + piece, "right")), begin + 1)
         m = many[begin:end]
         k = np.repeat(starts[which[begin:end]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        doc, item, diagonal = np.repeat(owner[begin:end], m), of[k], np.repeat(place[begin:end], m) - at_word[k]
-        by = np.lexsort((diagonal, item, doc))
-        doc, item, diagonal = doc[by], item[by], diagonal[by]
-        edges = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-        for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)], strict=True):
-            yield int(doc[x]), int(item[x]), np.unique(diagonal[x:y]).tolist()
+        doc, where = np.repeat(owner[begin:end], m), np.repeat(place[begin:end], m) - at_word[k]
+        key = of[k].astype(np.int64) << 32 | (where + (1 << 31))
+        cuts = np.flatnonzero(np.diff(doc)) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
+            if doc[x] != last:
+                yield from _diagonals(last, kept)
+                last, kept = int(doc[x]), []
+            kept = [np.unique(np.concatenate([*kept, key[x:y]]))]
         begin = end
+    yield from _diagonals(last, kept)
+
+
+def _diagonals(doc: int, kept: list[np.ndarray]) -> Iterator[tuple[int, int, list[int]]]:
+    for key in kept:
+        item, diagonal = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
+        edges = np.flatnonzero(np.diff(item)) + 1
+        for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+            yield doc, int(item[x]), diagonal[x:y].tolist()
 
 
 def _aligned(item: np.ndarray, doc: np.ndarray, diagonals: list[int], least: float) -> Iterator[tuple[int, int, int, int]]:
