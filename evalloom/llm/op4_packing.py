@@ -124,11 +124,13 @@ class Packer:
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segments: int = 64, loss: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segments: int | None = None, loss: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset of every piece.
 
-    All tokens of plain documents bear loss.
+    All tokens of plain documents bear loss.  Unless ``segments`` says otherwise a sequence takes as many pieces
+    as it has tokens, so that very short documents fill it too.
     """
+    segments = segments or tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
