@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import column, slices, table
@@ -32,6 +32,7 @@ LEVEL = 6
 MARGIN = 0.005
 #: The bounds of the sample: documents a language, dictionary bytes a language and in all.
 SAMPLE, DICTIONARY, ALL_DICTIONARIES = 256, 256 << 10, 64 << 20
+LANGUAGES, COLLECTED = 1024, 64 << 20  # labels that are learned, bytes of the sample that reach the driver
 PIECE = 256  # bytes of a piece of a text that is longer than its share
 
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -102,29 +103,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from rows with a label; per language at most ``sample`` distinct texts, those with the smallest hash of identifier and text.
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """Learn from rows with a label; per language at most ``sample`` distinct texts, those with the smallest hash.
 
     Counting is an aggregation with map-side combining; then a hash threshold per language lets only
     about twice the sample through, whatever the size of the table, and each text is thinned where it is read.
+    At most ``languages`` labels are learned, the most frequent ones, and at most about ``COLLECTED`` bytes are collected.
     """
     spark = df.sparkSession
-    rows = df.select(column(lang_col).alias("lang"), column(id_col).cast("string").alias("id"), column(text_col).alias("text")).where("lang is not null and text is not null")
-    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = df.select(column(lang_col).alias("lang"), column(text_col).alias("text")).where("lang is not null and text is not null")
+    named = F.xxhash64("text")
+    share = F.pmod(named, F.lit(1 << 30))
+    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(named).alias("texts")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = {r.lang: r.n for r in seen}
     if not counts:
         return Model([], [])
     size = min(DICTIONARY, ALL_DICTIONARIES // len(counts))
-    most = max(PIECE, 16 * size // sample)
+    most = max(PIECE, min(16 * size // sample, COLLECTED // (len(counts) * sample)))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raws = [spread(normal(t or ""), most) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(raws, pa.binary())], ["lang", "h", "raw"])
 
-    cut = spark.createDataFrame([(lang, int((1 << 30) * min(1.0, (2 * sample + 50) / n))) for lang, n in counts.items()], "lang string, cut long")
-    # One row for each language, each with a bounded expected number of documents.
-    picked = rows.join(F.broadcast(cut), "lang").where(share < F.col("cut")).select("lang", share.alias("h"), "text").mapInArrow(thin, "lang string, h long, raw binary").distinct()
+    cut = spark.createDataFrame([(r.lang, int((1 << 30) * min(1.0, (2 * sample + 50) / max(r.texts, 1)))) for r in seen], "lang string, cut long")
+    # One row for each language, each with a bounded expected number of distinct texts; copies are one text.
+    near = rows.join(F.broadcast(cut), "lang").where(share < F.col("cut")).select("lang", share.alias("h"), "text").mapInArrow(thin, "lang string, h long, raw binary").distinct()
+    picked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "raw"))).where(F.col("r") <= sample).drop("r")
     by: dict[str, list[tuple[int, bytes]]] = {}
     for r in picked.collect():
         by.setdefault(r.lang, []).append((r.h, bytes(r.raw)))
