@@ -13,7 +13,7 @@ File layout (little-endian)::
     footer   u64 index offset, u32 index size, u64 bloom offset, u32 bloom size, u32 blocks, u64 rows, u64 ids, 8 bytes magic
 
 A key is the identifier as 8 big-endian bytes with the sign bit flipped, so byte order is numeric
-order.  Equal identifiers keep all their rows, side by side, in order of their text's bytes.  A null
+order.  Equal identifiers keep all their rows, side by side, in order of a hash of their text.  A null
 identifier can't be looked up: it is stored after all others, under the largest key with a mark in its value,
 and read back as null.  A null text holds the end id alone.  Extra columns are ignored.
 Each task writes under a name of its own and only successful tasks reach the manifest, so retries
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -225,19 +226,26 @@ def is_unnamed(value: bytes) -> bool:
 
 
 def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode every text, write the shards and return the manifest (path, size, first_id, last_id, rows, ids), itself stored."""
+    """Encode every text, write the shards and return the manifest (path, size, first_id, last_id, rows, ids, seq: their order), itself stored.
+
+    Rows of one identifier, or of none, are dealt out by their text, and equal ones by where
+    they were read, so a hot one is the work of many tasks.
+    """
     spark = df.sparkSession
     n = shards or max(parts(spark), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, writer = encoder(tokenizer), struct.pack("<I", end_id), None
         system, where = _filesystem(folder)
+        number = TaskContext.get().partitionId() << 32
 
         def done() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
             rows, total = writer.rows, writer.ids
             writer.close()
             size = system.get_file_info(f"{where}/{path}").size
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "size": [size], "first_id": [first], "last_id": [last], "rows": [rows], "ids": [total]})
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "size": [size], "first_id": [first], "last_id": [last], "rows": [rows], "ids": [total], "seq": [number]})
 
         for b in slices(batches, 512):
             texts_ = enc.encode([t or "" for t in b.column("text").to_pylist()])
@@ -255,9 +263,9 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         if writer is not None:
             yield done()
 
-    named = id_text(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("doc_id").isNull().alias("void"), "text")
-    ordered = named.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "void", F.encode("text", "utf-8"))
-    manifest = ordered.mapInArrow(run, "path string, size long, first_id long, last_id long, rows long, ids long")
+    named = id_text(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("doc_id").isNull().alias("void"), F.xxhash64("text").alias("key"), F.spark_partition_id().alias("salt"), "text")
+    ordered = named.repartitionByRange(n, "doc_id", "void", "key", "salt").sortWithinPartitions("doc_id", "void", "key", "salt", F.encode("text", "utf-8"))
+    manifest = ordered.mapInArrow(run, "path string, size long, first_id long, last_id long, rows long, ids long, seq long")
     return materialise(manifest, "sst-manifest")
 
 
@@ -265,7 +273,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every entry, from the files."""
     spark = manifest.sparkSession
     # One row a shard: the running sum is over as many rows as there are files, not documents.
-    before = Window.orderBy("first_id", "last_id", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
