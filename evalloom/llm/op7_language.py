@@ -16,6 +16,7 @@ Rows stand alone; repeated rows get equal results, are learned from once, and ex
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,37 +105,49 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """Learn from rows with a label; per language at most ``sample`` distinct texts, those with the smallest hash.
+    """Learn from rows with a label; per language at most ``sample`` distinct texts, those with the smallest hash; copies only where these leave room.
 
     Counting is an aggregation with map-side combining; then a hash threshold per language lets only
     about twice the sample through, whatever the size of the table, and each text is thinned where it is read.
     At most ``languages`` labels are learned, the most frequent ones, and at most about ``COLLECTED`` bytes are collected.
     """
     spark = df.sparkSession
-    rows = df.select(column(lang_col).alias("lang"), column(text_col).alias("text")).where("lang is not null and text is not null")
-    named = F.xxhash64("text")
-    share = F.pmod(named, F.lit(1 << 30))
-    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(named).alias("texts")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    rows = df.select(column(lang_col).alias("lang"), column(id_col).cast("string").alias("id"), column(text_col).alias("text")).where("lang is not null and text is not null")
+    by_text, by_row = (F.pmod(F.xxhash64(*c), F.lit(1 << 30)) for c in (["text"], ["id", "text"]))
+    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(by_text).alias("texts")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     counts = {r.lang: r.n for r in seen}
     if not counts:
         return Model([], [])
     size = min(DICTIONARY, ALL_DICTIONARIES // len(counts))
-    most = max(PIECE, min(16 * size // sample, COLLECTED // (len(counts) * sample)))
+    most = max(PIECE, min(16 * size // sample, COLLECTED // (2 * len(counts) * sample)))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raws = [spread(normal(t or ""), most) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(raws, pa.binary())], ["lang", "h", "raw"])
 
-    cut = spark.createDataFrame([(r.lang, int((1 << 30) * min(1.0, (2 * sample + 50) / max(r.texts, 1)))) for r in seen], "lang string, cut long")
-    # One row for each language, each with a bounded expected number of distinct texts; copies are one text.
-    near = rows.join(F.broadcast(cut), "lang").where(share < F.col("cut")).select("lang", share.alias("h"), "text").mapInArrow(thin, "lang string, h long, raw binary").distinct()
-    picked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "raw"))).where(F.col("r") <= sample).drop("r")
-    by: dict[str, list[tuple[int, bytes]]] = {}
-    for r in picked.collect():
-        by.setdefault(r.lang, []).append((r.h, bytes(r.raw)))
+    def sampled(h: Column, n: str) -> list:
+        """About twice the sample's rows a language pass the threshold; the first of each row or text stay."""
+        cut = spark.createDataFrame([(r.lang, int((1 << 30) * min(1.0, (2 * sample + 50) / max(r[n], 1)))) for r in seen], "lang string, cut long")
+        near = rows.join(F.broadcast(cut), "lang").where(h < F.col("cut")).select("lang", h.alias("h"), "text").mapInArrow(thin, "lang string, h long, raw binary").distinct()
+        return near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "raw"))).where(F.col("r") <= sample).drop("r").collect()
+
+    by: dict[str, list[bytes]] = {}
+    for r in sorted(sampled(by_text, "texts"), key=lambda r: r.h):
+        by.setdefault(r.lang, []).append(bytes(r.raw))
+    if any(len(by[r.lang]) < min(sample, r.n) for r in seen if r.lang in by):
+        # What room there is goes to further copies.
+        copies: dict[str, list[bytes]] = {}
+        for r in sorted(sampled(by_row, "n"), key=lambda r: r.h):
+            copies.setdefault(r.lang, []).append(bytes(r.raw))
+        for lang, raws in copies.items():
+            held = Counter(by.setdefault(lang, []))
+            for raw in raws:
+                held[raw] -= 1
+                if held[raw] < 0 and len(by[lang]) < sample:
+                    by[lang].append(raw)
     order = sorted(by, key=lambda lang: (-counts[lang], lang))
-    return Model(order, [even([raw for _, raw in sorted(by[lang])[:sample]], size) for lang in order])
+    return Model(order, [even(by[lang], size) for lang in order])
 
 
 RESULT = ("lang_pred", "score", "rejected")
