@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,27 @@ def plans(spark: SparkSession, config: Coverage, size: int = 20) -> DataFrame:
     return spark.createDataFrame(rows, "batch_id string, parent string, idx int, standard int, adversarial int, difficulty map<string,int>, formats map<string,int>")
 
 
+def quota_batches(quotas: DataFrame, prefix: str, size: int = 20) -> DataFrame:
+    """batch_id, parent, idx, standard, adversarial: the batches of every quota (parent, standard, adversarial).
+
+    Parents are spread over tasks; a parent's batches follow each other, as each takes its share of what is left.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for parent, std, adv in zip(pdf.parent, pdf.standard, pdf.adversarial, strict=True):
+                index = 0
+                while std + adv > 0:
+                    index += 1
+                    a, b = share_split(std, adv, min(size, std + adv))
+                    std, adv = std - a, adv - b
+                    out.append((f"{prefix}_{parent}_{index:03d}", parent, index, a, b))
+            yield pd.DataFrame(out, columns=["batch_id", "parent", "idx", "standard", "adversarial"])
+
+    return quotas.select("parent", "standard", "adversarial").mapInPandas(run, "batch_id string, parent string, idx long, standard long, adversarial long")
+
+
 def deficits(quotas: DataFrame, actual: DataFrame, keys: list[str], target: str = "quota") -> DataFrame:
     """What each bucket lacks, and whether any bucket lacks something."""
     got = quotas.join(actual, keys, "left").fillna(0, ["actual"])

@@ -65,16 +65,21 @@ def batches(df: DataFrame, keys: list[str], size: int, *order: str | Column) ->
     return df.withColumn("batch", (F.floor(n / size) + 1).cast("long"))
 
 
+def seeded(seed: int, id_col: str) -> Column:
+    """A digest that orders rows at random, the same in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+
+
 def sample(df: DataFrame, n: int, seed: int, id_col: str, minimum: int = 0) -> DataFrame:
     """``n`` rows chosen by a seeded hash of the identifier; all rows of a table that is not larger."""
     size = df.count()
     if size <= max(n, minimum):
         return df
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+    return df.orderBy(seeded(seed, id_col), id_col).limit(n)
 
 
 def sample_by(df: DataFrame, keys: list[str], n: int, seed: int, id_col: str) -> DataFrame:
-    return top_k(df, keys, n, F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).drop("rank")
+    return top_k(df, keys, n, seeded(seed, id_col), F.col(id_col)).drop("rank")
 
 
 def running_id(df: DataFrame, key: str, order: str, alias: str = "running_id") -> DataFrame:

@@ -80,9 +80,17 @@ def corpus_enum_zh(spark, sf):
     return enum.withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query("vocabulary_seeds", "with z(i, x, a) as (values " + ", ".join(f"({i}, '{x}', {_list(a)})" for i, (x, a) in enumerate(lexicon.SEEDS_ZH)) + ") select 'tiny_tom_zh_' || lpad(i::varchar, 3, '0') id, x \"name\", array_to_string(list_sort(list_distinct(list_append(a, x))), ',') aliases, (1000 - i)::bigint frequency from z")
+@query("vocabulary_seeds", "with z(i, x, a) as (values " + ", ".join(f"({i}, '{x}', {_list(a)})" for i, (x, a) in enumerate(lexicon.SEEDS_ZH)) + """), s as (select 'tiny_tom_zh_' || lpad(i::varchar, 3, '0') id, x "name", list_sort(list_distinct(list_append(a, x))) l, (1000 - i)::bigint frequency from z),
+ d as (select text from documents union all select text from benchmark), n as (select id, count(*) held from s, d where len(list_filter(l, lambda v: contains(d.text, v))) > 0 group by 1)
+ select s.id, "name", array_to_string(l, ',') aliases, frequency, coalesce(held, 0) held from s left join n on n.id = s.id""")
 def vocabulary_seeds(spark, sf):
-    return vocab.seeds(spark, "zh").withColumn("aliases", F.array_join("aliases", ","))
+    """The fixed seeds, with the number of documents and test items that hold a seed or one of its aliases."""
+    seeds = vocab.seeds(spark, "zh")
+    names = seeds.collect()  # the fixed list
+    texts = read(spark, sf, "documents").select("text").unionByName(read(spark, sf, "benchmark").select("text"))
+    holds = F.array(*(F.when(F.exists(F.array(*map(F.lit, r.aliases)), lambda a: F.col("text").contains(a)), F.lit(r.id)) for r in names))
+    held = texts.where("text is not null").select(F.explode(F.array_compact(holds)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("held"))
+    return seeds.join(held, "id", "left").select("id", "name", F.array_join("aliases", ",").alias("aliases"), "frequency", F.coalesce("held", F.lit(0).cast("long")).alias("held"))
 
 
 # Terms of each category, and of none.

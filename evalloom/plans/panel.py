@@ -168,7 +168,9 @@ def designers_by_answerers(spark, sf):
     return pair.select(F.explode("d").alias("designer_model"), "a").select("designer_model", F.explode("a").alias("answer_model"))
 
 
-@query("scoring_profile")
+@query("scoring_profile", rf"""with {QUESTIONS}, g as (select question_id, question_id % 3 = 0 mcq, regexp_replace(coalesce(stem, ''), '^\s+|\s+$', '', 'g') g from v_questions),
+ n as (select *, len(regexp_extract_all(lower(g), '[\p{{L}}\p{{N}}\p{{M}}_]+')) t, len(list_filter(string_split_regex(g, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '')) s from g)
+ select question_id, case when mcq then 'mcq_exact' when regexp_matches(g, '^[\s\d\.,eE+\-*/^()]+$') then 'numeric_exact' when t <= 3 then 'symbolic_exact' when t > 80 or s > 3 then 'skip_core' else 'llm_judge' end profile from n""")
 def scoring_profile_query(spark, sf):
     q = views.questions(spark, sf)
     kind = F.when(F.col("question_id") % 3 == 0, "mcq_single").otherwise("open_ended")

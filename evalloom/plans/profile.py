@@ -199,13 +199,19 @@ def label_frequency(spark, sf):
     return read(spark, sf, "documents").select("doc_id", "source", "lang").join(labels, "doc_id", "left").groupBy("source", "lang", F.coalesce("quality", F.lit(-1)).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sample_deterministic")
+@query("sample_deterministic", f"with {ITEMS} select * from v_items order by md5('42:' || id::varchar), id limit case when (select count(*) from v_items) <= 200 then 1000000000 else 200 end")
 def sample_deterministic(spark, sf):
     """A seeded sample: choosing rows is what this operator is for."""
     return windows.sample(views.items(spark, sf), 200, 42, "id")
 
 
-@query("batch_plan")
+@query("batch_plan", f"""with recursive {QUESTIONS}, q as (select coalesce(super_parent, '') parent, count(*) filter (design_type = 'standard') s, count(*) filter (design_type = 'adversarial') a from v_questions group by 1),
+ b as (select parent, 0::bigint idx, s, a, 0::bigint standard, 0::bigint adversarial from q union all
+  select parent, idx + 1, s - (least(20, s + a) - greatest(x, 0)), a - x, least(20, s + a) - x, x from (select *, least(a, least(20, s + a) - least(s, round_even(least(20, s + a) * s::double / (s + a), 0)::bigint)) x from b where s + a > 0))
+ select 'quota_' || parent || '_' || case when idx < 1000 then lpad(idx::varchar, 3, '0') else idx::varchar end batch_id, parent, idx, standard, adversarial from b where idx > 0""")
 def batch_plan(spark, sf):
-    return planning.plans(spark, planning.CS_COVERAGE)
+    """Batches of 20 questions for as many questions of each parent and design as there are."""
+    one = lambda d: F.count(F.when(F.col("design_type") == d, 1))
+    quotas = views.questions(spark, sf).groupBy(F.coalesce("super_parent", F.lit("")).alias("parent")).agg(one("standard").alias("standard"), one("adversarial").alias("adversarial"))
+    return planning.quota_batches(quotas, "quota")
 

@@ -146,7 +146,7 @@ def running_id(spark, sf):
     return windows.running_id(read(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query("sample_per_source")
+@query("sample_per_source", "with r as (select doc_id, source, row_number() over (partition by source order by md5('42:' || doc_id::varchar), doc_id) k from documents) select doc_id, source from r where k <= 5")
 def sample_per_source(spark, sf):
     return windows.sample_by(read(spark, sf, "documents").select("doc_id", "source"), ["source"], 5, 42, "doc_id")
 
