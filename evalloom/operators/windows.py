@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.operators.lineage import cut
+from evalloom.operators.lineage import stored
 
 
 def first_by(df: DataFrame, keys: list[str | Column], *order: str | Column) -> DataFrame:
@@ -31,13 +31,19 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: str | Column) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+def numbered(df: DataFrame, keys: list[str], *order: str | Column, alias: str = "place") -> DataFrame:
+    """1-based places of the rows of each group in rising order, by ``running_id``: no task holds a group."""
+    named = df.withColumns({"_group": F.struct(*keys), "_order": F.struct(*order)})
+    return running_id(named, "_group", "_order", alias).drop("_group", "_order")
+
+
 def trim_over_quota(df: DataFrame, quotas: DataFrame, keys: list[str], quota: str, *easiest_first: str | Column, group: list[str] | None = None) -> DataFrame:
-    """Of a group (by default the quota's keys) above its quota, the first rows in the given order go."""
-    w = Window.partitionBy(*(group or keys))
-    n = F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(w.orderBy(*easiest_first))
-    rows = df.join(F.broadcast(quotas), keys)
-    return rows.withColumn("_n", n).withColumn("_r", rank).where(F.col("_r") > F.col("_n") - F.col(quota)).drop("_n", "_r", quota)
+    """Of a group (by default the quota's keys) above its quota, the first rows in the given rising order go."""
+    rows = df.join(quotas, keys)
+    placed = numbered(rows, group or keys, *easiest_first, alias="_r").withColumn("_g", F.struct(*(group or keys)))
+    sizes = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_g", "_group")
+    got = placed.join(sizes, F.col("_g").eqNullSafe(F.col("_group")))
+    return got.where(F.col("_r") > F.col("_n") - F.col(quota)).select(*(c for c in rows.columns if c != quota))
 
 
 def allocate(shares: DataFrame, group: list[str], share: str, total: Column, order: str, alias: str = "units") -> DataFrame:
@@ -60,9 +66,8 @@ def greedy_fill(df: DataFrame, group: list[str], need: str, capacity: Column, or
 
 
 def batches(df: DataFrame, keys: list[str], size: int, *order: str | Column) -> DataFrame:
-    """1-based batch numbers of fixed size within each group."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("batch", (F.floor(n / size) + 1).cast("long"))
+    """1-based batch numbers of fixed size within each group, in rising order."""
+    return numbered(df, keys, *order, alias="_r").withColumn("batch", (F.floor((F.col("_r") - 1) / size) + 1).cast("long")).drop("_r")
 
 
 def seeded(seed: int, id_col: str) -> Column:
@@ -89,7 +94,7 @@ def running_id(df: DataFrame, key: str, order: str, alias: str = "running_id") -
     counts of the ranges before are added.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(df.repartitionByRange(n, key, order).withColumn("_p", F.spark_partition_id()))
+    rows = stored(df.repartitionByRange(n, key, order).withColumn("_p", F.spark_partition_id()), "ranges")
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     counts = rows.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).withColumnRenamed(key, "_key").withColumnRenamed("_p", "_range")
     local = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p", key).orderBy(order)))
