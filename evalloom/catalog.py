@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evalloom.plans import agreement, corpus, neighbours, panel, profile, records, runs, texts, topup
+from evalloom.plans import agreement, corpus, items, neighbours, panel, profile, records, runs, texts, topup
 from evalloom.plans.registry import QUERIES, SQL
 
-MODULES = (profile, panel, texts, records, corpus, neighbours, agreement, runs, topup)
+MODULES = (profile, panel, texts, records, corpus, neighbours, agreement, runs, topup, items)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by(keys: str, *order: str) -> WindowSpec:
+    """A window over the rows of a key in order."""
+    return Window.partitionBy(keys).orderBy(*order)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"), F.col("lang").alias("language"), F.col("source").alias("domain"), "n_chars")
 
