@@ -109,7 +109,7 @@ def han_windows(c: Column, low: int = 2, high: int = 6) -> Column:
 
 def token_set(c: Column) -> Column:
     """Distinct ASCII alphanumeric tokens; non-Latin stems have none."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: x != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")), "")
 
 
 def bigrams(c: Column) -> Column:

@@ -88,7 +88,7 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
     joined = [rows[c].eqNullSafe(first[c]) for c in ("id", *keep)]
     sets = stored(rows.join(first, joined, "left_semi").drop("name"), "token-sets")
     drop(rows)
-    prefix = _prefixes(sets, keep, threshold)
+    prefix = stored(_prefixes(sets, keep, threshold), "prefixes")  # both sides of the join read it
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("n")
     sized = prefix.withColumn("band", band)
     named = lambda s: [F.col("id").alias(f"i{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}")]
