@@ -118,7 +118,8 @@ def token_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def term_classes(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", term: str = "term") -> DataFrame:
     """id, representative: one row a document, with the smallest id of those that hold the same terms equally often; documents without terms represent themselves."""
     tf = terms.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
-    keys = tf.groupBy(doc).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(term, "tf")))), 256).alias("_k"))
+    # A document's terms are distinct, so the exclusive or of their hashes names the set, whatever their order.
+    keys = tf.groupBy(doc).agg(F.struct(F.bit_xor(F.xxhash64(term, "tf")).alias("x"), F.bit_xor(F.xxhash64(F.lit("name"), term, "tf")).alias("y"), F.count(F.lit(1)).alias("n")).alias("_k"))
     first = keys.groupBy("_k").agg(F.min(doc).alias("representative"))
     named = keys.join(first, "_k").select(F.col(doc).alias("id"), "representative")
     return docs.select(F.col(doc).alias("id")).join(named, "id", "left").select("id", F.coalesce("representative", "id").alias("representative"))

@@ -8,7 +8,7 @@ from evalloom.functions import arrays as A
 from evalloom.functions import jsonx as J
 from evalloom.functions import mathx as M
 from evalloom.functions import text as T
-from evalloom.operators import similarity, stability, taxonomy, views, vocab
+from evalloom.operators import lineage, similarity, stability, taxonomy, views, vocab
 from evalloom.operators.views import QUESTIONS, read
 from evalloom.plans.registry import query
 
@@ -72,8 +72,9 @@ def _vectors(spark, sf):
 
 def _tfidf_pairs(spark, sf):
     docs, terms, classes = _vectors(spark, sf)
+    classes = lineage.stored(classes, "classes")
     first = classes.select(F.col("representative").alias("doc_id")).distinct()
-    return similarity.cosine_pairs(similarity.tfidf(terms, n_docs=docs.count()).join(first, "doc_id", "left_semi"), 0.955)
+    return similarity.cosine_pairs(similarity.tfidf(terms, n_docs=docs.count()).join(first, "doc_id", "left_semi"), 0.955), classes
 
 
 @query("tfidf_pairs", f"""with {VECTORS}, w as (select doc_id, p.term, p.n * (ln((1.0::double + c.n) / (1.0::double + df)) + 1.0::double) w from p join f on f.term = p.term, c),
@@ -81,7 +82,7 @@ def _tfidf_pairs(spark, sf):
  select x.doc_id a, y.doc_id b, round(sum(x.w * y.w), 6) cosine from u x join u y on x.term = y.term and x.doc_id < y.doc_id group by 1, 2 having round(sum(x.w * y.w), 6) >= 0.955::double""")
 def tfidf_pairs(spark, sf):
     """Pairs of distinct vectors by TF-IDF cosine; documents with equal vectors are represented by the first (see tfidf_members)."""
-    return _tfidf_pairs(spark, sf)
+    return _tfidf_pairs(spark, sf)[0]
 
 
 @query("tfidf_members", f"with {VECTORS} select d.doc_id id, case when k is null then d.doc_id else min(d.doc_id) over (partition by k) end representative from documents d left join v on v.doc_id = d.doc_id")
@@ -91,7 +92,7 @@ def tfidf_members(spark, sf):
 
 @query("tfidf_near_dup_drop")
 def tfidf_near_dup_drop(spark, sf):
-    return similarity.greedy_drop(_tfidf_pairs(spark, sf), _vectors(spark, sf)[2])
+    return similarity.greedy_drop(*_tfidf_pairs(spark, sf))
 
 
 @query("deduplication_rate")
