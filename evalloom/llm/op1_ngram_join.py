@@ -268,13 +268,16 @@ class Histograms:
         return ~far(counts, self.sizes, self.fold(hist, cells), size, num, den)
 
     def linked(self, num: int, den: int) -> np.ndarray:
-        """Which may link with another one of the chunk.  Those near the centre, which comes first, need no more than that."""
+        """Which may link with another one of the chunk.  Those near the centre, which comes first, need no more than that.
+
+        The centre stays with any other that does, near to it or not: differences are taken from its row.
+        """
         out = ~far(self.counts, self.sizes, self.counts[0], int(self.sizes[0]), num, den)
-        out[0] = bool(out[1:].any())
         for i in np.flatnonzero(~out[1:]) + 1:
             near = ~far(self.counts, self.sizes, self.counts[i], int(self.sizes[i]), num, den)
             near[i] = False
             out[i] = bool(near.any())
+        out[0] = bool(out[1:].any())
         return out
 
 

@@ -83,6 +83,25 @@ def test_join_finds_every_component(spark, k, num, den):
     assert len({c for _, c in want.values()}) < len(want) - 40
 
 
+def test_members_link_where_the_centre_is_far(spark):
+    """Texts of a family that share a signature with a far centre: differences are still taken from the centre."""
+    rng = random.Random(0)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(2000)}" for _ in range(rng.choice([8, 12, 16, 25, 40, 80]))]
+        for _ in range(rng.randrange(4, 12)):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 2, len(t) // 4, len(t) // 3])):
+                t[rng.randrange(len(t))] = f"v{rng.randrange(5)}"
+            texts.append(" ".join(t))
+    data = dict(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_ngram_join.link(documents(spark, list(data.items()))).collect()}
+    assert got == brute_components(data, 4, 85, 100)
+    far, near = (op1_ngram_join.histogram(np.arange(n, dtype=np.uint64) * np.uint64(step) << np.uint64(40)) for n, step in ((40, 32), (40, 1)))
+    assert op1_ngram_join.Histograms([far, near, near], [40, 40, 40]).linked(85, 100).tolist() == [True, True, True]
+    assert not op1_ngram_join.Histograms([far, near], [40, 40]).linked(85, 100).any()
+
+
 def test_split_stars_lose_no_link(spark, monkeypatch):
     """Chunks of about two members, so that links between strays of different chunks matter."""
     rng = random.Random(7)
