@@ -20,12 +20,12 @@ ENUM = f"{TERMS}, c as (select count(*) n from documents), e as (select term, tf
 
 @query("term_df", f"with {TERMS} select * from f")
 def term_df(spark, sf):
-    return vocab.frequencies(vocab.terms(read(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    return vocab.word_frequencies(read(spark, sf, "documents"), "doc_id", "text")
 
 
 def _enum(spark, sf):
     docs = read(spark, sf, "documents")
-    return vocab.micro_enum(vocab.frequencies(vocab.terms(docs, "doc_id", "text"), "doc_id"), docs.count(), STOP)
+    return vocab.micro_enum(vocab.word_frequencies(docs, "doc_id", "text"), docs.count(), STOP)
 
 
 @query("micro_enum", f"with {ENUM} select row_number() over (order by tf desc, term) rank, term \"name\", tf frequency, left(sha256(term), 16) id from e")
@@ -308,4 +308,4 @@ def anchored_terms(spark, sf):
 def anchored_terms_all(spark, sf):
     """anchored_terms over the whole enum."""
     names = [r.name for r in _enum(spark, sf).orderBy("rank").collect()]
-    return read(spark, sf, "documents").select("doc_id", F.size(vocab.anchored(F.array(*map(F.lit, names)), F.col("text"))).cast("long").alias("anchored"))
+    return read(spark, sf, "documents").select("doc_id", vocab.held_terms(names)(F.col("text")).alias("anchored"))

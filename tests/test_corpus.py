@@ -75,3 +75,21 @@ def test_answer_record_defaults(spark):
     df = spark.createDataFrame([("q1", None, "boom")], "id string, is_correct boolean, call_error string")
     got = responses.answer_record(df, "set", {"key": "d", "model": "m"}, {"key": "a", "name": "n"}).first()
     assert (got.dataset, got.designer_model, got.question_id, got.is_correct, got.soft_score, got.gold_answer) == ("set", "m", "q1", False, 0.0, None)
+
+
+ODD = [(1, "Cats cat_s  class_ the__cats Şırnak İs ab's été", "x"), (2, None, "x"), (3, "記憶體 内存s 小明_x cats cats", "x"), (4, "", "x"), (1, "cats ss s' ²x Ⅷ", "x"), (None, "cats dogs", "x")]
+
+
+def test_words_of_repeated_identifiers_count_once(spark, monkeypatch):
+    df = spark.createDataFrame([*ODD, (None, "dogs", "x"), (1, "cats", "x")], "doc_id int, text string, source string")
+    want = sorted(vocab.frequencies(vocab.terms(df, "doc_id", "text"), "doc_id").collect())
+    for held in (1, 1000):
+        monkeypatch.setattr(vocab, "HELD", held)
+        assert sorted(vocab.word_frequencies(df, "doc_id", "text").collect()) == want
+
+
+def test_names_within_words(spark):
+    texts = ["Concatenate the CATS", "cat-s", None, "", "x" * 70 + "cat" + "y" * 70, "ca t1"]
+    names = ["cat", "cats", "ate", "xc", "t1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", vocab.held_terms(names)(F.col("text")).alias("n")).collect()
+    assert {r.text: r.n for r in rows} == {t: sum(n in (t or "").lower() for n in names) for t in texts}
