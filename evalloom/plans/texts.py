@@ -300,7 +300,7 @@ def normalize_text_functions(spark, sf):
  select doc_id, len(list_filter(l, lambda x: contains(s, x))) anchored from d, top""")
 def anchored_terms(spark, sf):
     top = [r.name for r in _enum(spark, sf).where("rank <= 40").orderBy("rank").collect()]
-    return read(spark, sf, "documents").select("doc_id", F.size(vocab.anchored(F.array(*map(F.lit, top)), F.col("text"))).cast("long").alias("anchored"))
+    return read(spark, sf, "documents").select("doc_id", vocab.held_terms(top)(F.col("text")).alias("anchored"))
 
 
 @query("anchored_terms_all", f"""with {ENUM}, d as (select doc_id, lower(text) s from documents), l as (select list(term) l from e)
