@@ -1,5 +1,6 @@
 """Pairs, components and greedy leaders against plain passes."""
 
+import math
 import random
 import re
 
@@ -70,3 +71,28 @@ def test_jaccard_pairs(spark, threshold, monkeypatch):
     for i, t, _ in texts:
         s = frozenset(re.findall("[a-z0-9]+", (t or "").lower()))
         assert members[i] == (by.setdefault(s, i) if s else i)
+
+
+@pytest.mark.parametrize("cell", [4, 4096])
+def test_cosine_pairs_of_a_large_group(spark, monkeypatch, cell):
+    """A group of near copies in one cell and cut into many, terms known to tasks and joined, identifiers of several rows; pairs are not joined with terms."""
+    monkeypatch.setattr(similarity, "CELL", cell)
+    monkeypatch.setattr(similarity, "WEIGHED", 3)
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(60)]
+    texts = [(k, " ".join(words[:50] + rng.sample(words, 2))) for k in range(40)] + [(k, " ".join(rng.sample(words, 9))) for k in range(40, 60)] + [(5, "w1 w2"), (70, None), (71, "")]
+    whole = {}
+    for i, t in texts:
+        whole.setdefault(i, []).extend((t or "").split())
+    df = {w: sum(w in t for t in whole.values()) for w in words}
+    vec = {i: {w: t.count(w) * (math.log((1 + len(whole)) / (1 + df[w])) + 1) for w in set(t)} for i, t in whole.items()}
+    dot = lambda a, b: sum(x * vec[b].get(w, 0) for w, x in vec[a].items())
+    kept = {min(j for j in vec if whole[i] and vec[i] == vec[j]) for i in vec if whole[i]}
+    want = {(a, b): dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) for a in kept for b in kept if a < b and round(dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), 6) >= 0.955}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    counts = similarity.term_counts(docs, "doc_id", "text")
+    classes = similarity.term_classes(docs, counts)
+    got = similarity.cosine_pairs(counts, len(whole), classes.where("id <> representative").select("id").distinct(), 0.955)
+    rows = got.collect()
+    assert {(r.a, r.b): r.cosine for r in rows} == pytest.approx(want, abs=1e-6) and len(rows) == len(want) > 300
+    assert "Generate" not in classes._jdf.queryExecution().executedPlan().toString()
