@@ -127,7 +127,8 @@ def hashed_sets(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> D
 
 
 def _prefixes(sets: DataFrame, keep: list[str], threshold: float) -> DataFrame:
-    """token, id, n, pos (from 1) of each set's prefix in a common order of tokens, rare ones first, with the three tokens before it.
+    """token, id, n, pos (from 1) of each set's prefix in a common order of tokens, rare ones first, with the token before it and 128 bits
+    of the whole set, each the parity of the tokens that fall on it: sets differ in as many tokens as bits at least.
 
     The ``FREQUENT`` most frequent tokens come last, by their number; the others, by their hash.
     """
@@ -150,11 +151,12 @@ def _prefixes(sets: DataFrame, keep: list[str], threshold: float) -> DataFrame:
             inside = pos <= most[row]
             owner = row[by][inside]
             cells = [b.column(c).take(pa.array(owner)) for c in ("id", *keep)]
-            token = flat[by][inside]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(token, pa.int64()), pa.array(size[owner], pa.int32()), pa.array(pos[inside], pa.int32()), *_before(token, owner)], ["id", *keep, "token", "n", "pos", "b0", "b1", "b2"])
+            token, one = flat[by][inside], np.left_shift(np.int64(1), flat & 63)
+            bits = [np.bitwise_xor.reduceat(np.where((flat >> 6) & 1 == half, one, 0), np.cumsum(size) - size) for half in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(token, pa.int64()), pa.array(size[owner], pa.int32()), pa.array(pos[inside], pa.int32()), *_before(token, owner, 1), *(pa.array(x[owner], pa.int64()) for x in bits)], ["id", *keep, "token", "n", "pos", "b0", "h0", "h1"])
 
     kinds = dict(sets.dtypes)
-    return sets.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep)) + ", token long, n int, pos int, b0 long, b1 long, b2 long")
+    return sets.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep)) + ", token long, n int, pos int, b0 long, h0 long, h1 long")
 
 
 def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, group: str | None = None) -> DataFrame:
@@ -177,14 +179,16 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
     prefix = stored(_prefixes(sets, keep, threshold), "prefixes")  # both sides of the join read it
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("n")
     sized = prefix.withColumn("band", band)
-    named = lambda s: [F.col("id").alias(f"i{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), *(F.col(f"b{k}").alias(f"{s}{k}") for k in range(3))]
+    named = lambda s: [F.col("id").alias(f"i{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("b0").alias(f"{s}0"), *(F.col(f"h{k}").alias(f"h{s}{k}") for k in range(2))]
     x = sized.select(*keep, "token", "band", *named("x"))
     near_bands = F.array("band", F.col("band") - 1) if threshold < 1 else F.array("band")
     y = sized.select(*keep, "token", F.explode(near_bands).alias("band"), *named("y"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("ix") < F.col("iy")))
     alike = F.col("nx") >= F.col("ny") * (threshold - 1e-9)
     enough = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= (F.col("nx") + F.col("ny")) * (threshold / (1 + threshold)) - 1e-6
-    near = x.join(y, ["token", "band", *keep]).where(smaller & alike & enough & _unlike())
+    differ = sum(F.bit_count(F.col(f"hx{k}").bitwiseXOR(F.col(f"hy{k}"))) for k in range(2))
+    few = differ <= (F.col("nx") + F.col("ny")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    near = x.join(y, ["token", "band", *keep]).where(smaller & alike & enough & few & _unlike(1))
     pairs = near.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"))
     million = round(threshold * 1_000_000)
 
