@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.operators.lineage import cut
+from evalloom.operators.vocab import repeated
 
 SAMPLE = 16_384
 MEMBERS = 1024
@@ -25,10 +26,11 @@ CELL = 4096
 
 @dataclass
 class Index:
-    """rows: id, vector (unit length), list; centre: one row a list."""
+    """rows: id, vector (unit length), list; centre: one row a list; size: number of rows."""
 
     rows: DataFrame
     centre: np.ndarray
+    size: int
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -72,20 +74,22 @@ def closest(data: np.ndarray, centre: np.ndarray, step: int = 4096) -> np.ndarra
 
 def build(base: DataFrame, id_col: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, members: int = MEMBERS) -> Index:
     rows = unit(base, id_col, vector)
-    centre = centroids(rows, rows.count(), sample, members)
+    size = rows.count()
+    centre = centroids(rows, size, sample, members)
     shared = base.sparkSession.sparkContext.broadcast(centre)  # at most sample / 16 rows
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array(closest(matrix(b.column("vector")), shared.value), pa.int32())], ["id", "vector", "list"])
 
-    return Index(cut(rows.mapInArrow(assign, f"id {dict(rows.dtypes)['id']}, vector array<double>, list int")), centre)
+    return Index(cut(rows.mapInArrow(assign, f"id {dict(rows.dtypes)['id']}, vector array<double>, list int")), centre, size)
 
 
 def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", share: float = 0.65, exact: bool = False, others: bool = True, cell: int = CELL) -> DataFrame:
     """query, neighbour, similarity, rank of the ``k`` nearest by cosine, rounded to 6 places, ties to the smaller identifier.
 
-    ``others``: queries and rows share their identifiers, and a row is not its own neighbour.
+    ``others``: queries and rows share their identifiers, and a row is not its own neighbour.  An index of one cell whose
+    lists are all probed is sent to the queries, which then are not shuffled.
     """
     asked = unit(queries, id_col, vector)
     probed = len(index.centre) if exact else max(1, round(share * len(index.centre)))
@@ -98,8 +102,9 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, probed), pa.int32()), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), lists], ["id", "vector", "lists"])
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+    def best(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in ``left``, identifier in ``right``, similarity; nearest first within a place."""
+        out: list[list] = [[np.zeros(0, np.int64)], [], []]
         if left.num_rows and right.num_rows:
             q, x = matrix(left.column("vector")), matrix(right.column("vector"))
             q_id, x_id = left.column("id").to_numpy(), right.column("id").to_numpy()
@@ -114,13 +119,33 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
                     at = np.flatnonzero(row >= most)
                     at = at[np.argsort(-row[at], kind="stable")][:k]
                     at = at[row[at] > -np.inf]
-                    for cells, value in zip(out, (np.full(len(at), q_id[s + i]), x_id[at], row[at]), strict=True):
+                    for cells, value in zip(out, (np.full(len(at), s + i), x_id[at], row[at]), strict=True):
                         cells.append(value)
-        kinds = [left.schema.field("id").type, right.schema.field("id").type, pa.float64()]
-        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds, strict=True)], ["query", "neighbour", "similarity"])
+        return tuple(np.concatenate(c) if c else np.zeros(0) for c in out)
+
+    def named(left: pa.Table, right: pa.Table, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[pa.Array]:
+        return [left.column("id").combine_chunks().take(pa.array(found[0], pa.int64())), pa.array(list(found[1]), right.schema.field("id").type), pa.array(found[2], pa.float64())]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays(named(left, right, best(left, right)), ["query", "neighbour", "similarity"])
 
     if not len(index.centre):
         return asked.limit(0).select(F.col("id").alias("query"), F.lit(None).cast(to).alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("rank"))
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
+    if index.size <= cell and probed == len(index.centre):
+        whole = queries.sparkSession.sparkContext.broadcast(index.rows.select("id", "vector").toArrow())  # at most ``cell`` rows
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                left = pa.Table.from_batches([b])
+                found = best(left, whole.value)
+                rank = np.arange(1, len(found[0]) + 1) - np.searchsorted(found[0], found[0])
+                yield pa.RecordBatch.from_arrays([*named(left, whole.value, found), pa.array(rank, pa.int64())], ["query", "neighbour", "similarity", "rank"])
+
+        found = asked.mapInArrow(nearest, f"query {of}, neighbour {to}, similarity double, rank long")
+        if repeated(asked.select("id"), "id") is None:
+            return found
+        return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     one = asked.mapInArrow(probe, f"id {of}, vector array<double>, lists array<int>").select("id", "vector", F.explode("lists").alias("list"))
     parts = lambda df, n: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias(n))
     plan = F.broadcast(parts(index.rows, "chunks").join(parts(one, "crowds"), "list"))  # a row a list
@@ -130,5 +155,4 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     right = index.rows.join(plan, "list").select("list", every("crowds").alias("crowd"), dealt("chunks").alias("chunk"), "id", "vector")
     key = ["list", "crowd", "chunk"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, f"query {of}, neighbour {to}, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from evalloom.operators import ivf, leaders, similarity, vocab
+from evalloom.operators.lineage import cut
 from evalloom.operators.views import read
 from evalloom.plans.registry import query
 from evalloom.plans.texts import ENUM, STOP
@@ -30,12 +31,13 @@ def ivf_probed(spark, sf):
 def _term_vectors(spark, sf):
     """name, embedding: the mean vector of the items that hold a term of the micro-enum."""
     docs = read(spark, sf, "documents")
-    terms = vocab.terms(docs, "doc_id", "text")
-    enum = vocab.micro_enum(vocab.frequencies(terms, "doc_id"), docs.count(), STOP)
-    held = terms.join(F.broadcast(enum.select(F.col("name").alias("term"))), "term").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))  # the enum has 400 names at most
+    names = [r.name for r in vocab.micro_enum(vocab.word_frequencies(docs, "doc_id", "text"), docs.count(), STOP).collect()]  # 400 at most
+    places = docs.select("doc_id", vocab.places(names)(F.col("text")).alias("places")).where("size(places) > 0")
+    held = places.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))  # texts of one identifier are one item
     items = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    mean = held.join(items, "doc_id").select(F.explode("terms").alias("name"), "v").groupBy("name").agg(Summarizer.mean(F.col("v")).alias("v"))
-    return mean.select("name", vector_to_array("v").alias("embedding"))
+    mean = held.join(items, "doc_id").select(F.explode("places").alias("place"), "v").groupBy("place").agg(Summarizer.mean(F.col("v")).alias("v"))
+    name = F.element_at(F.array(*map(F.lit, names)).cast("array<string>"), F.col("place") + 1)
+    return cut(mean.select(name.alias("name"), vector_to_array("v").alias("embedding")))  # a row a name, read three times
 
 
 @query("item_glossary", f"""with {ENUM}, h as (select p.doc_id, p.term from p join e on e.term = p.term), x as (select vec_id, unnest(embedding)::double c, generate_subscripts(embedding, 1) i from embeddings),

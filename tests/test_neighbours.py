@@ -57,6 +57,17 @@ def test_names_and_empty_tables(spark):
     assert ivf.search(ivf.build(base, "name"), items.where(F.lit(False)), 3).collect() == []
 
 
+def test_small_index_shuffles_no_query(spark, cloud):
+    """An index of one cell is sent to the queries; the result is that of the cells, with repeated identifiers too."""
+    base = table(spark, cloud).where("vec_id < 300")
+    items = table(spark, cloud).union(table(spark, cloud).where("vec_id = 7").selectExpr("8L", "embedding"))
+    index = ivf.build(base)
+    for asked, others in ((items, False), (items.where("vec_id % 9 = 2"), True)):
+        got, want = (ivf.search(index, asked, 4, exact=True, others=others, cell=c) for c in (4096, 100))
+        assert sorted(map(tuple, got.select("query", "similarity", "rank").collect())) == sorted(map(tuple, want.select("query", "similarity", "rank").collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def sequential(rows, threshold):
     """(group, id, frequency, vector): the pass one after the other."""
     out = {}
