@@ -75,14 +75,20 @@ def score(qtype: Column, gold: Column, gold_set: Column, pred: Column, pred_set:
 
 def score_open_ended(pred: Column, gold: Column, aliases: dict[str, str] | None = None) -> Column:
     """Number, expression, term with aliases, or share of the definition's words."""
-    p, g = normalize_text(pred), normalize_text(gold)
-    np_, ng = extract_numeric(pred), extract_numeric(gold)
-    named = F.lit(False)
-    for a, b in (aliases or {"ram": "random access memory", "os": "operating system"}).items():
-        named = named | ((p == a) & (g == b)) | ((p == b) & (g == a))
-    long_words = F.array_distinct(F.filter(F.split(g, r"\W+"), lambda w: F.length(w) > 3))
-    share = F.coalesce(F.try_divide(F.size(F.filter(long_words, lambda w: F.contains(p, w))), F.size(long_words)), F.lit(0.0))
-    return F.when(g.rlike(NUMERIC_TEXT) & np_.isNotNull() & ng.isNotNull(), close(np_, ng)).when((p == g) | named, True).otherwise((F.size(long_words) >= 3) & (share >= 0.6))
+
+    def judge(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        np_, ng = extract_numeric(pred), extract_numeric(gold)
+        named = F.lit(False)
+        for a, b in (aliases or {"ram": "random access memory", "os": "operating system"}).items():
+            named = named | ((p == a) & (g == b)) | ((p == b) & (g == a))
+        long_words = F.array_distinct(F.filter(F.split(g, r"\W+"), lambda w: F.length(w) > 3))
+        # Bound, so that the words are found once, and their share once a text.
+        enough = F.transform(F.array(long_words), lambda ws: (F.size(ws) >= 3) & (F.coalesce(F.try_divide(F.size(F.filter(ws, lambda w: F.contains(p, w))), F.size(ws)), F.lit(0.0)) >= 0.6))[0]
+        return F.when(g.rlike(NUMERIC_TEXT) & np_.isNotNull() & ng.isNotNull(), close(np_, ng)).when((p == g) | named, True).otherwise(enough)
+
+    # Bound, so that texts are normalised once and not for each word.
+    return F.transform(F.array(F.struct(normalize_text(pred).alias("p"), normalize_text(gold).alias("g"))), judge)[0]
 
 
 def legacy_score(qtype: Column, method: Column, gold: Column, pred: Column) -> Column:
