@@ -18,7 +18,7 @@ from evalloom.functions.text import token_set
 from evalloom.operators import ivf
 from evalloom.operators.components import connected
 from evalloom.operators.lineage import stored
-from evalloom.operators.vocab import repeated
+from evalloom.operators.vocab import HELD, repeated
 
 
 def tfidf(terms: DataFrame, doc: str = "doc_id", term: str = "term", n_docs: int | Column | None = None) -> DataFrame:
@@ -501,13 +501,51 @@ def bigram_matrix(a: list[str], b: list[str]) -> np.ndarray:
     return sim
 
 
-def _soft(a: list[str], b: list[str], threshold: float = 0.8, step: int = 1024) -> float:
-    """Soft Jaccard of two lists; the matrix is made ``step`` rows at a time and only its edges are kept."""
+class _Grams(dict):
+    """Bigrams of a word, and names of their parts; emptied at ``HELD`` words.
+
+    Sets of n bigrams or more that are alike by ``threshold`` differ in at most k = n * (1 / threshold - 1) bigrams, so that of k + 1 parts
+    (by hash) one is equal.  The smaller of the two sets gives n, so a word's parts are named for every k that a smaller set may give.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+
+    def __missing__(self, word: str) -> tuple[frozenset[str], list[int]]:
+        if len(self) >= HELD:
+            self.clear()
+        g = frozenset([word[i : i + 2] for i in range(len(word) - 1)])
+        differ = lambda n: int(n * (1 / self.threshold - 1) + 1e-9)
+        names = []
+        for k in range(differ(math.ceil(self.threshold * len(g) - 1e-9)), differ(len(g)) + 1) if g else ():
+            parts: list[list[str]] = [[] for _ in range(k + 1)]
+            for x in g:
+                parts[hash(x) % (k + 1)].append(x)
+            names += [hash((k, i, frozenset(part))) for i, part in enumerate(parts)]
+        got = self[word] = g, names
+        return got
+
+
+def _soft(a: list[str], b: list[str], threshold: float = 0.8, grams: _Grams | None = None) -> float:
+    """Soft Jaccard of two lists; only words that are equal or share a part of their bigrams are compared."""
+    grams = _Grams(threshold) if grams is None else grams
+    where: dict[int, list[int]] = {}
+    same: dict[str, list[int]] = {}
+    y = [grams[t] for t in b]
+    for j, (_, names) in enumerate(y):
+        same.setdefault(b[j], []).append(j)
+        for x in names:
+            where.setdefault(x, []).append(j)
     edges = []
-    for k in range(0, len(a) if b else 0, step):
-        sim = bigram_matrix(a[k : k + step], b)
-        i, j = np.nonzero(sim >= threshold)
-        edges += zip((i + k).tolist(), j.tolist(), sim[i, j].tolist(), strict=True)
+    for i, word in enumerate(a):
+        g, names = grams[word]
+        near = dict.fromkeys(same.get(word, ()), 1.0)
+        for x in names:
+            for j in where.get(x, ()):
+                if j not in near:
+                    both = len(g & y[j][0])
+                    near[j] = both / (len(g) + len(y[j][0]) - both)
+        edges += [(i, j, near[j]) for j in sorted(near) if near[j] >= threshold]
     hits = _hits(edges)
     return hits / (len(a) + len(b) - hits) if a and b else 0.0
 
@@ -515,7 +553,8 @@ def _soft(a: list[str], b: list[str], threshold: float = 0.8, step: int = 1024)
 @F.pandas_udf(DoubleType())
 def soft_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     """Soft Jaccard of two lists of terms, by bigram similarity."""
-    return pd.Series([_soft(list(x if x is not None else []), list(y if y is not None else [])) for x, y in zip(a, b, strict=True)], dtype="float64")
+    grams = _Grams(0.8)
+    return pd.Series([_soft(list(x if x is not None else []), list(y if y is not None else []), grams=grams) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def kmeans(df: DataFrame, k: int = 50, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding", sample: int = ivf.SAMPLE) -> DataFrame:

@@ -176,6 +176,17 @@ def test_soft_jaccard_uses_whole_lists(spark, tmp_path):
         assert got[i] == pytest.approx(hits / (len(a) + len(b) - hits) if a and b else 0.0, abs=1e-6)
 
 
+def test_soft_jaccard_compares_words_that_share_bigrams(monkeypatch):
+    """The matrix is not built; hits are those of the whole matrix."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 5, 8, 13])))
+    cases = [([word() for _ in range(rng.randint(0, 40))], [word() for _ in range(rng.randint(0, 40))]) for _ in range(60)]
+    cases += [(["abcdefghij", "x", ""], ["abcdefghik", "x", "", "y"]), (["abcde", "abcdef"], ["abcdeg", "abcde"])]
+    want = [similarity.soft_jaccard_value(similarity.bigram_matrix(a, b)) for a, b in cases]
+    monkeypatch.setattr(similarity, "bigram_matrix", None)
+    assert [similarity._soft(a, b) for a, b in cases] == want
+
+
 def test_open_ended_normalises_a_text_once(spark):
     """Within the share of words the prediction stands as a bound value, not as its chain of replacements."""
     rows = [("a big memory unit", "Big memory unit here."), ("x", "big memory unit"), ("os", "Operating  System!"), ("7.00001", "7"), ("8", "7"), ("n", "1e5 + 2"), ("The cat", "the cat."), ("ab cd", "ab cd ef"), ("", "")]
