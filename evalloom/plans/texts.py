@@ -48,8 +48,9 @@ def canonicalize_exact_alias(spark, sf):
  s as (select label, "name", round(len(list_intersect(gl, gn)) / len(list_distinct(list_concat(gl, gn))), 6) similarity from g, h),
  r as (select *, row_number() over (partition by label order by similarity desc, "name") k from s where similarity >= 0.7) select label, "name" canonical, similarity from r where k = 1""")
 def canonicalize_fuzzy(spark, sf):
-    labels = vocab.terms(read(spark, sf, "documents"), "doc_id", "text").select(F.col("term").alias("label")).where("length(label) >= 2")
-    return vocab.fuzzy(labels, _enum(spark, sf), 0.7)
+    docs = read(spark, sf, "documents")
+    freq = lineage.stored(vocab.word_frequencies(docs, "doc_id", "text"), "frequencies")  # a row a term: labels and enum
+    return vocab.fuzzy(freq.select(F.col("term").alias("label")).where("length(label) >= 2"), vocab.micro_enum(freq, docs.count(), STOP), 0.7)
 
 
 @query("tfidf_weights", f"""with {TERMS}, c as (select count(distinct doc_id) n from t), w as (select doc_id, p.term, p.n tf, df, p.n * (ln((1.0::double + c.n) / (1.0::double + df)) + 1.0::double) w from p join f on f.term = p.term, c),

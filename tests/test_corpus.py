@@ -5,6 +5,7 @@ import os.path
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom.functions import text as T
 from evalloom.operators import context, lexicon, responses, vocab
 
 
@@ -70,6 +71,21 @@ def test_labels_do_not_shuffle_barred_terms(spark):
     assert "df" in plan[plan.index("Union") :] and "Filter" in plan[plan.index("Union") :].split("Aggregate")[0]
 
 
+def test_fuzzy_compares_within_the_row(spark):
+    """Against every pair; labels are shuffled to be distinct and for their best name, their bigrams never."""
+    names = ["memory", "memories", "network", "networks", "aa", "b", "queue", "queues", "abcdefghij"]
+    labels = ["memory", "memorys", "memorie", "networkz", "aaa", "aa", "a", "b", "", None, "queued", "quque", "abcdefghijk", "xyz", "memory"]
+    enum, rows = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(x,) for x in labels], "label string")
+    both = rows.where("length(label) > 1").distinct().crossJoin(enum).select("label", "name", F.round(T.bigram_similarity(F.col("label"), F.col("name")), 6).alias("s"))
+    for threshold in (0.7, 0.9):
+        want = {}
+        for r in sorted(both.where(F.col("s") >= threshold).collect(), key=lambda r: (-r.s, r.name)):
+            want.setdefault(r.label, (r.label, r.name, r.s))
+        got = vocab.fuzzy(rows, enum, threshold)
+        assert want and sorted(map(tuple, got.collect())) == sorted(want.values())
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lists_and_categories(spark):
     assert "figure q" in lexicon.denylist() and "system" not in lexicon.denylist() and "system" in lexicon.denylist("en", "cs") and "系统" in lexicon.denylist("zh")
     assert "操作系统" in lexicon.allowed("zh", "cs") and lexicon.allowed("zh", "math") == []
