@@ -149,11 +149,7 @@ def exact_dup_clusters(spark, sf):
  x as (select doc_id, unnest(w) t from d), y as (select item_id, len(w) n, unnest(w) t from b), o as (select doc_id, item_id, n, count(*) shared from x join y on y.t = x.t group by all)
  select doc_id, item_id, shared, round(shared / n, 6) contained from o where shared >= n * 0.9::double""")
 def contamination_overlap(spark, sf):
-    toks = lambda df, i: df.select(i, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))).alias("w"))
-    x = toks(read(spark, sf, "documents"), "doc_id").select("doc_id", F.explode("w").alias("t"))
-    y = toks(read(spark, sf, "benchmark"), "item_id").select("item_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    got = x.join(y, "t").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return got.where(F.col("shared") >= F.col("n") * F.lit(0.9)).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("contained"))
+    return vocab.contained(read(spark, sf, "documents"), read(spark, sf, "benchmark"), 0.9).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("contained"))
 
 
 RUNS = """w as (select doc_id id, regexp_extract_all(lower(text), '[a-z0-9]+') l from documents), o as (select id, u term, min(i) pos from (select id, unnest(l) u, generate_subscripts(l, 1) i from w) group by 1, 2),

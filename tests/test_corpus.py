@@ -86,6 +86,23 @@ def test_fuzzy_compares_within_the_row(spark):
         assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("held", [5, 1000])
+def test_contained_joins_no_words(spark, held):
+    """Against a join on every word; texts and pairs are not shuffled where identifiers come once."""
+    words = [f"w{i}" for i in range(12)]
+    items = spark.createDataFrame([(1, " ".join(words[:10])), (1, " ".join(words[2:])), (2, "W3 w4, w3"), (3, ""), (4, None), (None, "w1 w2"), (5, " ".join(words))], "item_id long, text string")
+    texts = [(i, " ".join(words[: i + 3] + ["other"] * i)) for i in range(10)] + [(20, None), (21, ""), (22, " ".join(words[1:11])), (None, "w2 w1")]
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    twice = once.union(spark.createDataFrame([(0, "w5 w6 w7 w8"), (0, "w9"), (None, "w1")], "doc_id long, text string"))
+    each = lambda df: df.select(df.columns[0], F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))).alias("w"))
+    for docs in (once, twice):
+        pairs = each(docs).select("doc_id", F.explode("w").alias("t")).join(each(items).select("item_id", F.size("w").alias("n"), F.explode("w").alias("t")), "t")
+        want = pairs.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared")).where("shared >= n * 0.9D")
+        got = vocab.contained(docs, items, 0.9, held=held)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) != []
+    assert "Exchange" not in vocab.contained(once, items, 0.9)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lists_and_categories(spark):
     assert "figure q" in lexicon.denylist() and "system" not in lexicon.denylist() and "system" in lexicon.denylist("en", "cs") and "系统" in lexicon.denylist("zh")
     assert "操作系统" in lexicon.allowed("zh", "cs") and lexicon.allowed("zh", "math") == []
