@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -18,7 +19,7 @@ from evalloom.functions.text import token_set
 from evalloom.operators import ivf
 from evalloom.operators.components import connected
 from evalloom.operators.lineage import stored
-from evalloom.operators.vocab import HELD, repeated
+from evalloom.operators.vocab import HELD, WORD, repeated, word_frequencies
 
 
 def tfidf(terms: DataFrame, doc: str = "doc_id", term: str = "term", n_docs: int | Column | None = None) -> DataFrame:
@@ -32,6 +33,51 @@ def tfidf(terms: DataFrame, doc: str = "doc_id", term: str = "term", n_docs: int
     return raw.withColumn("_n", norm).select(doc, term, "tf", "df", (F.col("_w") / F.col("_n")).alias("weight"))
 
 
+def text_tfidf(df: DataFrame, doc: str, text: str, n_docs: int, known: int | None = None) -> DataFrame:
+    """``tfidf``, with tf and df, of the words of texts; rows of one identifier are one document.
+
+    Words are counted within their row.  Tasks know the document frequency of the ``known`` most frequent words, whose rows are not joined;
+    a document is shuffled once, as a list, and its other words once more, by word.
+    """
+    rows = df.select(F.col(doc).alias("_doc"), F.lower(text).alias("_low"))
+    twice = repeated(rows.select("_doc"), "_doc")
+    if twice is not None:
+        two = twice.withColumnRenamed("_doc", "_two")
+        same = rows["_doc"].eqNullSafe(two["_two"])
+        merged = rows.join(two, same, "left_semi").groupBy("_doc").agg(F.concat_ws(" ", F.collect_list("_low")).alias("_low"))
+        rows = rows.join(two, same, "left_anti").unionByName(merged)
+    freq = stored(word_frequencies(rows, "_doc", "_low").select("term", "df"), "frequencies")
+    top = freq.orderBy(F.desc("df"), "term").limit(WEIGHED if known is None else known)
+    shared = df.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in top.toArrow().columns), strict=True)))
+
+    def counted(seen: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df_of = shared.value
+            for b in batches:
+                at, term, tf = [0], [], []
+                for low in b.column(1).to_pylist():
+                    for t, n in Counter(WORD.findall(low or "")).items():
+                        if (t in df_of) == seen:
+                            term.append(t)
+                            tf.append(n)
+                    at.append(len(term))
+                cells = [pa.array(term, pa.string()), pa.array(tf, pa.int64())] + ([pa.array([df_of[t] for t in term], pa.int64())] if seen else [])
+                packed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(cells, ["term", "tf", "df"][: len(cells)]))
+                yield pa.RecordBatch.from_arrays([b.column(0), packed], ["_doc", "_t" if seen else "_r"])
+
+        return run
+
+    kind = dict(rows.dtypes)["_doc"]
+    often = rows.mapInArrow(counted(True), f"_doc {kind}, _t array<struct<term: string, tf: bigint, df: bigint>>")
+    rare = rows.mapInArrow(counted(False), f"_doc {kind}, _r array<struct<term: string, tf: bigint>>").select(F.col("_doc").alias("_two"), F.inline("_r"))
+    lists = rare.join(freq, "term").groupBy("_two").agg(F.collect_list(F.struct("term", "tf", "df")).alias("_r"))
+    both = often.join(lists, often["_doc"].eqNullSafe(lists["_two"]), "left").select("_doc", F.concat("_t", F.coalesce("_r", F.array().cast("array<struct<term: string, tf: bigint, df: bigint>>"))).alias("_t"))
+    weight = lambda tf, often: tf * (F.log((1.0 + F.lit(n_docs)) / (1.0 + often)) + 1.0)
+    norm = F.sqrt(F.aggregate("_t", F.lit(0.0), lambda s, x: s + F.pow(weight(x["tf"], x["df"]), F.lit(2.0))))
+    sized = both.select(F.col("_doc").alias(doc), norm.alias("_n"), "_t")  # before the lists are unpacked, or each row would find the length anew
+    return sized.select(doc, "_n", F.inline("_t")).select(doc, "term", "tf", "df", (weight(F.col("tf"), F.col("df")) / F.col("_n")).alias("weight"))
+
+
 FREQUENT = 10_000
 WEIGHED = 50_000  # most frequent terms whose document frequency every task knows
 CELL = 4096

@@ -57,8 +57,8 @@ def canonicalize_fuzzy(spark, sf):
  m as (select doc_id, sqrt(sum(w * w)) norm from w group by 1) select w.doc_id, term, tf, df, round(w / norm, 6) weight from w join m on m.doc_id = w.doc_id""")
 def tfidf_weights(spark, sf):
     docs = read(spark, sf, "documents")
-    with_terms = docs.where(F.lower("text").rlike("[a-z0-9]")).count()
-    rows = similarity.tfidf(vocab.terms(docs, "doc_id", "text"), n_docs=with_terms)
+    with_terms = docs.where(F.lower("text").rlike("[a-z0-9]")).select("doc_id").distinct().count()
+    rows = similarity.text_tfidf(docs, "doc_id", "text", with_terms)
     return rows.select("doc_id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
 

@@ -14,7 +14,7 @@ from evalloom.functions import arrays as A
 from evalloom.functions import jsonx as J
 from evalloom.functions import mathx as M
 from evalloom.functions import text as T
-from evalloom.operators import card, planning, responses, rules, similarity, windows
+from evalloom.operators import card, planning, responses, rules, similarity, vocab, windows
 
 
 def one(spark, value, f, kind="string"):
@@ -195,6 +195,20 @@ def test_open_ended_normalises_a_text_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().lower().count("regexp_replace") <= 9  # 3 a text, once or as in the number's shape
 
 
+@pytest.mark.parametrize("known", [0, 3, 1000])
+def test_text_tfidf(spark, known):
+    """The weights of ``tfidf``, whatever tasks know; no row a word is grouped by document and word."""
+    texts = [(1, "A b b c"), (2, "a C,d e"), (3, None), (4, ""), (5, "zz top b"), (None, "a b"), (None, "b x")]
+    for rows in (texts, [*texts, (1, "c q"), (5, None)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        want = similarity.tfidf(vocab.terms(docs, "doc_id", "text"), n_docs=5).select("doc_id", "term", "tf", "df", F.round("weight", 9))
+        df = similarity.text_tfidf(docs, "doc_id", "text", 5, known)
+        got = df.select("doc_id", "term", "tf", "df", F.round("weight", 9))
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) != []
+    plan = similarity.text_tfidf(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", 5, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate") == 2  # the other words, and the lists at the end
+
+
 def test_greedy_leaders(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
