@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,11 +57,31 @@ TASK_AXES = {
 def parents(labels: Column, table: dict[str, list[str]]) -> Column:
     """Sorted parents one of whose keywords a label contains."""
     low = F.transform(labels, F.lower)  # once for each parent, not once for each keyword
-    has = lambda keys: F.exists(low, lambda x: reduce(Column.__or__, (F.contains(x, F.lit(k.lower())) for k in keys)))
+    has = lambda keys: F.exists(low, lambda x: reduce(Column.__or__, (F.contains(x, F.lit(k)) for k in needed(keys))))
     hits = [F.when(has(keys), F.lit(parent)) for parent, keys in table.items()]
     return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
 
+def needed(keys: list[str]) -> list[str]:
+    """Keywords, in lower case, that hold no other: a text with "graph theory" has "graph" anyway."""
+    low = list(dict.fromkeys(k.lower() for k in keys))
+    return [k for k in low if not any(x in k for x in low if x != k)]
+
+
+def text_parents(text: Column, *tables: dict[str, list[str]]) -> Column:
+    """For each table the ``parents`` of one text; none for a null text.  The text is lower-cased once, and searched by Python, which skips through it."""
+    found = [[(parent, needed(keys)) for parent, keys in sorted(table.items())] for table in tables]
+
+    def search(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for low in texts:
+            hits = [[[p for p, keys in table if any(k in x for k in keys)] if x is not None else [] for x in low] for table in found]
+            yield pd.DataFrame({f"t{i}": pd.Series(h, dtype=object) for i, h in enumerate(hits)})
+
+    search.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    udf = F.pandas_udf(search, ", ".join(f"t{i} array<string>" for i in range(len(tables))))
+    return udf(F.lower(text))
+
+
 def first_category(label: Column, table: dict[str, list[str]], whole_words: bool = True) -> Column:
     """First category of the table that matches; empty if none.  By default an alias must stand as a word."""
     low = F.lower(label)

@@ -215,8 +215,8 @@ def _words(table: dict) -> str:
 
 @query("taxonomy_tags", f"with d as (select doc_id, lower(text) s from documents) select doc_id, array_to_string({_words(taxonomy.CS_PARENTS)}, ',') cs, array_to_string({_words(taxonomy.MATH_PARENTS)}, ',') math from d")
 def taxonomy_tags(spark, sf):
-    d = read(spark, sf, "documents")
-    return d.select("doc_id", F.array_join(taxonomy.parents(F.array("text"), taxonomy.CS_PARENTS), ",").alias("cs"), F.array_join(taxonomy.parents(F.array("text"), taxonomy.MATH_PARENTS), ",").alias("math"))
+    d = read(spark, sf, "documents").select("doc_id", taxonomy.text_parents(F.col("text"), taxonomy.CS_PARENTS, taxonomy.MATH_PARENTS).alias("p"))
+    return d.select("doc_id", F.array_join("p.t0", ",").alias("cs"), F.array_join("p.t1", ",").alias("math"))
 
 
 ENDINGS = {"nasal": ["tion", "ation"], "liquid": ["ly", "able"], "open": ["ou", "ea"]}

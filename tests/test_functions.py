@@ -14,7 +14,7 @@ from evalloom.functions import arrays as A
 from evalloom.functions import jsonx as J
 from evalloom.functions import mathx as M
 from evalloom.functions import text as T
-from evalloom.operators import card, planning, responses, rules, similarity, vocab, windows
+from evalloom.operators import card, planning, responses, rules, similarity, taxonomy, vocab, windows
 
 
 def one(spark, value, f, kind="string"):
@@ -209,6 +209,19 @@ def test_text_tfidf(spark, known):
     assert "Window" not in plan and plan.count("Generate") == 2  # the other words, and the lists at the end
 
 
+def test_text_parents(spark):
+    """The parents of ``parents``, found in a text that is lower-cased once, by the keywords that hold no other."""
+    assert taxonomy.needed(["Graph theory", "graph", "cache", "cache", "tree"]) == ["graph", "cache", "tree"]
+    tables = [taxonomy.CS_PARENTS, taxonomy.MATH_PARENTS, {"Z": ["q"], "A": ["Q", "x y"]}]
+    keys = sorted({k for t in tables for keys in t.values() for k in keys})
+    texts = [None, "", "nothing", *keys, *(k.upper() + " and" for k in keys), "X Y", "x  y", " ".join(keys)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", taxonomy.text_parents(F.col("t"), *tables).alias("p"), *(taxonomy.parents(F.array("t"), t).alias(f"w{i}") for i, t in enumerate(tables)))
+    assert all((r.p.t0, r.p.t1, r.p.t2) == (r.w0, r.w1, r.w2) for r in found.collect())
+    plan = df.select(taxonomy.text_parents(F.col("t"), *tables).alias("p")).select("p.t0", "p.t1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "contains" not in plan
+
+
 def test_greedy_leaders(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
