@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,9 @@ def drop(*frames: DataFrame) -> None:
             if "/tables/" in folder:
                 at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
                 at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Shuffle files of what has been stored are deleted now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

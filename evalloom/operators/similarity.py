@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType
 from evalloom.functions.text import token_set
 from evalloom.operators import ivf
 from evalloom.operators.components import connected
-from evalloom.operators.lineage import stored
+from evalloom.operators.lineage import drop, released, stored
 from evalloom.operators.vocab import HELD, WORD, repeated, word_frequencies
 
 
@@ -78,9 +78,12 @@ def text_tfidf(df: DataFrame, doc: str, text: str, n_docs: int, known: int | Non
     return sized.select(doc, "_n", F.inline("_t")).select(doc, "term", "tf", "df", (weight(F.col("tf"), F.col("df")) / F.col("_n")).alias("weight"))
 
 
-FREQUENT = 10_000
+FREQUENT = 65_536  # most frequent tokens that every task knows; their places fit 16 bits
 WEIGHED = 50_000  # most frequent terms whose document frequency every task knows
 CELL = 4096
+HEAVY = 16_384  # rows of a token that meet in one cell
+BLOCK = 200_000
+MEET = 1_000_000
 
 
 def compared(pairs: DataFrame, rows: DataFrame, unpack: Callable, judge: Callable, value: str) -> DataFrame:
@@ -92,9 +95,11 @@ def compared(pairs: DataFrame, rows: DataFrame, unpack: Callable, judge: Callabl
     """
     kind = dict(rows.dtypes)["id"]
     least = F.min("a").over(Window.partitionBy("b"))
-    links = stored(pairs.repartition("b").dropDuplicates(["a", "b"]).withColumn("l", least), "links")
-    second = links.where("a = l").select(F.col("b").alias("l"), F.col("l").alias("m"))
-    links = stored(links.join(second, "l", "left").select("a", "b", F.coalesce("m", "l").alias("m"), (F.col("a") == F.col("l")).alias("one")), "groups")
+    first = stored(pairs.repartition("b").dropDuplicates(["a", "b"]).withColumn("l", least), "links")
+    released(rows.sparkSession)
+    second = first.where("a = l").select(F.col("b").alias("l"), F.col("l").alias("m"))
+    links = stored(first.join(second, "l", "left").select("a", "b", F.coalesce("m", "l").alias("m"), (F.col("a") == F.col("l")).alias("one")), "groups")
+    drop(first)
     large = links.where("one").groupBy("m").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("cells > 1")
     links = links.withColumn("cells", F.lit(1)) if large.isEmpty() else links.join(large, "m", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
     cell = lambda c: F.pmod(F.xxhash64(c), F.col("cells")).cast("int")
@@ -161,48 +166,99 @@ def _before(tokens: np.ndarray, row: np.ndarray, n: int = 3) -> list[pa.Array]:
     return out
 
 
+def _tokens(text_col: str) -> Column:
+    return F.array_sort(F.transform(token_set(F.col(text_col)), lambda t: F.xxhash64(t)))
+
+
+def _name(tokens: Column) -> Column:
+    """128 bits of a set; null where there is no token."""
+    return F.when(F.size(tokens) > 0, F.struct(F.xxhash64(tokens).alias("x"), F.xxhash64(F.lit("name"), tokens).alias("y")))
+
+
 def hashed_sets(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """id, tokens (64-bit hashes in order) and a 128-bit name of the set of every text; the name is null where there is no token.
 
     Tokens are stored before anything is asked of them, as each question would cut the text again.
     """
-    tokens = F.array_sort(F.transform(token_set(F.col(text_col)), lambda t: F.xxhash64(t)))
-    rows = stored(df.select(F.col(id_col).alias("id"), *keep, tokens.alias("tokens")), "token-sets")
-    name = F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit("name"), "tokens").alias("y"))
-    return rows.withColumn("name", F.when(F.size("tokens") > 0, name))
+    rows = stored(df.select(F.col(id_col).alias("id"), *keep, _tokens(text_col).alias("tokens")), "token-sets")
+    return rows.withColumn("name", _name(F.col("tokens")))
 
 
-def _prefixes(sets: DataFrame, keep: list[str], threshold: float) -> DataFrame:
-    """token, id, n, pos (from 1) of each set's prefix in a common order of tokens, rare ones first, with the token before it and 128 bits
-    of the whole set, each the parity of the tokens that fall on it: sets differ in as many tokens as bits at least.
+def met(prefix: DataFrame, order: list[Column], place: Callable, reach: Callable, near: Callable) -> DataFrame:
+    """a, b of the pairs of rows (``id``) that share a ``key`` and pass ``near``; a pair may come several times.
 
-    The ``FREQUENT`` most frequent tokens come last, by their number; the others, by their hash.
+    Rows come sorted by key and ``order``.  ``place`` gives a row's number (below 32) in that order and ``reach`` the last number that it may meet, so a
+    row is held against that stretch alone, ``MEET`` pairs at a time; ``near`` gives a mask over pairs of rows.  Where ``side`` is not 0, rows of
+    other sides alone meet (see ``_celled``).
     """
-    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    token = np.array([r[0] for r in often], np.int64)
-    order = np.argsort(token)
-    shared = sets.sparkSession.sparkContext.broadcast((token[order], (len(token) - np.arange(len(token)))[order]))  # FREQUENT pairs of numbers at most
+    kind = dict(prefix.dtypes)["id"]
+
+    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        ids = table.column("id").combine_chunks()
+        col = {c: table.column(c).to_numpy() for c in table.column_names if c != "id"}
+        code = ids.dictionary_encode().indices.to_numpy().astype(np.int64)
+        new = np.ones(len(ids), bool)
+        new[1:] = col["key"][1:] != col["key"][:-1]
+        base, own = np.cumsum(new) * 64.0, place(col)
+        count = np.maximum(np.searchsorted(base + own, base + np.minimum(reach(own), 32), "right") - np.arange(len(ids)) - 1, 0)
+        total, start = np.cumsum(count), 0
+        while start < len(ids):
+            done = total[start] - count[start]
+            stop = max(int(np.searchsorted(total, done + MEET, "right")), start + 1)
+            some = count[start:stop]
+            i = np.repeat(np.arange(start, stop), some)
+            j = i + 1 + np.arange(len(i)) - np.repeat(total[start:stop] - some - done, some)
+            side = col["side"][i]
+            yes = ((side == 0) | (side != col["side"][j])) & (code[i] != code[j])
+            i, j = near(col, i[yes], j[yes])
+            _, once = np.unique(np.minimum(code[i], code[j]) * len(ids) + np.maximum(code[i], code[j]), return_index=True)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[once])), ids.take(pa.array(j[once]))], ["a", "b"])
+            start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        whole, tail = [], []  # rows of keys that have ended; rows of the last key
         for b in batches:
-            lists = b.column("tokens")
-            flat, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-            weight = np.where(known[at] == flat, rank[at], 0) if len(known) else np.zeros(len(flat), np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            by = np.lexsort((flat, weight, row))
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1
-            most = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1
-            inside = pos <= most[row]
-            owner = row[by][inside]
-            cells = [b.column(c).take(pa.array(owner)) for c in ("id", *keep)]
-            token, one = flat[by][inside], np.left_shift(np.int64(1), flat & 63)
-            bits = [np.bitwise_xor.reduceat(np.where((flat >> 6) & 1 == half, one, 0), np.cumsum(size) - size) for half in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(token, pa.int64()), pa.array(size[owner], pa.int32()), pa.array(pos[inside], pa.int32()), *_before(token, owner, 1), *(pa.array(x[owner], pa.int64()) for x in bits)], ["id", *keep, "token", "n", "pos", "b0", "h0", "h1"])
-
-    kinds = dict(sets.dtypes)
-    return sets.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep)) + ", token long, n int, pos int, b0 long, h0 long, h1 long")
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            if tail and tail[-1].column("key")[0].as_py() != key[0]:
+                whole, tail = whole + tail, []
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                whole, tail = [*whole, *tail, b.slice(0, cut)], []
+            tail.append(b.slice(cut))
+            if sum(x.num_rows for x in whole) >= BLOCK:
+                yield from pairs(whole)
+                whole = []
+        if whole or tail:
+            yield from pairs(whole + tail)
+
+    found = prefix.repartition("key").sortWithinPartitions("key", *order).mapInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _celled(token: np.ndarray, rows: np.ndarray, fold: np.ndarray, heavy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which row, key and side of the rows of tokens of so many ``rows``: those of a token of more than ``heavy`` are dealt
+    by ``fold`` into groups, and every two groups meet in a cell of their own."""
+    cells = -(-np.maximum(rows, 1) // heavy)
+    which = np.repeat(np.arange(len(token)), cells)
+    x, n = (fold % cells)[which], cells[which]
+    y = np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells)
+    cell = np.where(n > 1, np.minimum(x, y) * n + np.maximum(x, y) + 1, 0)
+    key = token[which] + cell * np.int64(-7046029254386353131)
+    return which, key, np.where((n == 1) | (x == y), 0, np.where(x < y, 1, 2)).astype(np.int8)
+
+
+NIBBLES = np.abs(np.arange(16)[:, None] - np.arange(16))
+NIBBLES = np.minimum(NIBBLES, 16 - NIBBLES)
+NIBBLES = (NIBBLES[:, None, :, None] + NIBBLES[None, :, None, :]).reshape(-1).astype(np.uint8)  # what two pairs of counts to 16 differ by
+
+
+def _sketch(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Four words a set: how many of its tokens fall on each of 64 places, modulo 16.  Sets differ in as many tokens as these counts at least."""
+    count = (np.bincount(row * 64 + (flat & 63), minlength=n * 64).reshape(n, 64) & 15).astype(np.uint8)
+    return (count[:, ::2] << 4 | count[:, 1::2]).copy().view(np.int64)
 
 
 def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, group: str | None = None) -> DataFrame:
@@ -210,49 +266,103 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
 
     Tokens are compared as 64-bit hashes; equal token sets are joined once, as one row.  With tokens in order of rising
     frequency two sets can only match if their prefixes share a token (prefix filter), if the tokens after the first
-    shared one suffice (positional filter), and if their sizes are alike: a token's sets meet by bands of size, a band
-    spanning the ratio that the threshold allows, so even a token of all sets is the work of many small blocks.
+    shared one suffice (positional filter), if their sizes are alike and if counts of their tokens by place (``_sketch``) are.
+    The ``FREQUENT`` most frequent tokens come last, by their number; the others, by their hash.  Sets are kept as
+    bytes, frequent tokens by the gaps between their numbers.
     """
     keep = [group] if group else []
-    rows = hashed_sets(df, id_col, text_col, keep).where("name is not null")
-    rows = rows.where("id is not null")
+    hashed = hashed_sets(df, id_col, text_col, keep)
+    rows = hashed.where("name is not null and id is not null")
+    if group:
+        rows = rows.where(F.col(group).isNotNull())
     if repeated(rows.select("id"), "id") is not None:
         rows = rows.dropDuplicates(["id", *keep, "name"])
-    same = F.struct(*keep, "name")
-    first = rows.groupBy(same.alias("same")).agg(F.min("id").alias("first"))
-    copies = stored(rows.select("id", same.alias("same")).join(first, "same").where("first < id").select("id", "same"), "copies")
-    sets = rows.withColumn("same", same).join(copies, ["id", "same"], "left_anti").drop("name", "same")
-    prefix = stored(_prefixes(sets, keep, threshold), "prefixes")  # both sides of the join read it
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("n")
-    sized = prefix.withColumn("band", band)
-    named = lambda s: [F.col("id").alias(f"i{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("b0").alias(f"{s}0"), *(F.col(f"h{k}").alias(f"h{s}{k}") for k in range(2))]
-    x = sized.select(*keep, "token", "band", *named("x"))
-    near_bands = F.array("band", F.col("band") - 1) if threshold < 1 else F.array("band")
-    y = sized.select(*keep, "token", F.explode(near_bands).alias("band"), *named("y"))
-    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("ix") < F.col("iy")))
-    alike = F.col("nx") >= F.col("ny") * (threshold - 1e-9)
-    enough = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= (F.col("nx") + F.col("ny")) * (threshold / (1 + threshold)) - 1e-6
-    differ = sum(F.bit_count(F.col(f"hx{k}").bitwiseXOR(F.col(f"hy{k}"))) for k in range(2))
-    few = differ <= (F.col("nx") + F.col("ny")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    near = x.join(y, ["token", "band", *keep]).where(smaller & alike & enough & few & _unlike(1))
-    pairs = near.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"))
-    million = round(threshold * 1_000_000)
+    rows = rows.withColumn("same", F.struct(*keep, "name"))
+    first = rows.groupBy("same").agg(F.min("id").alias("first"))
+    copies = stored(rows.select("id", "same").join(first, "same").where("first < id").select("id", "same"), "copies")
+    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas()
+    token, often = often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64)
+    order = np.argsort(token)
+    shared = df.sparkSession.sparkContext.broadcast((token, often, order, token[order]))  # FREQUENT tokens at most
+    kinds = dict(rows.dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, order, known = shared.value
+        for b in batches:
+            out = []
+            for tokens in b.column("tokens"):
+                tokens = tokens.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
+                yes = known[at] == tokens
+                gaps = np.diff(np.sort(order[at[yes]]), prepend=0).astype(np.uint16)
+                out.append(np.int32(len(gaps)).tobytes() + tokens[~yes].tobytes() + zlib.compress(gaps.view(np.uint8).reshape(-1, 2).T.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", *keep, "same")), pa.array([len(t) for t in b.column("tokens")], pa.int32()), pa.array(out, pa.binary())], ["id", *keep, "same", "n", "v"])
+
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep, "same"))
+    packed = rows.select("id", *keep, "same", "tokens").mapInArrow(pack, f"{named}, n int, v binary")
+    sets = stored(packed.join(copies, ["id", "same"], "left_anti").drop("same"), "packed-sets")
+    drop(hashed)
 
     def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lists = batch.column("tokens")
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        return flat, np.ones(len(flat)), np.diff(lists.offsets.to_numpy())
+        """Tokens, rare ones first, weights of 1 and sizes."""
+        names = shared.value[0]
+        parts = []
+        for v, n in zip(batch.column("v").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            m = int(np.frombuffer(v, np.int32, 1)[0])
+            gaps = np.frombuffer(zlib.decompress(v[4 + 8 * (n - m) :]), np.uint8).reshape(2, m).T.copy().view(np.uint16).reshape(-1)
+            parts += [np.frombuffer(v, np.int64, n - m, 4), names[np.cumsum(gaps, dtype=np.int64)[::-1]]]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return flat, np.ones(len(flat)), batch.column("n").to_numpy().astype(np.int64)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, often, order, known = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, _, size = unpack(b)
+            row = np.repeat(np.arange(len(size)), size)
+            start = np.cumsum(size) - size
+            pos = np.arange(len(flat)) - start[row] + 1
+            fold = np.bitwise_xor.reduceat(flat, start) >> 1 & 0x7FFFFFFF
+            sketch = _sketch(flat, row, len(size))
+            inside = pos <= (size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1)[row]
+            token, owner, pos = flat[inside], row[inside], pos[inside]
+            at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+            which, key, side = _celled(token, np.where(known[at] == token, often[order[at]], 0), fold[owner], HEAVY)
+            before = _before(token, owner, 1)[0].take(pa.array(which))
+            owner = owner[which]
+            cells = [b.column(c).take(pa.array(owner)) for c in ("id", *keep)]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(key, pa.int64()), pa.array(side, pa.int8()), pa.array(size[owner], pa.int32()), pa.array(pos[which], pa.int32()), before.fill_null(0), *(pa.array(sketch[owner, k], pa.int64()) for k in range(4))], ["id", *keep, "key", "side", "n", "pos", "b0", "h0", "h1", "h2", "h3"])
+
+    found = ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep))
+    prefix = sets.mapInArrow(prefixes, f"{found}, key long, side byte, n int, pos int, b0 long, h0 long, h1 long, h2 long, h3 long")
+    if group:
+        prefix = prefix.withColumn("key", F.xxhash64("key", group)).drop(group)
+
+    def near(col: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, pos, before = col["n"].astype(np.int64), col["pos"], col["b0"]
+        both = n[i] + n[j]
+        yes = (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= both * (threshold / (1 + threshold)) - 1e-6) & ((before[i] != before[j]) | (pos[i] == 1) | (pos[j] == 1))
+        i, j, both = i[yes], j[yes], both[yes]
+        sketch = np.stack([col[f"h{k}"] for k in range(4)], 1).view(np.uint8).astype(np.uint16)
+        differ = np.concatenate([np.zeros(0, np.int64), *(NIBBLES[(sketch[i[s : s + 100_000]] << 8) | sketch[j[s : s + 100_000]]].sum(1, dtype=np.int64) for s in range(0, len(i), 100_000))])
+        yes = differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6
+        return i[yes], j[yes]
+
+    pairs = met(prefix, [F.col("n")], lambda col: np.log(col["n"]), lambda own: own - math.log(threshold) + 1e-6, near)
+    million = round(threshold * 1_000_000)
 
     def judge(both: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         union = sizes + size - both
         return both.astype(np.int64) * 1_000_000 >= union.astype(np.int64) * million, both / union  # whole numbers: no rounding up to the threshold
 
-    return compared(pairs, sets.select("id", "tokens"), unpack, judge, "jaccard").withColumn("jaccard", F.round("jaccard", 6))
+    return compared(pairs, sets.select("id", "n", "v"), unpack, judge, "jaccard").withColumn("jaccard", F.round("jaccard", 6))
 
 
 def token_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, representative: one row a text, with the smallest id of the texts of equal token sets; texts without tokens represent themselves."""
-    rows = hashed_sets(df, id_col, text_col, []).select("id", "name")
+    name = F.transform(F.array(_tokens(text_col)), _name)[0]  # the text is cut once
+    rows = stored(df.select(F.col(id_col).alias("id"), name.alias("name")), "set-names")
     first = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("representative"))
     return rows.join(first, "name", "left").select("id", F.coalesce("representative", "id").alias("representative"))
 

@@ -1,6 +1,7 @@
 """Pairs, components and greedy leaders against plain passes."""
 
 import math
+import pathlib
 import random
 import re
 
@@ -96,3 +97,23 @@ def test_cosine_pairs_of_a_large_group(spark, monkeypatch, cell):
     rows = got.collect()
     assert {(r.a, r.b): r.cosine for r in rows} == pytest.approx(want, abs=1e-6) and len(rows) == len(want) > 300
     assert "Generate" not in classes._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("heavy", [3, 16_384])
+def test_jaccard_of_large_unlike_sets(spark, monkeypatch, heavy):
+    """Sets of many tokens that share a few are no candidates, and no list of tokens is kept; a token's rows in one cell or in many, in blocks of any size."""
+    for name, value in (("HEAVY", heavy), ("BLOCK", 50), ("MEET", 30)):
+        monkeypatch.setattr(similarity, name, value)
+    kept = {}
+    keep = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: kept.setdefault(name, keep(df, name)))
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(1200)]
+    sets = [set(rng.sample(words, 400)) for _ in range(60)]
+    sets += [s - set(rng.sample(sorted(s), 20)) for s in sets[:30]]
+    df = spark.createDataFrame([(k, " ".join(sorted(s))) for k, s in enumerate(sets)], "id long, text string").repartition(3)
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in range(90) for b in range(a + 1, 90)}
+    got = {(r.a, r.b): r.jaccard for r in similarity.jaccard_pairs(df, "id", "text", 0.8).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.8} and len(got) == 30
+    assert kept["groups"].count() <= 40
+    assert not any(f.exists() for f in map(pathlib.Path, {x.removeprefix("file:") for x in kept["token-sets"].inputFiles()}))
