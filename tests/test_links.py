@@ -99,8 +99,8 @@ def test_cosine_pairs_of_a_large_group(spark, monkeypatch, cell):
     assert "Generate" not in classes._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("heavy", [3, 16_384])
-def test_jaccard_of_large_unlike_sets(spark, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "kind"), [(3, "string"), (16_384, "long")])
+def test_jaccard_of_large_unlike_sets(spark, monkeypatch, heavy, kind):
     """Sets of many tokens that share a few are no candidates, and no list of tokens is kept; a token's rows in one cell or in many, in blocks of any size."""
     for name, value in (("HEAVY", heavy), ("BLOCK", 50), ("MEET", 30)):
         monkeypatch.setattr(similarity, name, value)
@@ -111,9 +111,21 @@ def test_jaccard_of_large_unlike_sets(spark, monkeypatch, heavy):
     words = [f"w{k}" for k in range(1200)]
     sets = [set(rng.sample(words, 400)) for _ in range(60)]
     sets += [s - set(rng.sample(sorted(s), 20)) for s in sets[:30]]
-    df = spark.createDataFrame([(k, " ".join(sorted(s))) for k, s in enumerate(sets)], "id long, text string").repartition(3)
-    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in range(90) for b in range(a + 1, 90)}
+    name = (lambda k: f"d{k:03}") if kind == "string" else int
+    df = spark.createDataFrame([(name(k), " ".join(sorted(s))) for k, s in enumerate(sets)], f"id {kind}, text string").repartition(3)
+    want = {(name(a), name(b)): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in range(90) for b in range(a + 1, 90)}
     got = {(r.a, r.b): r.jaccard for r in similarity.jaccard_pairs(df, "id", "text", 0.8).collect()}
     assert got == {k: v for k, v in want.items() if v >= 0.8} and len(got) == 30
     assert kept["groups"].count() <= 40
     assert not any(f.exists() for f in map(pathlib.Path, {x.removeprefix("file:") for x in kept["token-sets"].inputFiles()}))
+
+
+def test_greedy_drop_keeps_one_table_of_tokens(spark, small, monkeypatch):
+    """Names of the sets are stored without their tokens, and candidates travel as lists."""
+    from evalloom import catalog
+
+    names = []
+    keep = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: names.append((name, df.columns)) or keep(df, name))
+    assert catalog.queries()["greedy_near_dup_drop"](spark, small).count() == 200
+    assert [n for n, c in names if "tokens" in c] == ["token-sets"] and ("set-names", ["id", "name"]) in names
