@@ -129,3 +129,28 @@ def test_greedy_drop_keeps_one_table_of_tokens(spark, small, monkeypatch):
     monkeypatch.setattr(similarity, "stored", lambda df, name: names.append((name, df.columns)) or keep(df, name))
     assert catalog.queries()["greedy_near_dup_drop"](spark, small).count() == 200
     assert [n for n, c in names if "tokens" in c] == ["token-sets"] and ("set-names", ["id", "name"]) in names
+
+
+@pytest.mark.parametrize("heavy", [3, 16_384])
+def test_cosine_of_unlike_vectors(spark, monkeypatch, heavy):
+    """Vectors that share a part of their terms are no candidates, a pair is listed a few times at most, and counts that nothing else reads are deleted."""
+    for name, value in (("HEAVY", heavy), ("BLOCK", 50), ("MEET", 30)):
+        monkeypatch.setattr(similarity, name, value)
+    kept = {}
+    keep = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: kept.setdefault(name, keep(df, name)))
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(60)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = [t.split() for t in texts]
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in t for t in whole))) + 1 for w in words}
+    vec = [{w: t.count(w) * idf[w] for w in set(t)} for t in whole]
+    dot = lambda a, b: sum(x * vec[b].get(w, 0) for w, x in vec[a].items())
+    want = {(a, b): c for a in range(90) for b in range(a + 1, 90) if (c := round(dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), 6)) >= 0.955}
+    counts = keep(similarity.term_counts(docs, "doc_id", "text"), "term-counts")
+    got = similarity.cosine_pairs(counts, len(texts), spark.createDataFrame([], "id long"), 0.955, once=True)
+    assert {(r.a, r.b): r.cosine for r in got.collect()} == pytest.approx(want, abs=2e-6) and len(want) == 30
+    assert kept["groups"].count() <= 100
+    assert not any(pathlib.Path(x.removeprefix("file:")).exists() for frame in (counts, kept["frequent"]) for x in frame.inputFiles())
